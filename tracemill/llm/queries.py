@@ -7,13 +7,17 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tracemill.llm import bpe, neardup, quality, secrets, templates, wumanber
+from tracemill.llm import bpe, neardup, quality, secrets, templates, toxicity, wumanber
 from tracemill.llm.common import table
 
 #: Where the vocabulary of operator 10 lies; a parameter, never copied.
 BPE_FILE = public_tokenizers.path("word_bpe_49k.json")
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(table(spark, sf_dir, "documents"))
 
@@ -39,7 +43,7 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op2_secret_scan, op4_minhash_bayes, op7_quality_rules, op8_line_templates, op9_decontamination, op10_bpe)
+    found = (op1_toxicity, op2_secret_scan, op4_minhash_bayes, op7_quality_rules, op8_line_templates, op9_decontamination, op10_bpe)
     return {f.__name__: f for f in found}
 
 
