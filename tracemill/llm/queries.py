@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tracemill.llm import bpe, neardup, quality, secrets, templates, toxicity, wumanber
+from tracemill.llm import bpe, brown, neardup, quality, secrets, templates, toxicity, wumanber
 from tracemill.llm.common import table
 
 #: Where the vocabulary of operator 10 lies; a parameter, never copied.
@@ -26,6 +26,10 @@ def op4_minhash_bayes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op6_brown_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return brown.score(table(spark, sf_dir, "documents"))
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(table(spark, sf_dir, "documents"))
 
@@ -43,7 +47,7 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_toxicity, op2_secret_scan, op4_minhash_bayes, op7_quality_rules, op8_line_templates, op9_decontamination, op10_bpe)
+    found = (op1_toxicity, op2_secret_scan, op4_minhash_bayes, op6_brown_classes, op7_quality_rules, op8_line_templates, op9_decontamination, op10_bpe)
     return {f.__name__: f for f in found}
 
 
