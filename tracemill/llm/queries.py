@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tracemill.llm import bpe, brown, neardup, quality, secrets, templates, toxicity, wumanber
+from tracemill.llm import bpe, brown, crf, neardup, quality, secrets, templates, toxicity, wumanber
 from tracemill.llm.common import table
 
 #: Where the vocabulary of operator 10 lies; a parameter, never copied.
@@ -22,6 +22,10 @@ def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(table(spark, sf_dir, "documents"))
 
 
+def op3_language_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return crf.identify(table(spark, sf_dir, "documents"))
+
+
 def op4_minhash_bayes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -47,7 +51,7 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_toxicity, op2_secret_scan, op4_minhash_bayes, op6_brown_classes, op7_quality_rules, op8_line_templates, op9_decontamination, op10_bpe)
+    found = (op1_toxicity, op2_secret_scan, op3_language_crf, op4_minhash_bayes, op6_brown_classes, op7_quality_rules, op8_line_templates, op9_decontamination, op10_bpe)
     return {f.__name__: f for f in found}
 
 
