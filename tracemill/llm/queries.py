@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tracemill.llm import bpe, brown, crf, neardup, quality, secrets, templates, toxicity, wumanber
+from tracemill.llm import bpe, brown, crf, html_template, neardup, quality, secrets, templates, toxicity, wumanber
 from tracemill.llm.common import table
 
 #: Where the vocabulary of operator 10 lies; a parameter, never copied.
@@ -30,6 +30,10 @@ def op4_minhash_bayes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op5_html_template(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_template.extract(table(spark, sf_dir, "pages"))
+
+
 def op6_brown_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return brown.score(table(spark, sf_dir, "documents"))
 
@@ -50,9 +54,15 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_documents(table(spark, sf_dir, "documents"), BPE_FILE)
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_toxicity, op2_secret_scan, op3_language_crf, op4_minhash_bayes, op6_brown_classes, op7_quality_rules, op8_line_templates, op9_decontamination, op10_bpe)
-    return {f.__name__: f for f in found}
+    found = (op1_toxicity, op2_secret_scan, op3_language_crf, op4_minhash_bayes, op5_html_template, op6_brown_classes, op7_quality_rules, op8_line_templates, op9_decontamination, op10_bpe)
+    return {f.__name__: f for f in found} | {"pipeline": pipeline}
 
 
 OP9_SQL = """
