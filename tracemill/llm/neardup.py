@@ -9,8 +9,8 @@
    tells how likely 0.75 still is; a pair below the chosen miss probability is
    pruned. Survivors are verified on their full sets.
 4. Buckets are first linked star by star: each text meets one pseudo-random
-   centre, so a large group of near copies takes linear work. What the stars
-   leave open is compared in full: all pairs of texts that share a bucket and
+   centre, so a large group of near copies takes linear work a round. Rounds go
+   on until few pairs are open. What the stars leave open is compared in full: all pairs of texts that share a bucket and
    still belong to different components. No candidate pair is left out, only
    pairs whose texts are known to be connected already.
 """
@@ -23,10 +23,10 @@ from math import comb
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
-from tracemill.llm.common import HashCache, materialize
+from tracemill.llm.common import HashCache, materialize, release
 
 SHINGLE = 5
 #: Links have 100 * intersection >= PERCENT * union.
@@ -36,7 +36,8 @@ BANDS, ROWS = 40, 5
 MISS = 1e-7
 #: Signature positions compared between two looks at the posterior.
 BATCH = 40
-STAR_ROUNDS = 2
+#: Star rounds at most. They end as soon as the pairs still open are at most OPEN_PAIRS times the bucket rows, or hardly shrink any more.
+STAR_ROUNDS, OPEN_PAIRS = 12, 2
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
@@ -186,18 +187,23 @@ def components(edges: DataFrame) -> DataFrame:
     a join on a hot node has two exchanges and can be split.
     """
 
-    def state(df: DataFrame):
-        return df.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
+    def written(df: DataFrame) -> tuple[DataFrame, tuple]:
+        """The written table with its row count and checksum, taken while it is written."""
+        seen = Observation()
+        checksum = F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))
+        out = materialize(df.observe(seen, F.count(F.lit(1)).alias("n"), checksum.alias("s")))
+        return out, (seen.get["n"], seen.get["s"])
 
-    now = materialize(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
-    before = state(now)
+    now, before = written(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     while before[0]:
         both = now.union(now.select("b", "a"))
         low = materialize(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("m", "a").alias("m")))
         down = materialize(both.where("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct())
         low = materialize(down.groupBy("a").agg(F.min("b").alias("m")))
-        now = materialize(down.join(low, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).union(low).distinct())
-        after = state(now)
+        new, after = written(down.join(low, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).union(low).distinct())
+        for old in (now, down):
+            release(old)
+        now = new
         if after == before:
             break
         before = after
@@ -216,6 +222,14 @@ def open_buckets(labelled: DataFrame) -> DataFrame:
     return materialize(labelled.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("key"))
 
 
+def count_open(labelled: DataFrame) -> tuple[int, int]:
+    """(bucket rows, pairs across components), the pairs counted without forming them."""
+    n = labelled.groupBy("key", "label").agg(F.count("*").cast("decimal(38,0)").alias("n"))
+    both = n.groupBy("key").agg(F.sum("n").alias("s"), F.sum(F.col("n") * F.col("n")).alias("q"))
+    r = both.agg(F.sum("s").alias("rows"), F.sum(F.col("s") * F.col("s") - F.col("q")).alias("twice")).first()
+    return int(r["rows"] or 0), int(r["twice"] or 0) // 2
+
+
 def star_pairs(labelled: DataFrame, round_: int) -> DataFrame:
     """At most one pair per text: the centre that it meets in most of its open buckets.
 
@@ -262,25 +276,37 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     classes = materialize(full.groupBy(*same).agg(F.min("doc_id").alias("rep")))
     reps = full.join(classes.withColumnRenamed("rep", "doc_id"), ["doc_id", *same], "left_semi")
     reps = materialize(reps.select(F.col("doc_id").alias("rep"), "sig", "bands"))
-    sigs = reps.select("rep", "sig")
+    keys = materialize(sketch.select("doc_id", *same))
+    release(sketch)
+    full = keys.where("f1 is not null and doc_id is not null")
 
     buckets = reps.select(F.explode("bands").alias("key"), "rep")
     shared = materialize(buckets.groupBy("key").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi")).where("lo < hi").select("key"))
     members = materialize(buckets.join(shared, "key"))
-    met = members.select(F.col("rep").alias("doc_id")).distinct()
-    sets = materialize(keyed.join(met, "doc_id", "left_semi").mapInArrow(_sets, "rep long, shingles array<long>"))
-    labels = None
+    met = materialize(members.select("rep").distinct())
+    sigs = materialize(reps.select("rep", "sig").join(met, "rep", "left_semi"))
+    release(reps)
+    sets = materialize(keyed.join(met.withColumnRenamed("rep", "doc_id"), "doc_id", "left_semi").mapInArrow(_sets, "rep long, shingles array<long>"))
+
+    labels = links = None
+    left = None
     for round_ in range(STAR_ROUNDS + 1):
         labelled = with_labels(members, labels)
         labelled = materialize(labelled.join(open_buckets(labelled), "key", "left_semi"))
-        pairs = star_pairs(labelled, round_) if round_ < STAR_ROUNDS else open_pairs(labelled)
+        rows, n_open = count_open(labelled)
+        last = round_ == STAR_ROUNDS or n_open <= OPEN_PAIRS * rows or (left is not None and n_open > 0.9 * left)
+        left = n_open
+        pairs = open_pairs(labelled) if last else star_pairs(labelled, round_)
         found = materialize(exact_filter(bayes_filter(pairs, sigs), sets))
-        links = found if labels is None else links.union(found)
+        release(labelled)
+        links = found if links is None else links.union(found)
         labels = materialize(components(links))
+        if last:
+            break
 
     out = full.select("doc_id", *same).join(classes, same)
     out = out.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("doc_id", "n_shingles", F.coalesce("label", "rep").alias("component_id"))
-    rest = sketch.where("f1 is null or doc_id is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
+    rest = keys.where("f1 is null or doc_id is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
     return out.union(rest).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
