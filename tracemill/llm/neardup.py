@@ -11,7 +11,8 @@
 4. Buckets are first linked star by star: each text meets one pseudo-random
    centre, so a large group of near copies takes linear work a round. Rounds go
    on until few pairs are open. What the stars leave open is compared in full: all pairs of texts that share a bucket and
-   still belong to different components. No candidate pair is left out, only
+   still belong to different components, in large buckets block by block, so
+   that pruned pairs never become rows. No candidate pair is left out, only
    pairs whose texts are known to be connected already.
 """
 
@@ -33,19 +34,21 @@ SHINGLE = 5
 PERCENT = 75
 BANDS, ROWS = 40, 5
 #: Chance that verification may prune a pair whose posterior still reaches the threshold.
-MISS = 1e-7
-#: Signature positions compared between two looks at the posterior.
-BATCH = 40
+MISS = 1e-6
+#: Positions of the verification signature (one byte each), and those compared between two looks at the posterior.
+CHECKS, BATCH = 512, 64
+#: Buckets up to this size give their open pairs as rows; larger ones are compared in blocks of rows, of which only survivors leave.
+SMALL, BLOCK = 24, 512
 #: Star rounds at most. They end as soon as the pairs still open are at most OPEN_PAIRS times the bucket rows, or hardly shrink any more.
-STAR_ROUNDS, OPEN_PAIRS = 12, 2
+STAR_ROUNDS, OPEN_PAIRS = 3, 2
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
-@lru_cache(maxsize=1)
-def permutations(n: int = BANDS * ROWS) -> tuple[np.ndarray, np.ndarray]:
-    """Odd multipliers and offsets of the hash family (fixed seed)."""
-    rng = np.random.default_rng(20240229)
+@lru_cache(maxsize=4)
+def permutations(n: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """Odd multipliers and offsets of a hash family."""
+    rng = np.random.default_rng(seed)
     a = rng.integers(1, 1 << 63, n, dtype=np.uint64) | np.uint64(1)
     return a, rng.integers(0, 1 << 63, n, dtype=np.uint64)
 
@@ -76,9 +79,9 @@ def shingles(text: str | None, cache: HashCache) -> np.ndarray:
     return np.unique(mixed(h))
 
 
-def signature(h: np.ndarray) -> np.ndarray:
+def signature(h: np.ndarray, n: int = BANDS * ROWS, seed: int = 20240229) -> np.ndarray:
     """Minimum of every permutation's upper 32 bits over a non-empty set."""
-    a, b = permutations()
+    a, b = permutations(n, seed)
     out = np.full(len(a), 0xFFFFFFFF, np.uint64)
     for i in range(0, len(h), 2048):
         part = h[i : i + 2048, None] * a
@@ -97,36 +100,46 @@ def band_keys(sig: np.ndarray) -> np.ndarray:
     return h.view(np.int64)
 
 
-SKETCH = "doc_id long, n_shingles long, f1 long, f2 long, sig binary, bands array<long>"
+def check_signature(h: np.ndarray) -> bytes:
+    """A signature of its own for verification, one byte per permutation.
+
+    Different minima agree in their byte once in 256 times, which raises the
+    matches a little: no pair is pruned for it.
+    """
+    low = signature(h, CHECKS, 20240301) * _MIX
+    return (low >> np.uint64(56)).astype(np.uint8).tobytes()
+
+
+SKETCH = "doc_id long, n_shingles long, f1 long, f2 long, bands array<long>"
 
 
 def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     cache = HashCache()
     for batch in batches:
-        n, f1, f2, sigs, bands = [], [], [], [], []
+        n, f1, f2, bands = [], [], [], []
         for text in batch.column(1):
             h = shingles(text.as_py(), cache)
             n.append(len(h))
             if len(h):
                 f1.append(int(np.bitwise_xor.reduce(h).view(np.int64)))
                 f2.append(int(mixed(h ^ _MIX).sum(dtype=np.uint64).view(np.int64)))
-                s = signature(h)
-                sigs.append(s.astype("<u4").tobytes())
-                bands.append(band_keys(s))
+                bands.append(band_keys(signature(h)))
             else:
-                for x in (f1, f2, sigs, bands):
+                for x in (f1, f2, bands):
                     x.append(None)
         yield pa.RecordBatch.from_arrays(
-            [batch.column(0), pa.array(n, pa.int64()), pa.array(f1, pa.int64()), pa.array(f2, pa.int64()), pa.array(sigs, pa.binary()), pa.array(bands, pa.list_(pa.int64()))],
-            names=["doc_id", "n_shingles", "f1", "f2", "sig", "bands"],
+            [batch.column(0), pa.array(n, pa.int64()), pa.array(f1, pa.int64()), pa.array(f2, pa.int64()), pa.array(bands, pa.list_(pa.int64()))],
+            names=["doc_id", "n_shingles", "f1", "f2", "bands"],
         )
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     cache = HashCache()
     for batch in batches:
-        sets = [shingles(text.as_py(), cache).view(np.int64) for text in batch.column(1)]
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["rep", "shingles"])
+        sets = [shingles(text.as_py(), cache) for text in batch.column(1)]
+        full = [i for i, h in enumerate(sets) if len(h)]
+        rep = batch.column(0).take(pa.array(full, pa.int64()))
+        yield pa.RecordBatch.from_arrays([rep, pa.array([sets[i].view(np.int64) for i in full], pa.list_(pa.int64())), pa.array([check_signature(sets[i]) for i in full], pa.binary())], names=["rep", "shingles", "sig"])
 
 
 @lru_cache(maxsize=4)
@@ -137,7 +150,7 @@ def least_matches(percent: int = PERCENT, miss: float = MISS, batch: int = BATCH
     Beta(m+1, n-m+1), and P(similarity >= t) is P(Binomial(n+1, t) <= m).
     """
     t, out = percent / 100, []
-    for n in range(batch, BANDS * ROWS + 1, batch):
+    for n in range(batch, CHECKS + 1, batch):
         below, m = 0.0, -1
         while below < miss:
             m += 1
@@ -146,27 +159,75 @@ def least_matches(percent: int = PERCENT, miss: float = MISS, batch: int = BATCH
     return tuple(out)
 
 
-def _survivors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    looks = least_matches()
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        x, y = (np.frombuffer(b"".join(batch.column(i).to_pylist()), "<u4").reshape(batch.num_rows, -1) for i in (2, 3))
-        alive = np.arange(batch.num_rows)
-        matches = np.zeros(batch.num_rows, np.int64)
-        done = 0
-        for n, least in looks:
-            matches[alive] += (x[alive, done:n] == y[alive, done:n]).sum(axis=1)
+def survivors(x: np.ndarray, y: np.ndarray, a: np.ndarray, b: np.ndarray, done: int = 0) -> np.ndarray:
+    """Places of the pairs (x[a], y[b]) of signatures that every look from ``done`` positions on lets through."""
+    alive = np.arange(len(a))
+    matches = np.zeros(len(a), np.int64)
+    at = 0
+    for n, least in least_matches():
+        for i in range(0, len(alive), 8192):
+            k = alive[i : i + 8192]
+            matches[k] += np.count_nonzero(x[a[k], at:n] == y[b[k], at:n], axis=1)
+        at = n
+        if n > done:
             alive = alive[matches[alive] >= least]
-            done = n
-        yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(alive)), batch.column(1).take(pa.array(alive))], names=["a", "b"])
+    return alive
+
+
+def _signatures(column: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, CHECKS)
+
+
+def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        if batch.num_rows:
+            every = np.arange(batch.num_rows)
+            alive = pa.array(survivors(_signatures(batch.column(2)), _signatures(batch.column(3)), every, every))
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(alive), batch.column(1).take(alive)], names=["a", "b"])
 
 
 def bayes_filter(pairs: DataFrame, sigs: DataFrame) -> DataFrame:
     """The pairs (a, b) that sequential verification over signatures lets through."""
     left = sigs.select(F.col("rep").alias("a"), F.col("sig").alias("x"))
     right = sigs.select(F.col("rep").alias("b"), F.col("sig").alias("y"))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(_survivors, "a long, b long")
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(_pairs, "a long, b long")
+
+
+def _block(rows: pa.Table) -> pa.Table:
+    """The surviving pairs of two blocks of one bucket (or of one block with itself), of different components."""
+    rep, label, own = (rows.column(c).to_numpy() for c in ("rep", "label", "own"))
+    sig = _signatures(rows.column("sig"))
+    bi, bj = rows.column("bi")[0].as_py(), rows.column("bj")[0].as_py()
+    first, second = np.flatnonzero(own == bi), np.flatnonzero(own == bj)
+    n, least = least_matches()[0]
+    found_a, found_b = [], []
+    for i in range(0, len(first), 32):
+        p = first[i : i + 32]
+        near = np.count_nonzero(sig[p, None, :n] == sig[None, second, :n], axis=2) >= least
+        near &= (label[p, None] != label[None, second]) & ((rep[p, None] > rep[None, second]) | (bi != bj))
+        a, b = np.nonzero(near)
+        a, b = p[a], second[b]
+        alive = survivors(sig, sig, a, b, n)
+        found_a.append(rep[a[alive]])
+        found_b.append(rep[b[alive]])
+    a = np.concatenate(found_a) if found_a else np.empty(0, np.int64)
+    b = np.concatenate(found_b) if found_b else np.empty(0, np.int64)
+    return pa.table({"a": pa.array(np.maximum(a, b), pa.int64()), "b": pa.array(np.minimum(a, b), pa.int64())})
+
+
+def bayes_blocks(labelled: DataFrame, sizes: DataFrame, sigs: DataFrame) -> DataFrame:
+    """The surviving open pairs of large buckets, compared block against block.
+
+    A bucket of n texts is cut into n / BLOCK blocks by hash; a task gets two
+    blocks at a time, so no group is unbounded and no pair is a row unless it
+    survives.
+    """
+    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
+    rows = labelled.join(sizes.select("key", blocks.alias("blocks")), "key")
+    rows = rows.withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
+    rows = rows.join(sigs.select("rep", "sig"), "rep").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rows = rows.select("key", F.least("own", "other").alias("bi"), F.greatest("own", "other").alias("bj"), "rep", "label", "own", "sig")
+    return rows.groupBy("key", "bi", "bj").applyInArrow(_block, "a long, b long")
 
 
 def exact_filter(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -275,7 +336,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     # one representative per distinct set; map-side combined, whatever the group's size
     classes = materialize(full.groupBy(*same).agg(F.min("doc_id").alias("rep")))
     reps = full.join(classes.withColumnRenamed("rep", "doc_id"), ["doc_id", *same], "left_semi")
-    reps = materialize(reps.select(F.col("doc_id").alias("rep"), "sig", "bands"))
+    reps = materialize(reps.select(F.col("doc_id").alias("rep"), "bands"))
     keys = materialize(sketch.select("doc_id", *same))
     release(sketch)
     full = keys.where("f1 is not null and doc_id is not null")
@@ -283,10 +344,10 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     buckets = reps.select(F.explode("bands").alias("key"), "rep")
     shared = materialize(buckets.groupBy("key").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi")).where("lo < hi").select("key"))
     members = materialize(buckets.join(shared, "key"))
-    met = materialize(members.select("rep").distinct())
-    sigs = materialize(reps.select("rep", "sig").join(met, "rep", "left_semi"))
+    met = members.select(F.col("rep").alias("doc_id")).distinct()
     release(reps)
-    sets = materialize(keyed.join(met.withColumnRenamed("rep", "doc_id"), "doc_id", "left_semi").mapInArrow(_sets, "rep long, shingles array<long>"))
+    sets = materialize(keyed.join(materialize(met), "doc_id", "left_semi").mapInArrow(_sets, "rep long, shingles array<long>, sig binary"))
+    sigs = sets.select("rep", "sig")
 
     labels = links = None
     left = None
@@ -296,8 +357,13 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         rows, n_open = count_open(labelled)
         last = round_ == STAR_ROUNDS or n_open <= OPEN_PAIRS * rows or (left is not None and n_open > 0.9 * left)
         left = n_open
-        pairs = open_pairs(labelled) if last else star_pairs(labelled, round_)
-        found = materialize(exact_filter(bayes_filter(pairs, sigs), sets))
+        if last:
+            sizes = materialize(labelled.groupBy("key").agg(F.count("*").alias("n")))
+            small = labelled.join(sizes.where(F.col("n") <= SMALL).select("key"), "key", "left_semi")
+            close = bayes_filter(open_pairs(small), sigs).union(bayes_blocks(labelled, sizes.where(F.col("n") > SMALL), sigs)).distinct()
+        else:
+            close = bayes_filter(star_pairs(labelled, round_), sigs)
+        found = materialize(exact_filter(materialize(close), sets))
         release(labelled)
         links = found if links is None else links.union(found)
         labels = materialize(components(links))
