@@ -29,8 +29,8 @@ SAMPLE_DOCS, MAX_LANGS = 200, 64
 #: Frequent words per language that make up the lexicon.
 LEXICON = 300
 CHAINS, CHAIN_WORDS, EPOCHS, BATCH_CHAINS, RATE = 2400, 48, 3, 64, 0.3
-#: Words whose emissions a Python worker remembers; words per group of documents that are labelled together.
-CACHE_WORDS, GROUP_WORDS = 300_000, 200_000
+#: Words whose emissions a Python worker remembers; words per group of documents that are labelled together; characters cut into words at a time.
+CACHE_WORDS, GROUP_WORDS, CHUNK_CHARS = 200_000, 100_000, 1_500_000
 
 
 def features(word: str, lexicon: frozenset[str]) -> list[int]:
@@ -241,19 +241,29 @@ def identify(docs: DataFrame, modulus: int = 3) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         field = shared.value
         for batch in batches:
-            langs, scores, switches = [], [], []
-            texts = [WORDS(t.as_py() or "") if field else [] for t in batch.column(2)]
-            for p in field.probabilities(texts) if field else [np.zeros((0, 1))] * len(texts):
-                if not len(p):
-                    langs.append("und")
-                    scores.append(0.0)
-                    switches.append(0)
-                    continue
-                mean = p.mean(0)
-                best = int(mean.argmax())
-                langs.append(field.langs[best])
-                scores.append(min(1.0, float(mean[best])))
-                switches.append(int((np.diff(p.argmax(1)) != 0).sum()))
+            rows: list[tuple[str, float, int]] = []
+            texts: list[list[str]] = []
+            size = 0
+
+            def label() -> None:
+                for p in field.probabilities(texts) if field else [np.zeros((0, 1))] * len(texts):
+                    if not len(p):
+                        rows.append(("und", 0.0, 0))
+                        continue
+                    mean = p.mean(0)
+                    best = int(mean.argmax())
+                    rows.append((field.langs[best], min(1.0, float(mean[best])), int((np.diff(p.argmax(1)) != 0).sum())))
+                texts.clear()
+
+            for t in batch.column(2):
+                t = t.as_py() or ""
+                texts.append(WORDS(t) if field else [])
+                size += len(t)
+                if size > CHUNK_CHARS:
+                    label()
+                    size = 0
+            label()
+            langs, scores, switches = zip(*rows) if rows else ((), (), ())
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(langs, pa.string()), pa.array(scores, pa.float64()), pa.array(switches, pa.int64())], names=["doc_id", "held_out", "lang_pred", "score", "n_switches"])
 
     return keyed.select("doc_id", held_out(F.col("doc_id"), modulus).alias("held_out"), "text").mapInArrow(run, "doc_id long, held_out boolean, lang_pred string, score double, n_switches long")
