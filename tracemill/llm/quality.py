@@ -65,7 +65,9 @@ def measures(docs: DataFrame, text: str = "text") -> DataFrame:
     stop = F.array(*map(F.lit, STOP_WORDS))
     # one struct of hash and place for each window; sorting brings equal windows together
     starts = F.sequence(F.lit(0), F.size(ws) - WINDOW)
-    windows = F.when(F.size(ws) >= WINDOW, F.sort_array(F.transform(starts, lambda i: F.struct(F.xxhash64(*(F.get(ws, i + k) for k in range(WINDOW))).alias("h"), i.alias("i")))))
+    # a filter above would otherwise be moved below and work this out anew for every word; what the optimizer takes for indeterminate stays
+    here = F.spark_partition_id() >= 0
+    windows = F.when((F.size(ws) >= WINDOW) & here, F.sort_array(F.transform(starts, lambda i: F.struct(F.xxhash64(*(F.get(ws, i + k) for k in range(WINDOW))).alias("h"), i.alias("i")))))
     out = out.withColumns(
         {
             "_q_windows": windows,
