@@ -10,7 +10,8 @@ from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tracemill.operators.evaluate import MEASURES, model_picks, weighted
+from tracemill.operators.clean import regime
+from tracemill.operators.evaluate import MEASURES, complete, grouped_kfold, model_picks, regret_and_rank, weighted
 
 
 def imputation(train: DataFrame, columns: list[str]) -> dict[str, float]:
@@ -131,3 +132,43 @@ def fair_fight(predicted: DataFrame, systems: dict[str, str]) -> DataFrame:
         part = model_picks(real.join(guess, ["log_id", "weighting", "config_hash"]), method=name)
         out = part if out is None else out.unionByName(part)
     return out
+
+
+#: name -> (training regime, allowed algorithms or None): the setups of the ablation that differ in data and actions.
+SETUPS = {
+    "forest_real": ("real", None), "forest_real_synthetic": ("real_synthetic", None), "forest_full": ("full", None),
+    "forest_real_two": ("real", ("alg0", "alg1")), "forest_full_two": ("full", ("alg0", "alg1")),
+}
+
+
+def ablation(runs: DataFrame, columns: list[str], setups: dict[str, tuple] = SETUPS, k: int = 5, trees: int = 20) -> DataFrame:
+    """(setup, mean and median accuracy and regret, cells) of forests trained per regime and held to an action space, families held out.
+
+    The driver loops over setups and folds, which are a design; rows stay in Spark.
+    """
+    full = complete(runs)
+    folds = grouped_kfold(full, k)
+    tagged = full.join(F.broadcast(folds.select("log_id", "fold")), "log_id").cache()
+    names = [r["fold"] for r in tagged.select("fold").distinct().collect()]
+    out = None
+    for setup, (data, allowed) in setups.items():
+        parts = None
+        for fold in sorted(names):
+            train = regime(tagged.where(F.col("fold") != fold), data)
+            if not train.limit(1).count():
+                continue
+            medians = imputation(train, columns)
+            models = train_surrogate(impute(train, medians), columns, trees=trees, depth=6)
+            part = predict_measures(models, impute(tagged.where(F.col("fold") == fold), medians))
+            parts = part if parts is None else parts.unionByName(part)
+        if parts is None:
+            continue
+        real = weighted(parts)
+        guess = weighted(parts, "pred_", "predicted").select("log_id", "weighting", "config_hash", F.round("predicted", 9).alias("predicted"))
+        scored = real.join(guess, ["log_id", "weighting", "config_hash"])
+        action = scored.where(F.col("algorithm").isin(*allowed)) if allowed else scored
+        graded = regret_and_rank(scored, action, model_picks(action))
+        row = graded.agg(F.avg("accuracy_action").alias("mean_accuracy"), F.percentile("accuracy_action", 0.5).alias("median_accuracy"), F.avg("regret_full").alias("mean_regret"), F.count("*").alias("n_cells"))
+        row = row.select(F.lit(setup).alias("setup"), "*")
+        out = row if out is None else out.unionByName(row)
+    return out

@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 
 from tracemill.operators import evaluate as V
 from tracemill.operators import models as L
-from tracemill.operators.clean import log_family
 from tracemill.plans.base import register
 from tracemill.plans.evaluation_queries import BASE, defaults, scores
 from tracemill.plans.grid_queries import nested
@@ -87,7 +86,8 @@ de AS (SELECT log_id, config_hash FROM (SELECT cr.*, row_number() OVER (PARTITIO
 mn AS (SELECT 'model' AS method, sc.* FROM sc UNION ALL SELECT 'grid_menu', sc.* FROM sc WHERE config_hash NOT IN (SELECT config_hash FROM cr WHERE experiment_id = 'v6_hpo') UNION ALL SELECT 'defaults', sc.* FROM sc SEMI JOIN de USING (log_id, config_hash)),
 pk AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY method, log_id, weighting ORDER BY round(predicted, 9) DESC, config_hash) AS r FROM mn) WHERE r = 1)
 SELECT method, avg(CASE WHEN best = worst THEN 1 ELSE (score - worst) / (best - worst) END) AS accuracy, avg(score) AS realised, count(*) AS n_cells FROM pk JOIN ce USING (log_id, weighting) GROUP BY 1""", "accuracy realised")
-register("V23_ablation_matrix", lambda s, d: V.regression_error(folded(s, d).withColumn("family", log_family(F.col("log_id")))))
+register("V5_folded_regression_error", lambda s, d: V.regression_error(folded(s, d)))
+register("V23_ablation_matrix", lambda s, d: L.ablation(runs(s, d).drop(*(f"pred_{m}" for m in V.MEASURES)), COLUMNS, {k: L.SETUPS[k] for k in ("forest_real", "forest_full_two")}, k=2, trees=3))
 
 
 def xes_back(s, d):
