@@ -34,6 +34,31 @@ def dependency_graph(dfg: DataFrame, starts_dep: float = 0.5, min_count: int = 1
     return j.withColumn("dependency", dep).where((F.col("dependency") >= starts_dep) & (F.col("n") >= min_count)).select(*ARC, "n", "dependency")
 
 
+def length_two_dependency(kinds: DataFrame, least: float = 0.0) -> DataFrame:
+    """(log_id, a, b, measure) for steps a, b, a: (aba + bab) / (aba + bab + 1), at least ``least``."""
+    t = F.col("trace")
+    hits = F.filter(F.transform(t, lambda x, i: F.when((x == F.get(t, i + 2)) & (x != F.get(t, i + 1)), F.struct(x.alias("a"), F.get(t, i + 1).alias("b")))), lambda x: x.isNotNull())
+    n = kinds.select("log_id", "n", F.explode(hits).alias("h")).groupBy("log_id", "h.a", "h.b").agg(F.sum("n").alias("n"))
+    back = n.select("log_id", F.col("a").alias("b"), F.col("b").alias("a"), F.col("n").alias("m"))
+    both = n.join(back, ["log_id", "a", "b"], "full_outer").withColumn("k", F.coalesce("n", F.lit(0)) + F.coalesce("m", F.lit(0)))
+    return both.select("log_id", "a", "b", (F.col("k") / (F.col("k") + 1)).alias("measure")).where(F.col("measure") >= least)
+
+
+def and_measure(dfg: DataFrame, least: float = 0.0) -> DataFrame:
+    """(log_id, source, b, c, measure) of two successors b < c: (bc + cb) / (source b + source c + 1), at least ``least``.
+
+    Pairs are within the successors of one activity, which the alphabet bounds.
+    """
+    x = dfg.select("log_id", "source", F.col("target").alias("b"), F.col("n").alias("nb"))
+    y = dfg.select("log_id", "source", F.col("target").alias("c"), F.col("n").alias("nc"))
+    pairs = x.join(y, ["log_id", "source"]).where("b < c")
+    there = dfg.select("log_id", F.col("source").alias("b"), F.col("target").alias("c"), F.col("n").alias("bc"))
+    back = dfg.select("log_id", F.col("source").alias("c"), F.col("target").alias("b"), F.col("n").alias("cb"))
+    j = pairs.join(there, ["log_id", "b", "c"], "left").join(back, ["log_id", "b", "c"], "left")
+    m = (F.coalesce("bc", F.lit(0)) + F.coalesce("cb", F.lit(0))) / (F.col("nb") + F.col("nc") + 1)
+    return j.select("log_id", "source", "b", "c", m.alias("measure")).where(F.col("measure") >= least)
+
+
 def filter_dfg(dfg: DataFrame, noise: float) -> DataFrame:
     """Arcs with at least the share ``noise`` of the most frequent arc that leaves the same source."""
     top = F.max("n").over(Window.partitionBy("log_id", "source"))

@@ -120,6 +120,14 @@ FROM nodes a JOIN nodes b USING (log_id) LEFT JOIN dfg x ON x.log_id = a.log_id
 register("W2_dependency_graph", lambda s, d: W.dependency_graph(graph(s, d), 0.05, 5), "WITH " + DFG + """,
 j AS (SELECT x.*, coalesce(y.n, 0) AS back FROM dfg x LEFT JOIN dfg y ON y.log_id = x.log_id AND y.source = x.target AND y.target = x.source), k2 AS (SELECT log_id, source, target, n, CASE WHEN source = target THEN n / (n + 1) ELSE (n - back) / (n + back + 1) END AS dependency FROM j)
 SELECT * FROM k2 WHERE dependency >= 0.05 AND n >= 5""", "dependency")
+register("W2_length_two_dependency", lambda s, d: W.length_two_dependency(kinds(s, d)), TRACES + """,
+h AS (SELECT log_id, t[i] AS a, t[i + 1] AS b, sum(n) AS n FROM (SELECT log_id, t, n, unnest(range(1, len(t) - 1)) AS i FROM k) WHERE t[i] = t[i + 2] AND t[i] <> t[i + 1] GROUP BY 1, 2, 3),
+u AS (SELECT log_id, a, b, sum(n) AS n FROM (SELECT * FROM h UNION ALL SELECT log_id, b, a, n FROM h) GROUP BY 1, 2, 3)
+SELECT log_id, a, b, n / (n + 1) AS measure FROM u""", "measure")
+register("W2_and_measure", lambda s, d: W.and_measure(graph(s, d), 0.05), "WITH " + DFG + """,
+m AS (SELECT x.log_id, x.source, x.target AS b, y.target AS c, (coalesce(p.n, 0) + coalesce(q.n, 0)) / (x.n + y.n + 1) AS measure FROM dfg x JOIN dfg y ON x.log_id = y.log_id AND x.source = y.source AND x.target < y.target
+ LEFT JOIN dfg p ON p.log_id = x.log_id AND p.source = x.target AND p.target = y.target LEFT JOIN dfg q ON q.log_id = x.log_id AND q.source = y.target AND q.target = x.target)
+SELECT * FROM m WHERE measure >= 0.05""", "measure")
 register("W3_filter_dfg", lambda s, d: W.filter_dfg(graph(s, d), 0.7), "WITH " + DFG + "\nSELECT log_id, source, target, n FROM (SELECT *, max(n) OVER (PARTITION BY log_id, source) AS top FROM dfg) WHERE n >= top * 0.7")
 FIT = """ne AS (SELECT DISTINCT log_id, v, t[i] AS source, t[i + 1] AS target FROM (SELECT log_id, v, t, unnest(range(1, len(t))) AS i FROM k)), nd AS (SELECT log_id, v, count(*) AS need FROM ne GROUP BY 1, 2),
 mt AS (SELECT config_hash, ne.log_id, v, count(*) AS met FROM ne JOIN kp USING (log_id, source, target) GROUP BY 1, 2, 3), gd AS (SELECT config_hash, mt.log_id, sum(n) AS good FROM mt JOIN nd USING (log_id, v) JOIN k USING (log_id, v) WHERE met = need GROUP BY 1, 2),
