@@ -42,7 +42,7 @@ RULES = (
     Rule("length", "word_chars", "n_words", 200, 1500),
     Rule("symbols", "n_symbols", "n_words", None, 10),
     Rule("stop_words", "n_stop_words", "n_words", 2, None, 50),
-    Rule("lines", "n_dup_lines", "n_lines", None, 30),
+    Rule("lines", "n_dup_lines", "n_lines", None, 50),
 )
 MIN_WORDS = 10
 MAX_REPEAT_PERCENT = 20
