@@ -311,6 +311,16 @@ def test_html_template_classes(spark):
     assert None in nested.values() and len(nested) == 2  # once a page, and the two paragraphs
 
 
+def test_html_template_text_is_left_out(spark):
+    plain = "<html><body><div>Welcome to us</div><p>Terms apply</p><p>Story %d</p><p>Also %d</p></body></html>"
+    article = "<html><body><article><h1>Head %d</h1><p>Body %d</p><div>Follow us</div></article></body></html>"
+    pages = [(i, "http://plain.example/", plain % (i, i)) for i in range(5)] + [(10 + i, "http://main.example/", article % (i, i)) for i in range(5)]
+    pages += [(20 + i, "http://copies.example/", article % (7, 7)) for i in range(5)]
+    out = {r["page_id"]: r["text"] for r in html_template.extract(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+    assert out[3] == "Story 3 Also 3" and out[13] == "Head 3 Body 3"
+    assert out[23] == "Head 7 Body 7 Follow us"  # copies tell no slots
+
+
 def test_html_leaves_inner_text_whole():
     html = '<main><p>a&nbsp;b&lt;c&#233;</p><ul><li>x<li>y</ul><form>no</form><section id="reader-comments">no</section></main>'
     assert html_template.main_text(html) == "a b<cé x y"

@@ -150,10 +150,10 @@ def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def templates(pages: DataFrame, min_pages: int = MIN_PAGES, min_percent: int = MIN_PERCENT) -> DataFrame:
-    """(host, has_main, elements, texts): the tokens of each host's valid classes.
+    """(host, has_main, elements, constants, texts): the tokens of each host's valid classes.
 
-    ``elements`` has element paths with their class (a fingerprint), ``texts``
-    text blocks. A token on the required share of a host's pages is as long a
+    ``elements`` has element paths and ``constants`` text blocks with their
+    class (a fingerprint), ``texts`` the text blocks alone. A token on the required share of a host's pages is as long a
     list as a page at most, so a host's template is bounded by its pages' size.
     """
     counts = pages.mapInArrow(_tokens, TOKENS).groupBy("host", "token", "element", "main")
@@ -161,18 +161,24 @@ def templates(pages: DataFrame, min_pages: int = MIN_PAGES, min_percent: int = M
     whole = counts.where((F.col("token") == token_of("", None)) & F.col("element")).select("host", F.col("pages").alias("n"))
     held = counts.join(whole, "host").where((F.col("pages") >= min_pages) & (F.col("pages") * 100 >= F.col("n") * min_percent))
     cls = F.xxhash64("pages", "total", "f1", "f2")
-    return held.groupBy("host").agg(
+    found = held.groupBy("host").agg(
         F.bool_or(F.col("main") & F.col("element")).alias("has_main"),
         F.collect_list(F.when(F.col("element"), F.struct("token", cls.alias("cls")))).alias("elements"),
-        F.collect_list(F.when(~F.col("element"), F.col("token"))).alias("texts"),
+        F.collect_list(F.when(~F.col("element"), F.struct("token", cls.alias("cls")))).alias("constants"),
     )
+    return found.withColumn("texts", F.col("constants.token"))
 
 
 class Template:
-    """A host's nested classes: for every element path of the template its class."""
+    """A host's nested classes: for every element path of the template its class, and its text blocks, with their classes where given."""
 
-    def __init__(self, has_main: bool, elements: dict[int, int], texts: frozenset[int]):
-        self.has_main, self.classes, self.texts = has_main, elements, texts
+    def __init__(self, has_main: bool, elements: dict[int, int], texts: frozenset[int], constants: dict[int, int] | None = None):
+        self.has_main, self.classes, self.texts, self.constants = has_main, elements, texts, constants or {}
+
+    def fixed(self, path: str, text: str) -> bool:
+        """Whether a text block of the template has the class of its element: it stands wherever the element does."""
+        own = self.constants.get(token_of(path, text))
+        return own is not None and own == self.classes.get(token_of(path, None))
 
     def slot(self, path: str) -> str:
         """The innermost template path that holds ``path``: the slot that a block fills."""
@@ -197,14 +203,19 @@ EMPTY = Template(False, {}, frozenset())
 def main_text(source: str | None, template: Template = EMPTY) -> str:
     """The blocks in the slots of the main content, joined by one space.
 
-    A block counts unless its path has an element without main text. If the
-    template has article or main elements, only blocks inside one count (on a
-    page without any, all do); text blocks of the template count only there.
+    A block counts unless its path has an element without main text. On a page
+    with article or main elements only blocks inside one count. Text blocks of
+    the template fill no slot and are left out; inside article or main only
+    those that have their element's class, as an element that also holds other
+    text is a slot there. Where all blocks are text of the template, the page
+    is a copy of other pages of its host, which tell no slots, and keeps them.
     """
     found = [(p, t, inside) for p, t, off, inside in blocks(source) if t is not None and not off]
-    if any(inside for _, _, inside in found):
-        return " ".join(t for _, t, inside in found if inside)
-    return " ".join(t for p, t, _ in found if template.slot(p) == p or token_of(p, t) not in template.texts)
+    main = any(inside for _, _, inside in found)
+    found = [(p, t) for p, t, inside in found if inside or not main]
+    if all(token_of(p, t) in template.texts for p, t in found):
+        return " ".join(t for _, t in found)
+    return " ".join(t for p, t in found if not (template.fixed(p, t) if main else token_of(p, t) in template.texts))
 
 
 def extract(pages: DataFrame, min_pages: int = MIN_PAGES, min_percent: int = MIN_PERCENT) -> DataFrame:
@@ -215,7 +226,7 @@ def extract(pages: DataFrame, min_pages: int = MIN_PAGES, min_percent: int = MIN
     ignored.
     """
     keyed = pages.select("page_id", "url", "html")
-    found = materialize(templates(keyed, min_pages, min_percent)).withColumnRenamed("host", "_tm_host")
+    found = materialize(templates(keyed, min_pages, min_percent).drop("texts")).withColumnRenamed("host", "_tm_host")
     name = F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), r"(?i)^(?:[a-z][a-z0-9+.-]*:)?//(?:[^/?#]*@)?([^/?#]*)", 1))
     joined = keyed.withColumn("_tm_host", name).join(found, "_tm_host", "left")
 
@@ -228,9 +239,10 @@ def extract(pages: DataFrame, min_pages: int = MIN_PAGES, min_percent: int = MIN
                     if len(last) > 1000:
                         last.clear()
                     elements = {e["token"]: e["cls"] for e in batch.column(5)[i].as_py() or []}
-                    last[name] = Template(bool(batch.column(4)[i].as_py()), elements, frozenset(batch.column(6)[i].as_py() or []))
+                    constants = {e["token"]: e["cls"] for e in batch.column(6)[i].as_py() or []}
+                    last[name] = Template(bool(batch.column(4)[i].as_py()), elements, frozenset(constants), constants)
                 texts.append(main_text(source, last[name]))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
     kind = keyed.schema["page_id"].dataType.simpleString()
-    return joined.select("page_id", "url", "html", "_tm_host", "has_main", "elements", "texts").mapInArrow(run, f"page_id {kind}, url string, text string, n_chars long")
+    return joined.select("page_id", "url", "html", "_tm_host", "has_main", "elements", "constants").mapInArrow(run, f"page_id {kind}, url string, text string, n_chars long")
