@@ -163,6 +163,21 @@ def test_line_templates_equal_brute_force(spark):
     assert all(found[40 + i] == docs[1][1] for i in range(6))
 
 
+def test_line_templates_whatever_a_shared_line_hashes_to(spark):
+    """Every shared line goes that leaves enough distinct remaining texts (counted here), small leaf or not; copies stay."""
+    rng = random.Random(11)
+    docs, shared = [], [sentence(rng, 8) for _ in range(40)]
+    for k, line in enumerate(shared):
+        docs += [(20 * k + i, f"{line}\n{sentence(rng, 12)}") for i in range(20)]
+    copied = f"{sentence(rng, 8)}\n{sentence(rng, 12)}"
+    docs += [(5000 + i, copied) for i in range(20)]
+    found = {r["doc_id"]: r["text"] for r in templates.dedup_lines(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    for line in shared:
+        rest = {t.replace(line, "") for _, t in docs if line in t}
+        assert len(rest) >= templates.MIN_DOCS_SHORT and not any(line in t for t in found.values())
+    assert all(found[5000 + i] == copied for i in range(20))
+
+
 def test_line_templates_odd(odd, empty):
     out = templates.dedup_lines(odd)
     assert out.columns == odd.columns and out.count() == odd.count()

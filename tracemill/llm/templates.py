@@ -7,8 +7,10 @@ constant of the template, any other segment is a variable field. Lines whose
 template keeps at least half of its segments and recurs over documents that
 are not copies of one another are dropped from all of them.
 
-Copies are told apart by a sketch (the smallest leaf of the document), so that
-a group of copies counts about once: whole copies are left to near-dedup.
+Copies are told apart by sketches (the smallest leaf of the document's other
+lines, in three orders), so that a group of copies counts about once: whole
+copies are left to near-dedup. The line under test has no part in them, and
+the median of the three counts bears another recurring line that comes first.
 """
 
 from __future__ import annotations
@@ -31,11 +33,15 @@ MIN_TOKENS = 4
 #: Lines of so many tokens are long: they need fewer documents to count as recurring.
 LONG_TOKENS = 10
 MIN_DOCS_LONG, MIN_DOCS_SHORT = 3, 10
-#: Distinct sketches in a hundred documents, at least.
+#: Distinct sketches in a hundred documents, at least: families of near copies have several, but few for their size.
 MIN_SKETCH_PERCENT = 30
 
+# Odd factors that put leaves into independent orders.
+ORDERS = (1, 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
+
+SKETCHES = [f"sketch{j}" for j in range(len(ORDERS))]
 PLACES = [f"s{j}" for j in range(SEGMENTS)]
-LINES = "doc_id long, text_hash long, sketch long, leaf long, variant long, n_tokens int, lines array<int>, " + ", ".join(f"{p} long" for p in PLACES)
+LINES = "doc_id long, text_hash long, leaf long, variant long, n_tokens int, lines array<int>, " + ", ".join([*(f"{c} int" for c in SKETCHES), *(f"{p} long" for p in PLACES)])
 DIGIT = re.compile(rb"[0-9]")
 
 
@@ -70,21 +76,25 @@ def parse(text: str | None) -> dict[int, tuple[int, int, list[int], list[int]]]:
     return out
 
 
-def sketch_of(found: dict[int, tuple[int, int, list[int], list[int]]]) -> int:
-    """The smallest leaf of a document's lines."""
-    return min((f[0] for f in found.values()), default=0)
+def sketches_of(leaves: set[int]) -> dict[int, tuple[int, ...]]:
+    """leaf -> the smallest other leaf of a document in every order (32 bits of it), 0 if there is none."""
+    firsts = []
+    for factor in ORDERS:
+        keyed = sorted(((leaf * factor) & 0xFFFFFFFFFFFFFFFF, leaf) for leaf in leaves)[:2]
+        firsts.append([((k >> 32) - (1 << 31), leaf) for k, leaf in keyed])
+    return {leaf: tuple(next((k for k, other in first if other != leaf), 0) for first in firsts) for leaf in leaves}
 
 
 def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    kinds = [*[pa.int64()] * 5, pa.int32(), pa.list_(pa.int32()), *[pa.int64()] * SEGMENTS]
-    names = ["doc_id", "text_hash", "sketch", "leaf", "variant", "n_tokens", "lines", *PLACES]
+    kinds = [*[pa.int64()] * 4, pa.int32(), pa.list_(pa.int32()), *[pa.int32()] * len(ORDERS), *[pa.int64()] * SEGMENTS]
+    names = ["doc_id", "text_hash", "leaf", "variant", "n_tokens", "lines", *SKETCHES, *PLACES]
     for batch in batches:
         rows: list[tuple] = []
         for doc, text, key in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist()):
             found = parse(text.as_py())
-            sketch = sketch_of(found)
+            sketches = sketches_of({f[0] for f in found.values()})
             for variant, (leaf, n, lines, segments) in found.items():
-                rows.append((doc, key, sketch, leaf, variant, n, lines, *segments, *[None] * (SEGMENTS - len(segments))))
+                rows.append((doc, key, leaf, variant, n, lines, *sketches[leaf], *segments, *[None] * (SEGMENTS - len(segments))))
         cols = zip(*rows) if rows else [[] for _ in kinds]
         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=names)
 
@@ -97,15 +107,14 @@ def least_docs():
 def recurring_variants(lines: DataFrame) -> DataFrame:
     """The variants (distinct masked lines) whose template recurs.
 
-    All counts are sums over variants or (variant, sketch) pairs, so a line
-    that a third of all documents share is one row after the first, map-side
-    combined aggregation.
+    A line that a third of all documents share is one row after the first,
+    map-side combined aggregation; copies are only counted where a template
+    has enough constants.
     """
-    by_sketch = lines.groupBy("leaf", "variant", "sketch").agg(F.count("*").alias("docs"), F.max("n_tokens").alias("n_tokens"), *(F.max(p).alias(p) for p in PLACES))
-    by_sketch = materialize(by_sketch)
-    busy = by_sketch.groupBy("leaf").agg(F.sum("docs").alias("n"), F.max("n_tokens").alias("n_tokens")).where(F.col("n") >= least_docs()).select("leaf")
-    live = materialize(by_sketch.join(materialize(busy), "leaf", "left_semi"))
-    variants = live.groupBy("leaf", "variant").agg(F.sum("docs").alias("docs"), F.max("n_tokens").alias("n_tokens"), *(F.max(p).alias(p) for p in PLACES))
+    every = lines.groupBy("leaf", "variant").agg(F.count("*").alias("docs"), F.max("n_tokens").alias("n_tokens"), *(F.max(p).alias(p) for p in PLACES))
+    every = materialize(every)
+    busy = every.groupBy("leaf").agg(F.sum("docs").alias("n"), F.max("n_tokens").alias("n_tokens")).where(F.col("n") >= least_docs()).select("leaf")
+    variants = every.join(materialize(busy), "leaf", "left_semi")
     variants = materialize(variants.select("leaf", "variant", "docs", "n_tokens", F.filter(F.array(*PLACES), lambda x: x.isNotNull()).alias("segments")))
     # constants: segments that recur at their place in the leaf
     places = variants.select("leaf", "variant", "n_tokens", "docs", F.size("segments").alias("k"), F.posexplode("segments").alias("place", "segment"))
@@ -116,9 +125,12 @@ def recurring_variants(lines: DataFrame) -> DataFrame:
     template = template.where(F.size("constants") * 2 >= F.col("k")).select("variant", "n_tokens", F.xxhash64("leaf", "constants").alias("template"))
     template = materialize(template)
     # a template's documents and copy groups over all its variants
-    spread = live.select("variant", "sketch", "docs").join(template, "variant")
-    spread = spread.groupBy("template", "sketch").agg(F.sum("docs").alias("docs"), F.max("n_tokens").alias("n_tokens"))
-    total = spread.groupBy("template").agg(F.sum("docs").alias("docs"), F.count("*").alias("groups"), F.max("n_tokens").alias("n_tokens"))
+    spread = lines.select("variant", *SKETCHES).join(template, "variant")
+    spread = spread.groupBy("template", *SKETCHES).agg(F.count("*").alias("docs"), F.max("n_tokens").alias("n_tokens"))
+    spread = spread.select("template", F.posexplode(F.array(*SKETCHES)).alias("order", "sketch"), "docs", "n_tokens")
+    spread = spread.groupBy("template", "order", "sketch").agg(F.sum("docs").alias("docs"), F.max("n_tokens").alias("n_tokens"))
+    total = spread.groupBy("template", "order").agg(F.sum("docs").alias("docs"), F.count("*").alias("groups"), F.max("n_tokens").alias("n_tokens"))
+    total = total.groupBy("template").agg(F.max("docs").alias("docs"), F.sort_array(F.collect_list("groups"))[len(ORDERS) // 2].alias("groups"), F.max("n_tokens").alias("n_tokens"))
     recurring = total.where((F.col("groups") >= least_docs()) & (F.col("groups") * 100 >= F.col("docs") * MIN_SKETCH_PERCENT)).select("template")
     return materialize(template.join(recurring, "template", "left_semi").select("variant"))
 
@@ -166,7 +178,7 @@ def line_report(docs: DataFrame) -> DataFrame:
 def brute_force(docs: list[tuple[int, str | None]]) -> dict[int, str | None]:
     """What dedup_lines leaves of each text, by plain dictionaries (for tests)."""
     rows = {d: parse(t) for d, t in docs}
-    docs_of, spread, shape = defaultdict(set), defaultdict(lambda: defaultdict(int)), {}
+    docs_of, spread, shape = defaultdict(set), defaultdict(lambda: [defaultdict(int) for _ in ORDERS]), {}
     for d, found in rows.items():
         for v, (leaf, n, _, segments) in found.items():
             docs_of[v].add(d)
@@ -179,14 +191,17 @@ def brute_force(docs: list[tuple[int, str | None]]) -> dict[int, str | None]:
     for v, (leaf, _, segments) in shape.items():
         for place in enumerate(segments):
             times[leaf, place] += len(docs_of[v])
+    sketches = {d: sketches_of({f[0] for f in found.values()}) for d, found in rows.items()}
     template = {}
     for v, (leaf, n, segments) in shape.items():
         constants = tuple(p for p in enumerate(segments) if times[leaf, p] >= need(n))
         if constants and 2 * len(constants) >= len(segments):
             template[v] = leaf, constants
             for d in docs_of[v]:
-                spread[leaf, constants][sketch_of(rows[d])] += 1
-    good = {v for v, t in template.items() if len(spread[t]) >= need(shape[v][1]) and 100 * len(spread[t]) >= MIN_SKETCH_PERCENT * sum(spread[t].values())}
+                for counts, sketch in zip(spread[leaf, constants], sketches[d][leaf]):
+                    counts[sketch] += 1
+    groups = {t: sorted(map(len, counts))[len(ORDERS) // 2] for t, counts in spread.items()}
+    good = {v for v, t in template.items() if groups[t] >= need(shape[v][1]) and 100 * groups[t] >= MIN_SKETCH_PERCENT * sum(spread[t][0].values())}
     out = {}
     for d, t in docs:
         bad = {i for v, found in rows[d].items() if v in good for i in found[2]}
