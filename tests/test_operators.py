@@ -73,6 +73,13 @@ def test_near_duplicates_are_dropped_in_order(spark):
     assert sorted(r["point_id"] for r in out.collect()) == [p[0] for p in kept]
 
 
+def test_near_duplicates_of_a_long_chain(spark):
+    schema = "point_id long, " + ", ".join(f"{a} double" for a in space.AXES)
+    pts = [(i, 0.1 * i, *([0.0] * 5)) for i in range(104)]
+    out = space.near_duplicate_dedup(spark.createDataFrame(pts, schema), spark.createDataFrame([(-1, *([99.0] * 6))], schema))
+    assert sorted(r["point_id"] for r in out.collect()) == [*range(0, 104, 2)]
+
+
 def test_acceptance_takes_the_first_reason(spark):
     axes = {a: 1.0 for a in space.AXES}
     row = {"n_traces": 9, "n_activities": 1, "n_variants": 1, "min_trace_length": 1.0, "max_trace_length": 2.0, "n_events": 5.0, "attainment_error": 0.1, "duplicate_distance": 1.0, **axes}

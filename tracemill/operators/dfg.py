@@ -80,15 +80,20 @@ def reliable(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def weak_components(dfg: DataFrame, nodes: DataFrame, rounds: int = 50) -> DataFrame:
-    """Weakly connected components per log, by spreading the smallest label over all logs at once."""
+def weak_components(dfg: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Weakly connected components per log, by spreading the smallest label over all logs at once.
+
+    A label is an activity of the same component, so every round also takes
+    the label's own label (long paths need few rounds), until nothing changes.
+    """
     links = dfg.select("log_id", F.col("source").alias("x"), F.col("target").alias("y")).where("x <> y")
     links = reliable(links.union(links.select("log_id", "y", "x")).distinct())
     labels = nodes.select("log_id", F.col("activity").alias("x"), F.col("activity").alias("label"))
-    for _ in range(rounds):
+    while True:
         near = labels.withColumnRenamed("x", "y").join(links, ["log_id", "y"]).groupBy("log_id", "x").agg(F.min("label").alias("m"))
         new = reliable(labels.join(near, ["log_id", "x"], "left").select("log_id", "x", F.least("label", "m").alias("label"), (F.col("m") < F.col("label")).alias("moved")))
-        labels = new.select("log_id", "x", "label")
         if not new.where("moved").limit(1).count():
             break
+        jump = new.groupBy("log_id", F.col("x").alias("label")).agg(F.min("label").alias("further"))
+        labels = reliable(new.join(jump, ["log_id", "label"], "left").select("log_id", "x", F.least("label", "further").alias("label")))
     return labels.groupBy("log_id").agg(F.count_distinct("label").alias("weakly_connected_components_custom"))

@@ -204,11 +204,12 @@ def acceptance(records: DataFrame, max_events: float = 2_000_000.0, duplicates:
     return records.withColumn("rejection_reason", reason)
 
 
-def near_duplicate_dedup(points: DataFrame, real: DataFrame, key: str = "point_id", rounds: int = 100) -> DataFrame:
+def near_duplicate_dedup(points: DataFrame, real: DataFrame, key: str = "point_id") -> DataFrame:
     """In id order a point is kept if it is far from all real and all earlier kept points (standardized input).
 
     Every round decides the points whose earlier close neighbours are all
-    decided; that gives the sequential result exactly.
+    decided; that gives the sequential result exactly. The first undecided
+    point is always among them, so the rounds end.
     """
     far = nearest_distance(points, real, key).where(F.col("nearest_real_distance") >= NEAR_DUPLICATE).drop("nearest_real_distance")
     # only points of neighbouring grid cells can be close: cells are as wide as the limit on the first two axes
@@ -217,7 +218,7 @@ def near_duplicate_dedup(points: DataFrame, real: DataFrame, key: str = "point_i
     around = cell.withColumn("dx", F.explode(steps)).withColumn("dy", F.explode(steps)).select(F.col(key).alias("e"), (F.col("cx") + F.col("dx")).alias("cx"), (F.col("cy") + F.col("dy")).alias("cy"), *(F.col(a).alias(f"r_{a}") for a in AXES))
     edges = reliable(cell.join(around, ["cx", "cy"]).where(F.col("e") < F.col(key)).where(distance("r_") < NEAR_DUPLICATE).select(F.col(key).alias("p"), "e"))
     state = reliable(far.select(F.col(key).alias("p"), F.lit(None).cast("boolean").alias("kept")))
-    for _ in range(rounds):
+    while True:
         seen = edges.join(state.withColumnRenamed("p", "e"), "e").groupBy("p").agg(F.coalesce(F.bool_or("kept"), F.lit(False)).alias("near"), F.count_if(F.col("kept").isNull()).alias("waiting"))
         j = state.join(seen, "p", "left")
         now = F.when(F.coalesce("near", F.lit(False)), False).when(F.coalesce("waiting", F.lit(0)) == 0, True)
