@@ -205,6 +205,15 @@ def test_secrets_learned_format(spark):
     assert out[102]["spans"] == "" and out[102]["base_sha256"] == hashlib.sha256(b"").hexdigest()
 
 
+def test_secrets_learned_short_and_dotted_formats(spark):
+    rng = random.Random(5)
+    key = lambda n, cs: "".join(rng.choice(cs) for _ in range(n))
+    docs = [(i, f"say token = {key(9, 'QXZ')} or secret = {key(6, '0123456789')}.{key(6, '0123456789')} now") for i in range(60)]
+    docs += [(100, "loose QXZZQXZXQ"), (101, "at 482910.558213. And on"), (102, "something else altogether")]
+    out = {r["doc_id"]: r for r in secrets.scan(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert out[100]["spans"] == "format:6:15" and out[101]["spans"] == "format:3:16" and out[102]["n_format"] == 0
+
+
 def test_secrets_odd(odd, empty):
     assert secrets.scan(odd).count() == odd.count()
     assert secrets.scan(empty).count() == 0

@@ -4,9 +4,10 @@ The credentials that the base patterns label are samples of the formats in
 use. From a bounded sample per kind a prefix tree of character classes is
 built, and states whose futures are statistically alike (Hoeffding bounds on
 all transition and end frequencies) are merged into a probabilistic automaton.
-Every other long token of every text is then scored by its likelihood under
-each automaton; tokens as likely as the labelled credentials become spans of
-kind ``format``.
+Every other token of every text is then scored by its likelihood under each
+automaton; tokens as likely as the labelled credentials become spans of kind
+``format``. A token is a run of the base patterns' characters; where the run as
+a whole is no match, its parts between dots are tried.
 """
 
 from __future__ import annotations
@@ -31,8 +32,11 @@ KEYWORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 KINDS = ("assign", "access", "hex")
 LEARNED = "format"
 
-#: A token that may be a credential: long, and of letters and digits.
-CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
+#: A token that may be a credential: the base patterns' characters, as long as their shortest credential.
+CANDIDATE = re.compile(r"[A-Za-z0-9+/_.=-]{8,}")
+PART = re.compile(r"[A-Za-z0-9+/_=-]{8,}")
+#: Shapes whose verdict a worker remembers, at most.
+REMEMBERED = 200_000
 #: Distinct labelled credentials of a kind that its automaton is learned from, and their length at most.
 SAMPLE, SAMPLE_CHARS = 1000, 200
 #: Risk of the Hoeffding test; share of the labelled credentials that the score threshold lets go.
@@ -52,13 +56,26 @@ def base_spans(text: str) -> list[tuple[str, int, int, str]]:
     return sorted(out, key=lambda s: (s[1], KINDS.index(s[0])))
 
 
-def candidates(text: str, spans: list[tuple[str, int, int, str]]) -> list[tuple[int, int, str]]:
-    """(start, end, value) of tokens with a letter and a digit that no base span touches."""
-    out = []
+def candidates(text: str, spans: list[tuple[str, int, int, str]]) -> Iterator[list[tuple[int, int, str]]]:
+    """For every token the (start, end, value) of itself without outer dots and of its parts between dots, without any that a base span touches."""
     for m in CANDIDATE.finditer(text):
-        v, a, b = m[0], m.start(), m.end()
-        if any(c.isdigit() for c in v) and any(c.isalpha() for c in v) and not any(s < b and a < e for _, s, e, _ in spans):
-            out.append((a, b, v))
+        v, at = m[0], m.start()
+        whole = v.strip(".")
+        tries = [(at + v.index(whole), whole)] if len(whole) >= 8 else []
+        if "." in whole:
+            tries += [(p.start() + at, p[0]) for p in PART.finditer(v)]
+        free = [(a, a + len(x), x) for a, x in tries if not any(s < a + len(x) and a < e for _, s, e, _ in spans)]
+        if free:
+            yield free
+
+
+def learned_spans(text: str, spans: list[tuple[str, int, int, str]], likely) -> list[tuple[int, int]]:
+    """(start, end) of the tokens that ``likely`` takes, of their parts where the whole is not taken."""
+    out: list[tuple[int, int]] = []
+    for tries in candidates(text, spans):
+        for a, b, value in tries:
+            if (not out or a >= out[-1][1]) and likely(classes(value)):
+                out.append((a, b))
     return out
 
 
@@ -171,20 +188,25 @@ def learn(samples: dict[str, list[str]]) -> dict[str, tuple[Automaton, float]]:
     return out
 
 
-FOUND = "doc_id long, spans array<struct<kind:string,start:int,stop:int,value:string>>, rest array<struct<start:int,stop:int,value:string>>"
-
-
 def _find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    span = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("stop", pa.int32()), ("value", pa.string())]))
-    rest = pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32()), ("value", pa.string())]))
     for batch in batches:
-        a, b = [], []
-        for text in batch.column(1):
-            text = text.as_py() or ""
-            spans = base_spans(text)
-            a.append([dict(zip(("kind", "start", "stop", "value"), s)) for s in spans])
-            b.append([dict(zip(("start", "stop", "value"), s)) for s in candidates(text, spans)])
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(a, span), pa.array(b, rest)], names=["doc_id", "spans", "rest"])
+        found = {(k, v) for text in batch.column(0) for k, _, _, v in base_spans(text.as_py() or "") if len(v) <= SAMPLE_CHARS}
+        cols = zip(*found) if found else ([], [])
+        yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in cols], names=["kind", "value"])
+
+
+class Verdicts(dict):
+    """shape -> whether some automaton takes it, remembered up to a bound."""
+
+    def __init__(self, automata: dict[str, tuple[Automaton, float]]):
+        super().__init__()
+        self.automata = automata.values()
+
+    def __missing__(self, shape: str) -> bool:
+        value = any(a.score(shape) >= least for a, least in self.automata)
+        if len(self) < REMEMBERED:
+            self[shape] = value
+        return value
 
 
 def scan(docs: DataFrame) -> DataFrame:
@@ -196,8 +218,7 @@ def scan(docs: DataFrame) -> DataFrame:
     results; other columns are ignored.
     """
     keyed = docs.select(docs["doc_id"].cast("long").alias("doc_id"), "text")
-    found = materialize(keyed.mapInArrow(_find, FOUND))
-    labelled = found.select(F.explode("spans").alias("s")).select("s.kind", "s.value").where(F.length("value") <= SAMPLE_CHARS).distinct()
+    labelled = materialize(keyed.select("text").mapInArrow(_find, "kind string, value string").distinct())
     samples: dict[str, list[str]] = {}
     for kind in KINDS:
         rows = labelled.where(F.col("kind") == kind).orderBy(F.xxhash64("value"), "value").limit(SAMPLE).collect()
@@ -206,17 +227,15 @@ def scan(docs: DataFrame) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(learn(samples))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        automata = shared.value
+        likely = Verdicts(shared.value).__getitem__
         for batch in batches:
             counts: dict[str, list[int]] = {k: [] for k in (*KINDS, LEARNED)}
             shas, joined = [], []
-            for spans, rest in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
-                base = [(s["start"], KINDS.index(s["kind"]), s["kind"], s["stop"]) for s in spans]
-                more = []
-                for c in rest:
-                    shape = classes(c["value"])
-                    if any(a.score(shape) >= least for a, least in automata.values()):
-                        more.append((c["start"], len(KINDS), LEARNED, c["stop"]))
+            for source in batch.column(1):
+                source = source.as_py() or ""
+                spans = base_spans(source)
+                base = [(a, KINDS.index(k), k, b) for k, a, b, _ in spans]
+                more = [(a, len(KINDS), LEARNED, b) for a, b in (learned_spans(source, spans, likely) if shared.value else ())]
                 text = [",".join(f"{k}:{a}:{b}" for a, _, k, b in sorted(x)) for x in (base, base + more)]
                 for k in KINDS:
                     counts[k].append(sum(s[2] == k for s in base))
@@ -228,7 +247,7 @@ def scan(docs: DataFrame) -> DataFrame:
                 names=["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans", "n_format"],
             )
 
-    return found.mapInArrow(score, "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_format long")
+    return keyed.mapInArrow(score, "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_format long")
 
 
 def brute_force(text: str | None) -> list[tuple[str, int, int]]:
