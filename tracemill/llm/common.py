@@ -19,11 +19,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share (``spark.checkpoint.dir``).
 
-    Only where the session has none, as in tests on one machine, a temporary
-    folder is made and set.
+    Only where the session has none and runs on one machine, as in tests, a
+    temporary folder is made and set; on a cluster that is an error, as no
+    other machine would see the folder.
     """
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         found = tempfile.mkdtemp(prefix="spark-")
         spark.sparkContext.setCheckpointDir(found)
         found = spark.sparkContext.getCheckpointDir()
@@ -43,14 +46,15 @@ def materialize(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def release(df: DataFrame) -> None:
-    """Delete the files of a table that ``materialize`` wrote and nobody reads any more."""
-    for name in df.inputFiles()[:1]:
-        folder = re.match(r"(.*/tracemill-[0-9a-f]{32})/", name)
-        if folder:
-            jvm = df.sparkSession._jvm
-            path = jvm.org.apache.hadoop.fs.Path(folder[1])
-            path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+def release(*tables: DataFrame) -> None:
+    """Delete the files of tables that ``materialize`` wrote and nobody reads any more."""
+    for df in tables:
+        for name in df.inputFiles()[:1]:
+            folder = re.match(r"(.*/tracemill-[0-9a-f]{32})/", name)
+            if folder:
+                jvm = df.sparkSession._jvm
+                path = jvm.org.apache.hadoop.fs.Path(folder[1])
+                path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def remainder(doc_id: Column, modulus: int) -> Column:

@@ -8,12 +8,16 @@
    batch the posterior of the similarity (uniform prior, binomial matches)
    tells how likely 0.75 still is; a pair below the chosen miss probability is
    pruned. Survivors are verified on their full sets.
-4. Buckets are first linked star by star: each text meets one pseudo-random
-   centre, so a large group of near copies takes linear work a round. Rounds go
-   on until few pairs are open. What the stars leave open is compared in full: all pairs of texts that share a bucket and
-   still belong to different components, in large buckets block by block, so
-   that pruned pairs never become rows. No candidate pair is left out, only
-   pairs whose texts are known to be connected already.
+4. Buckets are first linked star by star: each text meets one centre, at first
+   the text with the most bucket neighbours (the original of a group of edited
+   copies), then a pseudo-random one, so a large group of near copies takes
+   linear work a round. Rounds go on until few pairs are open. What the stars
+   leave open is compared in full: all pairs of texts that share a bucket and
+   still belong to different components. Large buckets are compared block by
+   block, full sets included, and a pair of blocks gives a spanning forest of
+   its verified links: fewer rows than texts, however many pairs there are. No
+   candidate pair is left out, only pairs whose texts are known to be connected
+   already.
 """
 
 from __future__ import annotations
@@ -37,11 +41,16 @@ BANDS, ROWS = 40, 5
 MISS = 1e-6
 #: Positions of the verification signature (one byte each), and those compared between two looks at the posterior.
 CHECKS, BATCH = 512, 64
-#: Buckets up to this size give their open pairs as rows; larger ones are compared in blocks of rows, of which only survivors leave.
-SMALL, BLOCK = 24, 512
+#: Buckets up to this size give their open pairs as rows; larger ones are compared in blocks, of which only verified links leave.
+SMALL = 24
+#: Texts, and shingles, of a block on average.
+BLOCK, BLOCK_SHINGLES = 512, 1 << 20
 #: Star rounds at most. They end as soon as the pairs still open are at most OPEN_PAIRS times the bucket rows, or hardly shrink any more.
 STAR_ROUNDS, OPEN_PAIRS = 3, 2
 
+#: The pool of blocks for texts of small components.
+NO_LABEL = -(1 << 63) + 1
+
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -133,13 +142,19 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
+SETS = "rep long, n long, shingles array<long>, sig binary"
+
+
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     cache = HashCache()
     for batch in batches:
         sets = [shingles(text.as_py(), cache) for text in batch.column(1)]
         full = [i for i, h in enumerate(sets) if len(h)]
+        sets = [sets[i] for i in full]
         rep = batch.column(0).take(pa.array(full, pa.int64()))
-        yield pa.RecordBatch.from_arrays([rep, pa.array([sets[i].view(np.int64) for i in full], pa.list_(pa.int64())), pa.array([check_signature(sets[i]) for i in full], pa.binary())], names=["rep", "shingles", "sig"])
+        flat = pa.array(np.concatenate(sets).view(np.int64) if sets else np.empty(0, np.int64))
+        lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, sets)]), pa.int32()), flat)
+        yield pa.RecordBatch.from_arrays([rep, pa.array([*map(len, sets)], pa.int64()), lists, pa.array([*map(check_signature, sets)], pa.binary())], names=["rep", "n", "shingles", "sig"])
 
 
 @lru_cache(maxsize=4)
@@ -193,41 +208,82 @@ def bayes_filter(pairs: DataFrame, sigs: DataFrame) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(_pairs, "a long, b long")
 
 
-def _block(rows: pa.Table) -> pa.Table:
-    """The surviving pairs of two blocks of one bucket (or of one block with itself), of different components."""
-    rep, label, own = (rows.column(c).to_numpy() for c in ("rep", "label", "own"))
+def _forest(rows: pa.Table) -> pa.Table:
+    """Verified links between two blocks of one bucket (or in one block) that join different components.
+
+    At most as many links as components less one: a link inside what earlier
+    links of the task have joined is not looked for.
+    """
+    rep, label, pool, at = (rows.column(c).to_numpy() for c in ("rep", "label", "pool", "i"))
+    p, i, q, j = (rows.column(c)[0].as_py() for c in ("p1", "i1", "p2", "i2"))
+    same = (p, i) == (q, j)
+    first, second = np.flatnonzero((pool == p) & (at == i)), np.flatnonzero((pool == q) & (at == j))
     sig = _signatures(rows.column("sig"))
-    bi, bj = rows.column("bi")[0].as_py(), rows.column("bj")[0].as_py()
-    first, second = np.flatnonzero(own == bi), np.flatnonzero(own == bj)
-    n, least = least_matches()[0]
-    found_a, found_b = [], []
-    for i in range(0, len(first), 32):
-        p = first[i : i + 32]
-        near = np.count_nonzero(sig[p, None, :n] == sig[None, second, :n], axis=2) >= least
-        near &= (label[p, None] != label[None, second]) & ((rep[p, None] > rep[None, second]) | (bi != bj))
-        a, b = np.nonzero(near)
-        a, b = p[a], second[b]
-        alive = survivors(sig, sig, a, b, n)
-        found_a.append(rep[a[alive]])
-        found_b.append(rep[b[alive]])
-    a = np.concatenate(found_a) if found_a else np.empty(0, np.int64)
-    b = np.concatenate(found_b) if found_b else np.empty(0, np.int64)
-    return pa.table({"a": pa.array(np.maximum(a, b), pa.int64()), "b": pa.array(np.minimum(a, b), pa.int64())})
-
-
-def bayes_blocks(labelled: DataFrame, sizes: DataFrame, sigs: DataFrame) -> DataFrame:
-    """The surviving open pairs of large buckets, compared block against block.
-
-    A bucket of n texts is cut into n / BLOCK blocks by hash; a task gets two
-    blocks at a time, so no group is unbounded and no pair is a row unless it
-    survives.
+    sets = rows.column("shingles").combine_chunks()
+    off = sets.offsets.to_numpy().astype(np.int64)
+    off -= off[0]
+    size = np.diff(off)
+    local: np.ndarray | None = None
+    component = np.unique(label, return_inverse=True)[1]
+    looks = least_matches()
+    n0, least0 = looks[0]
+    links: list[tuple[int, int]] = []
+    for k in range(0, len(first), 32):
+        part = first[k : k + 32]
+        near = np.count_nonzero(sig[part, None, :n0] == sig[None, second, :n0], axis=2) >= least0
+        near &= np.minimum(size[part, None], size[None, second]) * 100 >= np.maximum(size[part, None], size[None, second]) * PERCENT
+        if same:
+            near &= part[:, None] < second[None, :]
+        for a, row in zip(part, near):
+            b = second[row & (component[second] != component[a])]
+            if not len(b):
+                continue
+            b = b[survivors(sig, sig, np.full(len(b), a), b, n0)]
+            if not len(b):
+                continue
+            if local is None:  # shingles numbered within the task
+                values, local = np.unique(sets.flatten().to_numpy(), return_inverse=True)
+                marked = np.zeros(len(values), bool)
+            mine = local[off[a] : off[a + 1]]
+            marked[mine] = True
+            starts = np.r_[0, np.cumsum(size[b])[:-1]]
+            both = np.add.reduceat(marked[np.concatenate([local[off[x] : off[x + 1]] for x in b])], starts, dtype=np.int64)
+            marked[mine] = False
+            b = b[both * 100 >= (size[a] + size[b] - both) * PERCENT]
+            found, where = np.unique(component[b], return_index=True)
+            links += [(rep[a], rep[x]) for x in b[where]]
+            component[np.isin(component, found)] = component[a]
+    ends = np.array(links, np.int64).reshape(-1, 2)
+    return pa.table({"a": pa.array(ends.max(1) if len(ends) else ends[:, 0]), "b": pa.array(ends.min(1) if len(ends) else ends[:, 1])})
+
+
+def block_links(labelled: DataFrame, sets: DataFrame) -> DataFrame:
+    """A spanning forest of the links across components for every two blocks of each bucket of ``labelled``.
+
+    Texts of a bucket are dealt into blocks by hash, those of a large component
+    into blocks of its own, which need not meet one another. A task gets two
+    blocks with their signatures and full sets, so no group is unbounded and no
+    pair is a row unless it is a link.
     """
-    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    rows = labelled.join(sizes.select("key", blocks.alias("blocks")), "key")
-    rows = rows.withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
-    rows = rows.join(sigs.select("rep", "sig"), "rep").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rows = rows.select("key", F.least("own", "other").alias("bi"), F.greatest("own", "other").alias("bj"), "rep", "label", "own", "sig")
-    return rows.groupBy("key", "bi", "bj").applyInArrow(_block, "a long, b long")
+    rows = labelled.join(sets.select("rep", "n"), "rep")
+    by_label = rows.groupBy("key", "label").agg(F.count("*").alias("texts"), F.sum("n").alias("weight"))
+    large = (F.col("texts") >= BLOCK) | (F.col("weight") >= BLOCK_SHINGLES)
+    by_label = materialize(by_label.withColumn("pool", F.when(large, F.col("label")).otherwise(F.lit(NO_LABEL))))
+    pools = by_label.groupBy("key", "pool").agg(F.sum("texts").alias("texts"), F.sum("weight").alias("weight"))
+    blocks = F.ceil(F.greatest(F.col("texts") / BLOCK, F.col("weight") / BLOCK_SHINGLES)).cast("int")
+    pools = materialize(pools.select("key", "pool", blocks.alias("blocks")))
+    every = pools.select("key", "pool", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("i"))
+    x, y = every.toDF("key", "p1", "i1"), every.toDF("key", "p2", "i2")
+    meet = x.join(y, "key").where("(p1 < p2 or (p1 = p2 and i1 <= i2)) and (p1 <> p2 or p1 = %d)" % NO_LABEL)
+    meet = materialize(meet)
+    sides = meet.select("*", F.explode(F.array_distinct(F.array(F.struct(F.col("p1").alias("pool"), F.col("i1").alias("i")), F.struct(F.col("p2").alias("pool"), F.col("i2").alias("i"))))).alias("side")).select("key", "p1", "i1", "p2", "i2", "side.*")
+    dealt = labelled.join(by_label.select("key", "label", "pool"), ["key", "label"]).join(pools, ["key", "pool"])
+    dealt = dealt.select("key", "pool", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int").alias("i"), "rep", "label")
+    dealt = materialize(dealt.join(sides, ["key", "pool", "i"]))
+    groups = dealt.join(sets.select("rep", "shingles", "sig"), "rep").groupBy("key", "p1", "i1", "p2", "i2")
+    found = materialize(groups.applyInArrow(_forest, "a long, b long").distinct())
+    release(by_label, pools, meet, dealt)
+    return found
 
 
 def exact_filter(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -260,10 +316,9 @@ def components(edges: DataFrame) -> DataFrame:
         both = now.union(now.select("b", "a"))
         low = materialize(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("m", "a").alias("m")))
         down = materialize(both.where("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct())
-        low = materialize(down.groupBy("a").agg(F.min("b").alias("m")))
-        new, after = written(down.join(low, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).union(low).distinct())
-        for old in (now, down):
-            release(old)
+        least = materialize(down.groupBy("a").agg(F.min("b").alias("m")))
+        new, after = written(down.join(least, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).union(least).distinct())
+        release(now, low, down, least)
         now = new
         if after == before:
             break
@@ -291,12 +346,23 @@ def count_open(labelled: DataFrame) -> tuple[int, int]:
     return int(r["rows"] or 0), int(r["twice"] or 0) // 2
 
 
+def neighbours(members: DataFrame) -> DataFrame:
+    """(rep, met): the bucket neighbours of every text, counted once per shared bucket."""
+    sizes = materialize(members.groupBy("key").agg(F.count("*").alias("n")))
+    return members.join(sizes, "key").groupBy("rep").agg(F.sum("n").alias("met"))
+
+
 def star_pairs(labelled: DataFrame, round_: int) -> DataFrame:
     """At most one pair per text: the centre that it meets in most of its open buckets.
 
-    A bucket's centre is pseudo-random by bucket and round.
+    A bucket's centre is its text with the most neighbours in the first round,
+    and pseudo-random by bucket and round in later ones.
     """
-    centre = labelled.groupBy("key").agg(F.min_by(F.struct("rep", "label"), F.xxhash64("key", "rep", F.lit(round_))).alias("c"), F.min("label").alias("lo"), F.max("label").alias("hi"))
+    order = F.xxhash64("key", "rep", F.lit(round_))
+    if not round_:
+        labelled = labelled.join(materialize(neighbours(labelled)), "rep")
+        order = F.struct(-F.col("met"), F.col("rep"))
+    centre = labelled.groupBy("key").agg(F.min_by(F.struct("rep", "label"), order).alias("c"), F.min("label").alias("lo"), F.max("label").alias("hi"))
     centre = materialize(centre.where("lo < hi").select("key", "c.*").toDF("key", "centre", "centre_label"))
     met = labelled.join(centre, "key").where("label <> centre_label").groupBy("rep", "centre").agg(F.count("*").alias("n"))
     best = met.groupBy("rep").agg(F.max_by("centre", F.struct("n", F.xxhash64("rep", "centre"))).alias("centre"))
@@ -319,15 +385,8 @@ def open_pairs(labelled: DataFrame) -> DataFrame:
     return pairs.select(F.greatest("p", "q").alias("a"), F.least("p", "q").alias("b")).distinct()
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id and kept per row of ``docs`` (doc_id, text).
-
-    Texts of fewer than five words are one shingle, null and empty texts have
-    none and are linked with nothing. A doc_id names one document: if rows
-    repeat it with other texts, a link of any of them links the document. A row
-    with a null doc_id is linked with nothing: its component_id is null and it
-    is kept. Each input row gives a row; other columns are ignored.
-    """
+def grouped(docs: DataFrame) -> tuple[DataFrame, tuple[DataFrame, ...]]:
+    """The rows of ``near_duplicates``, and the scratch tables that they are still read from."""
     keyed = docs.select(docs["doc_id"].cast("long").alias("doc_id"), "text")
     sketch = materialize(keyed.mapInArrow(_sketch, SKETCH))
     full = sketch.where("f1 is not null and doc_id is not null")
@@ -344,41 +403,68 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     buckets = reps.select(F.explode("bands").alias("key"), "rep")
     shared = materialize(buckets.groupBy("key").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi")).where("lo < hi").select("key"))
     members = materialize(buckets.join(shared, "key"))
-    met = members.select(F.col("rep").alias("doc_id")).distinct()
-    release(reps)
-    sets = materialize(keyed.join(materialize(met), "doc_id", "left_semi").mapInArrow(_sets, "rep long, shingles array<long>, sig binary"))
+    met = materialize(members.select(F.col("rep").alias("doc_id")).distinct())
+    release(reps, shared)
+    sets = materialize(keyed.join(met, "doc_id", "left_semi").mapInArrow(_sets, SETS))
+    release(met)
     sigs = sets.select("rep", "sig")
 
     labels = links = None
     left = None
     for round_ in range(STAR_ROUNDS + 1):
         labelled = with_labels(members, labels)
-        labelled = materialize(labelled.join(open_buckets(labelled), "key", "left_semi"))
+        buckets = open_buckets(labelled)
+        labelled = materialize(labelled.join(buckets, "key", "left_semi"))
         rows, n_open = count_open(labelled)
         last = round_ == STAR_ROUNDS or n_open <= OPEN_PAIRS * rows or (left is not None and n_open > 0.9 * left)
         left = n_open
         if last:
             sizes = materialize(labelled.groupBy("key").agg(F.count("*").alias("n")))
             small = labelled.join(sizes.where(F.col("n") <= SMALL).select("key"), "key", "left_semi")
-            close = bayes_filter(open_pairs(small), sigs).union(bayes_blocks(labelled, sizes.where(F.col("n") > SMALL), sigs)).distinct()
+            large = labelled.join(sizes.where(F.col("n") > SMALL).select("key"), "key", "left_semi")
+            close = materialize(bayes_filter(open_pairs(small), sigs))
+            forest = block_links(large, sets)
+            found = materialize(exact_filter(close, sets).union(forest))
+            release(sizes, forest)
         else:
-            close = bayes_filter(star_pairs(labelled, round_), sigs)
-        found = materialize(exact_filter(materialize(close), sets))
-        release(labelled)
+            close = materialize(bayes_filter(star_pairs(labelled, round_), sigs))
+            found = materialize(exact_filter(close, sets))
+        release(buckets, labelled, close)
         links = found if links is None else links.union(found)
+        if labels is not None:
+            release(labels)
         labels = materialize(components(links))
         if last:
             break
+    release(members, sets)
 
     out = full.select("doc_id", *same).join(classes, same)
     out = out.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("doc_id", "n_shingles", F.coalesce("label", "rep").alias("component_id"))
     rest = keys.where("f1 is null or doc_id is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
-    return out.union(rest).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+    return out.union(rest).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True))), (keys, classes, labels)
+
+
+def near_duplicates(docs: DataFrame) -> DataFrame:
+    """doc_id, n_shingles, component_id and kept per row of ``docs`` (doc_id, text).
+
+    Texts of fewer than five words are one shingle, null and empty texts have
+    none and are linked with nothing. A doc_id names one document: if rows
+    repeat it with other texts, a link of any of them links the document. A row
+    with a null doc_id is linked with nothing: its component_id is null and it
+    is kept. Each input row gives a row; other columns are ignored.
+    """
+    return grouped(docs)[0]
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose document stands for its group, with their own columns."""
-    gone = near_duplicates(docs).where("not kept").select(F.col("doc_id").alias("_tm_id")).distinct()
+    """The rows of ``docs`` whose document stands for its group, with their own columns.
+
+    Rows with a null id, and texts without words, are linked with nothing and
+    stay; rows that repeat an id stay or go together.
+    """
+    found, scratch = grouped(docs)
+    gone = materialize(found.where("not kept").select(F.col("doc_id").alias("_tm_id")).distinct())
+    release(*scratch)
     return docs.join(gone, docs["doc_id"].cast("long") == gone["_tm_id"], "left_anti")
 
 
