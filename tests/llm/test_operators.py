@@ -66,6 +66,11 @@ def test_wu_manber_equals_brute_force(spark):
     wanted = sorted(wumanber.brute_force(docs, bench), key=repr)
     assert rows(wumanber.contamination(d, b), *cols) == wanted
     assert rows(wumanber.contamination(d, b, block_chars=200), *cols) == wanted  # the benchmark in several blocks
+    for chars in (200, 8_000_000):  # a row in is a row out
+        twice = rows(wumanber.contamination(d.union(d), b, block_chars=chars), *cols)
+        assert twice == sorted([*wanted, *wanted], key=repr)
+        again = wumanber.drop_contaminated(d.union(d).withColumn("items", F.lit(1)), b, block_chars=chars)
+        assert again.columns == ["doc_id", "text", "items"] and again.count() == 2 * sum(not w[5] for w in wanted)
     left = {r["doc_id"] for r in wumanber.drop_contaminated(d, b).collect()}
     assert left == {w[0] for w in wanted if not w[5]}
 
@@ -134,6 +139,28 @@ def test_near_duplicates_odd(odd, empty):
     assert neardup.near_duplicates(empty).count() == 0
 
 
+def test_near_copies_leave_a_forest(spark):
+    """Rows stay fewer than texts where tens of thousands of pairs are candidates, linked or not."""
+    rng = random.Random(8)
+    base = sentence(rng, 120).split()
+    docs = []
+    for i in range(400):  # every edit breaks five shingles: most texts are within reach of the first one only
+        w = list(base)
+        for at in rng.sample(range(0, 115, 5), 0 if i == 0 else 3 if i % 3 else 4):
+            w[at] = f"e{i}x{at}"
+        docs.append((i, " ".join(w)))
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(4)
+    sets = df.mapInArrow(neardup._sets, neardup.SETS)
+    sketch = df.mapInArrow(neardup._sketch, neardup.SKETCH)
+    members = sketch.select(F.explode("bands").alias("key"), F.col("doc_id").alias("rep"))
+    labelled = members.withColumn("label", F.col("rep"))
+    hot = labelled.groupBy("key").count().where("count > 50").select("key")
+    links = neardup.block_links(labelled.join(hot, "key", "left_semi"), sets).collect()
+    assert 0 < len(links) < 40 * len(docs)
+    out = rows(neardup.near_duplicates(df), "doc_id", "n_shingles", "component_id", "kept")
+    assert out == sorted(neardup.brute_force(docs), key=repr)
+
+
 def test_pruning_keeps_high_similarities():
     looks = neardup.least_matches()
     assert all(0 < least < 0.75 * n for n, least in looks) and looks[-1][1] > 0.6 * looks[-1][0]
@@ -281,6 +308,82 @@ def test_forward_backward_equals_enumeration():
     assert crf.forward_backward(emit, np.array([4]), start, move)[:, 0] == pytest.approx(want / want.sum(1, keepdims=True))
 
 
+def log_likelihood(field, words, labels=None):
+    """Of a labelled chain, or summed over all labellings, straight from the definition."""
+    import itertools
+    import math
+
+    emit = [field.emissions([w])[0] for w in words]
+    total = 0.0
+    for path in itertools.product(range(len(field.langs)), repeat=len(words)) if labels is None else [labels]:
+        total += math.exp(field.start[path[0]] + sum(e[y] for e, y in zip(emit, path)) + sum(field.move[a, b] for a, b in zip(path, path[1:])))
+    return math.log(total)
+
+
+def small_field():
+    import numpy as np
+
+    rng = np.random.default_rng(4)
+    field = crf.Field(["a", "b", "c"], ["und"])
+    field.theta[:] = rng.normal(0, 0.3, field.theta.shape)
+    field.start[:], field.move[:] = rng.normal(0, 0.5, 3), rng.normal(0, 0.5, (3, 3))
+    return field
+
+
+def test_crf_gradient_equals_finite_differences():
+    import numpy as np
+
+    field = small_field()
+    chains = [(["und", "of", "été"], np.array([0, 2, 1])), (["x", "und"], np.array([1, 1]))]
+    used, grad, d_start, d_move = field.gradient(chains)
+    loss = lambda: sum(log_likelihood(field, w) - log_likelihood(field, w, y) for w, y in chains)
+
+    def slope(table, at):
+        was, step = table[at], 1e-5
+        table[at] = was + step
+        up = loss()
+        table[at] = was - step
+        down = loss()
+        table[at] = was
+        return (up - down) / (2 * step)
+
+    assert d_start == pytest.approx([slope(field.start, (i,)) for i in range(3)], abs=1e-6)
+    assert d_move.ravel() == pytest.approx([slope(field.move, (i, j)) for i in range(3) for j in range(3)], abs=1e-6)
+    for k in range(0, len(used), 3):
+        assert grad[k] == pytest.approx([slope(field.theta, (used[k], j)) for j in range(3)], abs=1e-6)
+
+
+def test_crf_probabilities_equal_enumeration():
+    import itertools
+    import math
+
+    import numpy as np
+
+    field = small_field()
+    for words in (["und", "of", "été", "und"], ["x"]):
+        want = np.zeros((len(words), 3))
+        for path in itertools.product(range(3), repeat=len(words)):
+            for t, y in enumerate(path):
+                want[t, y] += math.exp(log_likelihood(field, words, path) - log_likelihood(field, words))
+        assert field.probabilities([words])[0] == pytest.approx(want)
+
+
+def test_crf_features_of_a_word_stand_alone(monkeypatch):
+    import numpy as np
+
+    field = small_field()
+    words = ["a", "ab", "abc", "abcd", "und", "abcab", "日本"]
+    every = field.emissions(words)
+    assert every == pytest.approx(np.array([field.emissions([w])[0] for w in words]))
+    assert [len(p) for p in crf.places(words, field.lexicon).values()] == [3, 6, 10, 13, 11, 15, 6]
+    monkeypatch.setattr(crf, "CACHE_WORDS", 4)  # forgotten words are worked out again
+    for _ in range(3):
+        for k in range(0, 7, 2):
+            part = words[k : k + 3]
+            at = field.ids([part])[0]
+            assert field.rows[at] == pytest.approx(every[k : k + 3])
+
+
 def test_crf_odd(odd, empty):
     by = {r["doc_id"]: r for r in crf.identify(odd).collect()}
     assert all(by[i]["lang_pred"] == "und" for i in (10, 11, 12))

@@ -10,9 +10,10 @@ from stretches of documents of known languages.
 
 from __future__ import annotations
 
-import zlib
-from collections import Counter
+import re
+from collections import Counter, defaultdict
 from collections.abc import Iterator
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
@@ -23,25 +24,67 @@ from pyspark.sql import functions as F
 from tracemill.llm.common import held_out
 
 WORDS = regex.compile(r"\p{L}[\p{L}\p{M}]*").findall
+ASCII_WORDS = re.compile(r"[a-z]+").findall
 BUCKETS = 1 << 16
-#: Labelled documents per language that the field is trained on, at most; languages at most by frequency.
-SAMPLE_DOCS, MAX_LANGS = 200, 64
+#: Labelled documents per language that the field is trained on, at most.
+SAMPLE_DOCS = 200
 #: Frequent words per language that make up the lexicon.
 LEXICON = 300
-CHAINS, CHAIN_WORDS, EPOCHS, BATCH_CHAINS, RATE = 2400, 48, 3, 64, 0.3
+#: Training chains at least, and for each language at least.
+CHAINS, LANG_CHAINS = 2400, 600
+CHAIN_WORDS, EPOCHS, BATCH_CHAINS, RATE = 48, 3, 64, 0.3
 #: Words whose emissions a Python worker remembers; words per group of documents that are labelled together; characters cut into words at a time.
 CACHE_WORDS, GROUP_WORDS, CHUNK_CHARS = 200_000, 100_000, 1_500_000
 
+# Odd factors of the feature hash, and marks that keep kinds of features apart.
+FACTOR, MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
+BIAS, PREFIX, SUFFIX, BIGRAM, TRIGRAM, ENTRY = range(6)
 
-def features(word: str, lexicon: frozenset[str]) -> list[int]:
-    """Hashed affixes (1-3 characters before, 1-4 after), inner bigrams and trigrams, and the word if the lexicon has it."""
-    w = word.lower()
-    n = len(w)
-    found = ["b"] + [f"p{w[:k]}" for k in (1, 2, 3) if k <= n] + [f"s{w[-k:]}" for k in (1, 2, 3, 4) if k <= n]
-    found += [f"2{w[i : i + 2]}" for i in range(n - 1)] + [f"3{w[i : i + 3]}" for i in range(n - 2)]
-    if w in lexicon:
-        found.append(f"w{w}")
-    return [zlib.crc32(f.encode()) & (BUCKETS - 1) for f in found]
+
+def cut(text: str) -> list[str]:
+    """The words of a text in lower case: a letter, then letters and marks."""
+    low = text.lower()
+    return ASCII_WORDS(low) if low.isascii() else WORDS(low)
+
+
+def buckets(h: np.ndarray, kind: int, length: int = 0) -> np.ndarray:
+    """Places in the weight table of hashed features."""
+    h = (h + np.uint64((kind * 16 + length + 1) * int(FACTOR) & 0xFFFFFFFFFFFFFFFF)) * MIX
+    return ((h ^ (h >> np.uint64(29))) * FACTOR >> np.uint64(48)).astype(np.int64) & (BUCKETS - 1)
+
+
+def features(words: list[str], lexicon: dict[str, int]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(word numbers, ascending; feature places) by kind of feature, for all ``words`` at once.
+
+    Kinds: one for every word, prefixes of 1-3 and suffixes of 1-4 characters,
+    bigrams, trigrams, and the word itself if the lexicon has it. Hashes run
+    over the code points of all words in one array.
+    """
+    n = np.fromiter(map(len, words), np.int64, len(words))
+    every = np.arange(len(words))
+    c = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    first = np.cumsum(n) - n
+    yield every, np.full(len(words), buckets(np.zeros(1, np.uint64), BIAS)[0])
+    h = np.zeros(len(words), np.uint64)
+    for k in (1, 2, 3):
+        has = every[n >= k]
+        h[has] = (h[has] + c[first[has] + k - 1]) * FACTOR
+        yield has, buckets(h[has], PREFIX, k)
+    h = np.zeros(len(words), np.uint64)
+    for k in (1, 2, 3, 4):
+        has = every[n >= k]
+        h[has] = (h[has] + c[first[has] + n[has] - k]) * FACTOR
+        yield has, buckets(h[has], SUFFIX, k)
+    owner = np.repeat(every, n)
+    left = np.repeat(first + n, n) - np.arange(len(c))  # characters from here to the word's end
+    two = np.flatnonzero(left >= 2)
+    pair = (c[two] * FACTOR + c[two + 1]) * FACTOR
+    yield owner[two], buckets(pair, BIGRAM)
+    longer = left[two] >= 3
+    three = two[longer]
+    yield owner[three], buckets((pair[longer] + c[three + 2]) * FACTOR, TRIGRAM)
+    entry = np.fromiter((lexicon.get(w, -1) for w in words), np.int64, len(words))
+    yield every[entry >= 0], buckets(entry[entry >= 0].astype(np.uint64), ENTRY)
 
 
 def forward_backward(emit: np.ndarray, lengths: np.ndarray, start: np.ndarray, move: np.ndarray, filtered: list | None = None) -> np.ndarray:
@@ -75,40 +118,56 @@ def forward_backward(emit: np.ndarray, lengths: np.ndarray, start: np.ndarray, m
 class Field:
     """The weights: one row of label weights per feature bucket, start and transitions."""
 
-    def __init__(self, langs: list[str], lexicon: frozenset[str]):
-        self.langs, self.lexicon = langs, lexicon
+    def __init__(self, langs: list[str], lexicon: list[str]):
+        self.langs, self.lexicon = langs, {w: i for i, w in enumerate(lexicon)}
         n = len(langs)
         self.theta = np.zeros((BUCKETS, n))
         self.start = np.zeros(n)
         self.move = np.zeros((n, n))
-        self.known: dict[str, int] = {}
-        self.rows = np.zeros((0, n))
+        self.forget()
+
+    def forget(self) -> None:
+        """Empty the memory of words: word -> row of ``rows``, and how often each was met."""
+        self.known: dict[str, int] = defaultdict(count().__next__)
+        self.rows = np.zeros((0, len(self.langs)))
+        self.met = np.zeros(0, np.int64)
 
     def __getstate__(self):
-        return {**self.__dict__, "known": {}, "rows": np.zeros((0, len(self.langs)))}
+        return {k: v for k, v in self.__dict__.items() if k not in ("known", "rows", "met")}
+
+    def __setstate__(self, state):
+        self.__dict__.update(state)
+        self.forget()
 
     def emissions(self, words: list[str]) -> np.ndarray:
         """Summed feature weights of each word."""
-        if not words:
-            return np.zeros((0, len(self.langs)))
-        feats = [features(w, self.lexicon) for w in words]
-        cuts = np.cumsum([0, *map(len, feats)])[:-1]
-        return np.add.reduceat(self.theta[np.concatenate(feats)], cuts, axis=0)
+        out = np.zeros((len(words), len(self.langs)))
+        if words:
+            for at, place in features(words, self.lexicon):
+                if len(at):
+                    own = np.r_[True, at[1:] != at[:-1]]
+                    out[at[own]] += np.add.reduceat(self.theta[place], np.flatnonzero(own), axis=0)
+        return out
 
     def ids(self, texts: list[list[str]]) -> list[np.ndarray]:
-        """Rows of ``self.rows`` for the words of every text."""
+        """Rows of ``self.rows`` for the words of every text; words met most often are remembered."""
         if len(self.known) > CACHE_WORDS:
-            self.known, self.rows = {}, self.rows[:0]
-        known = self.known
-        new: list[str] = []
-        for t in texts:
-            for w in t:
-                if w not in known:
-                    known[w] = len(known)
-                    new.append(w)
-        if new:
-            self.rows = np.concatenate([self.rows, self.emissions(new)])
-        return [np.fromiter(map(known.__getitem__, t), np.int64, len(t)) for t in texts]
+            words = list(self.known)
+            often = np.sort(np.argsort(-self.met, kind="stable")[: CACHE_WORDS // 2])
+            rows, met = self.rows[often], self.met[often] // 2
+            self.forget()
+            for i in often:
+                self.known[words[i]]
+            self.rows, self.met = rows, met
+        had = len(self.known)
+        found = [np.fromiter(map(self.known.__getitem__, t), np.int64, len(t)) for t in texts]
+        if len(self.known) > had:
+            words = list(self.known)[had:]
+            self.rows = np.concatenate([self.rows, self.emissions(words)])
+            self.met = np.concatenate([self.met, np.zeros(len(words), np.int64)])
+        if found:
+            self.met += np.bincount(np.concatenate(found), minlength=len(self.met))
+        return found
 
     def probabilities(self, texts: list[list[str]]) -> list[np.ndarray]:
         """Label probabilities (words, L) for every text with a word."""
@@ -131,11 +190,47 @@ class Field:
                 out[i] = p[: lengths[j], j]
         return out
 
+    def gradient(self, batch: list[tuple[list[str], np.ndarray]], grams=None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(places, their rows of theta's gradient, start's and move's) of the negative log likelihood of labelled chains.
+
+        ``grams`` may hold the feature places of every word.
+        """
+        n = len(self.langs)
+        batch = sorted(batch, key=lambda c: -len(c[0]))
+        lengths = np.array([len(w) for w, _ in batch])
+        emit = np.zeros((lengths[0], len(batch), n))
+        grams = grams or places([w for words, _ in batch for w in words], self.lexicon)
+        flat = [grams[w] for words, _ in batch for w in words]
+        cuts = np.cumsum([0, *map(len, flat)])[:-1]
+        joined = np.concatenate(flat)
+        summed = np.add.reduceat(self.theta[joined], cuts, axis=0)
+        off = np.r_[0, np.cumsum(lengths)]
+        for j in range(len(batch)):
+            emit[: lengths[j], j] = summed[off[j] : off[j + 1]]
+        emit = np.exp(np.clip(emit - emit.max(2, keepdims=True), -60, 0))
+        move = np.exp(self.move)
+        forward: list[np.ndarray] = []
+        p = forward_backward(emit, lengths, np.exp(self.start), move, forward)
+        d_word = np.zeros((off[-1], n))
+        d_start, d_move = np.zeros(n), np.zeros((n, n))
+        for j, (_, y) in enumerate(batch):
+            own = p[: lengths[j], j].copy()
+            own[np.arange(len(y)), y] -= 1
+            d_word[off[j] : off[j + 1]] = own
+            d_start += own[0]
+            # expected transitions: what came before, the move, and what the later words make of it
+            before = forward[0][: lengths[j] - 1, j]
+            d_move += (before.T @ (p[1 : lengths[j], j] / (before @ move))) * move
+            np.subtract.at(d_move, (y[:-1], y[1:]), 1)
+        used, at = np.unique(joined, return_inverse=True)
+        grad = np.zeros((len(used), n))
+        np.add.at(grad, at, np.repeat(d_word, np.diff(np.r_[cuts, len(joined)]), axis=0))
+        return used, grad, d_start, d_move
+
     def train(self, chains: list[tuple[list[str], np.ndarray]]) -> None:
         """Stochastic gradient ascent on the chains' log likelihood, steps scaled by past gradients."""
-        n = len(self.langs)
         seen = [np.full_like(x, 1e-8) for x in (self.theta, self.start, self.move)]
-        feats = {w: features(w, self.lexicon) for words, _ in chains for w in words}
+        grams = places([w for words, _ in chains for w in words], self.lexicon)
 
         def step(weights, sums, grad, at=slice(None)):
             sums[at] += grad**2
@@ -143,45 +238,27 @@ class Field:
 
         for _ in range(EPOCHS):
             for k in range(0, len(chains), BATCH_CHAINS):
-                batch = sorted(chains[k : k + BATCH_CHAINS], key=lambda c: -len(c[0]))
-                lengths = np.array([len(w) for w, _ in batch])
-                emit = np.zeros((lengths[0], len(batch), n))
-                flat = [feats[w] for words, _ in batch for w in words]
-                cuts = np.cumsum([0, *map(len, flat)])[:-1]
-                joined = np.concatenate(flat)
-                summed = np.add.reduceat(self.theta[joined], cuts, axis=0)
-                off = np.r_[0, np.cumsum(lengths)]
-                for j in range(len(batch)):
-                    emit[: lengths[j], j] = summed[off[j] : off[j + 1]]
-                emit = np.exp(np.clip(emit - emit.max(2, keepdims=True), -60, 0))
-                move = np.exp(self.move)
-                forward: list[np.ndarray] = []
-                p = forward_backward(emit, lengths, np.exp(self.start), move, forward)
-                d_word = np.zeros((off[-1], n))
-                d_start, d_move = np.zeros(n), np.zeros((n, n))
-                for j, (_, y) in enumerate(batch):
-                    own = p[: lengths[j], j].copy()
-                    own[np.arange(len(y)), y] -= 1
-                    d_word[off[j] : off[j + 1]] = own
-                    d_start += own[0]
-                    # expected transitions: what came before, the move, and what the later words make of it
-                    before = forward[0][: lengths[j] - 1, j]
-                    d_move += ((before.T @ (p[1 : lengths[j], j] / (before @ move))) * move)
-                    np.subtract.at(d_move, (y[:-1], y[1:]), 1)
-                grad = np.zeros_like(self.theta)
-                np.add.at(grad, joined, np.repeat(d_word, np.diff(np.r_[cuts, len(joined)]), axis=0))
-                used = np.unique(joined)
+                batch = chains[k : k + BATCH_CHAINS]
+                used, grad, d_start, d_move = self.gradient(batch, grams)
                 scale = 1 / len(batch)
-                step(self.theta, seen[0], grad[used] * scale, used)
+                step(self.theta, seen[0], grad * scale, used)
                 step(self.start, seen[1], d_start * scale)
                 step(self.move, seen[2], d_move * scale)
 
 
+def places(words: list[str], lexicon: dict[str, int]) -> dict[str, np.ndarray]:
+    """Feature places of every distinct word."""
+    distinct = list(dict.fromkeys(words))
+    at, place = (np.concatenate(x) for x in zip(*features(distinct, lexicon)))
+    order = np.argsort(at, kind="stable")
+    return dict(zip(distinct, np.split(place[order], np.searchsorted(at[order], np.arange(1, len(distinct))))))
+
+
 def stitched(texts: dict[str, list[list[str]]], langs: list[str]) -> list[tuple[list[str], np.ndarray]]:
     """Chains of one to four stretches, each from a document of some language (fixed seed)."""
     rng = np.random.default_rng(11)
     chains = []
-    for _ in range(CHAINS):
+    for _ in range(max(CHAINS, LANG_CHAINS * len(langs))):
         words: list[str] = []
         labels: list[int] = []
         for _ in range(rng.integers(1, 5)):
@@ -199,26 +276,28 @@ def stitched(texts: dict[str, list[list[str]]], langs: list[str]) -> list[tuple[
 
 
 def train_field(train: DataFrame) -> Field | None:
-    """A field from a bounded sample of (text, lang) rows, spread by hash; None if there are none."""
+    """A field from SAMPLE_DOCS (text, lang) rows of every language, spread by hash; None if there are none.
+
+    Every language that a row names is learned, however rare, so the field
+    (and what is collected here) grows with the number of languages alone.
+    """
     known = train.where(F.col("lang").isNotNull() & F.col("text").isNotNull())
-    counts = known.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(MAX_LANGS).collect()
+    counts = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     if not counts:
         return None
     spread = F.pmod(F.xxhash64("text"), F.lit(1_000_000))
-    pick = F.lit(False)
-    for r in counts:
-        pick = pick | ((F.col("lang") == r["lang"]) & (spread < min(1_000_000, int(1.2e6 * SAMPLE_DOCS / r["n"]) + 1)))
-    rows = known.where(pick).select("lang", "text", spread.alias("at")).dropDuplicates(["lang", "text"]).collect()
+    share = F.create_map(*(F.lit(x) for lang, n in sorted(counts.items()) for x in (lang, min(1_000_000, int(1.2e6 * SAMPLE_DOCS / n) + 1))))
+    rows = known.where(spread < F.element_at(share, F.col("lang"))).select("lang", "text", spread.alias("at")).dropDuplicates(["lang", "text"]).collect()
     texts: dict[str, list[list[str]]] = {}
     for r in sorted(rows, key=lambda r: (r["at"], r["text"])):
-        words = WORDS(r["text"])
+        words = cut(r["text"])
         if words and len(texts.setdefault(r["lang"], [])) < SAMPLE_DOCS:
             texts[r["lang"]].append(words)
     texts = {k: v for k, v in texts.items() if v}
     if not texts:
         return None
     langs = sorted(texts)
-    lexicon = frozenset(w for ts in texts.values() for w, _ in Counter(w.lower() for t in ts for w in t).most_common(LEXICON))
+    lexicon = sorted({w for ts in texts.values() for w, _ in Counter(w for t in ts for w in t).most_common(LEXICON)})
     field = Field(langs, lexicon)
     field.train(stitched(texts, langs))
     return field
@@ -257,7 +336,7 @@ def identify(docs: DataFrame, modulus: int = 3) -> DataFrame:
 
             for t in batch.column(2):
                 t = t.as_py() or ""
-                texts.append(WORDS(t) if field else [])
+                texts.append(cut(t) if field else [])
                 size += len(t)
                 if size > CHUNK_CHARS:
                     label()
