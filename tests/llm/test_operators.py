@@ -43,6 +43,35 @@ def test_bpe_random_text():
         assert own.ids(text) == ids and own.decode(ids) == lib.decode(ids, skip_special_tokens=False), text
 
 
+def test_bpe_every_code_point():
+    from tokenizers import Tokenizer
+
+    lib, own = Tokenizer.from_file(BPE_FILE), bpe.WordBpe(bpe.read_spec(BPE_FILE))
+    points = [c for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    for k in range(0, len(points), 50_000):
+        texts = [f"a{chr(c)}b" for c in points[k : k + 50_000]]
+        for t, e in zip(texts, lib.encode_batch(texts, add_special_tokens=False)):
+            assert own.ids(t) == e.ids, t
+        own.known.clear()
+        own.chunks.clear()
+
+
+def test_bpe_long_words():
+    import time
+
+    from tokenizers import Tokenizer
+
+    lib, own = Tokenizer.from_file(BPE_FILE), bpe.WordBpe(bpe.read_spec(BPE_FILE))
+    rng = random.Random(7)
+    for n in (bpe.LONG_WORD - 1, bpe.LONG_WORD, bpe.LONG_WORD + 1, 3000):
+        for letters in ("ab", "abcdefghijklmnopqrstuvwxyz", "aé日"):
+            w = "".join(rng.choice(letters) for _ in range(n))
+            assert own.ids(w) == lib.encode(w, add_special_tokens=False).ids
+    began = time.time()
+    own.ids("".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(300_000)))
+    assert time.time() - began < 20
+
+
 def test_bpe_keeps_ids(odd):
     out = bpe.encode_ids(odd, BPE_FILE).where("doc_id = 13").first()
     assert out["decoded"] == "one</w>" and len(out["ids"]) == 1
@@ -222,6 +251,41 @@ def test_secrets_base_spans():
         assert [s[:3] for s in secrets.base_spans(t)] == secrets.brute_force(t)
 
 
+def test_secrets_base_spans_of_random_text():
+    rng = random.Random(6)
+    parts = ["password", "PassWD", "secret", "token", "api_key", "apikey", "AKIA", "AKI", "'", '"', " ", "  ", ":", "=", "=", ".", "é", "A1B2C3D4", "deadbeef", "0123456789abcdef", "zz", "\n", "\t"]
+    for _ in range(4000):
+        t = "".join(rng.choice(parts) for _ in range(rng.randint(0, 14)))
+        assert [s[:3] for s in secrets.base_spans(t)] == secrets.brute_force(t), t
+
+
+def test_secrets_merge_keeps_what_can_be_told_apart():
+    """On a language of three states the automaton finds them, and its likelihoods come near the source's."""
+    import math
+
+    rng = random.Random(3)
+    sample = []
+    for _ in range(1000):  # digits and letters alternate; the end comes after a letter only, one time in four
+        s = ""
+        while True:
+            s += rng.choice("dd") + rng.choice("lllh")
+            if rng.random() < 0.25:
+                break
+        sample.append(s)
+    automaton = secrets.Automaton(sample)
+    assert len(automaton.table) == 3  # the start, after a digit, after a letter
+    want = (3 * math.log2(0.75) + math.log2(0.25)) / 5
+    assert automaton.score("dldl") == pytest.approx(want, abs=0.05)
+    assert automaton.score("lldd") < -5
+
+
+def test_secrets_sample_is_the_same_however_rows_are_dealt(spark, monkeypatch):
+    monkeypatch.setattr(secrets, "SAMPLE", 20)
+    docs = spark.createDataFrame([(i, f"token = {hashlib.sha256(bytes([i])).hexdigest()[: 9 + i % 9].upper()}") for i in range(200)], "doc_id long, text string")
+    one, many = secrets.samples_of(docs.coalesce(1)), secrets.samples_of(docs.union(docs).repartition(7))
+    assert one == many and len(one["assign"]) == 20 and set("".join(one["assign"])) <= set("dhlHU")
+
+
 def test_secrets_learned_format(spark):
     rng = random.Random(2)
     key = lambda n: "".join(rng.choice("0123456789abcdef") for _ in range(n))
@@ -403,6 +467,55 @@ def test_toxicity_on_held_out_documents(spark):
     assert wins > 0.85
 
 
+def test_toxicity_features_equal_plain_compression():
+    """Window by window, against the library used directly."""
+    import zstandard
+
+    common = sentence(random.Random(1), 400).encode()
+    pair = (b"some other words " + common, b"you utter blockhead " + common)
+    text = "An UTTER  blockhead\nof the word " * 4 + "end"
+    ws = text.lower().split()
+    gaps = []
+    for i in range(0, len(ws), toxicity.WINDOW_WORDS):
+        w = f" {' '.join(ws[i : i + toxicity.WINDOW_WORDS])} ".encode()
+        sizes = []
+        for content in pair:
+            d = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+            sizes.append(len(zstandard.ZstdCompressor(level=toxicity.LEVEL, dict_data=d, write_content_size=False, write_checksum=False, write_dict_id=False).compress(w)))
+        gaps.append(sizes[0] - sizes[1])
+    x = toxicity.features(text, pair)
+    assert x[0] == min(max(gaps), 9) and x[1] == sum(min(g, 9) for g in sorted(gaps)[-5:]) / 5
+    assert x[2:5] == [sum(g >= k for g in gaps) / len(gaps) for k in (3, 4, 6)] and max(gaps) > 3
+
+
+def test_toxicity_area_equals_counting():
+    import numpy as np
+
+    score, y = np.array([0.1, 0.4, 0.4, 0.8, 0.4, 0.9]), np.array([0, 1, 0, 0, 0, 1])
+    pairs = [(a, b) for a, p in zip(score, y) for b, q in zip(score, y) if p and not q]
+    assert toxicity.area(score, y) == pytest.approx(sum(1.0 if a > b else 0.5 if a == b else 0.0 for a, b in pairs) / len(pairs))
+
+
+def test_toxicity_learns_words_of_one_label(spark):
+    rng = random.Random(2)
+    docs, labels = [], []
+    for i in range(400):
+        words = sentence(rng, rng.randint(8, 60)).split()
+        if i % 4 == 0:
+            for _ in range(4):
+                words[rng.randrange(len(words))] = rng.choice(["blockhead", "nitwit", "dunderhead"])
+        docs.append((i, " ".join(words)))
+        labels.append((i, int(i % 4 == 0)))
+    docs += [(1000, "what a nitwit you dunderhead of a blockhead they are"), (1001, sentence(rng, 9)), *docs[:2]]
+    frames = spark.createDataFrame(docs, "doc_id long, text string").repartition(3), spark.createDataFrame(labels, "doc_id long, toxic int")
+    out = toxicity.toxicity(*frames).collect()
+    assert len(out) == len(docs)
+    by = {r["doc_id"]: r for r in out}
+    assert by[1000]["predicted"] == 1 and by[1001]["predicted"] == 0
+    held = [r for r in out if r["held_out"] and r["doc_id"] < 400]
+    assert sum(r["predicted"] == (r["doc_id"] % 4 == 0) for r in held) > 0.9 * len(held)
+
+
 def test_toxicity_odd(spark, odd, empty):
     labels = spark.createDataFrame([(0, 0), (1, 1), (2, None), (None, 1)], "doc_id long, toxic int")
     out = toxicity.toxicity(odd, labels)
@@ -448,6 +561,85 @@ def test_html_template_text_is_left_out(spark):
     assert out[23] == "Head 7 Body 7 Follow us"  # copies tell no slots
 
 
+#: Class names that mislead: the story stands in a "sidebar", the rest in elements with blameless names.
+ODD_PAGE = '<body><div class="top"><div class="story">Shop %d</div><span>x</span></div><div class="sidebar widget"><h2>Part %d</h2><p>%s</p><p>All rights kept here</p><div class="ad">buy %d</div></div><div class="text">See also %d</div></body>'
+
+
+def odd_pages(rng):
+    pages = []
+    for i in range(12):
+        pages.append((i, "http://odd.example/a", ODD_PAGE % (i, i, sentence(rng, rng.randint(12, 30)), i, i)))
+    pages += [(20 + i, "http://User@ODD.example:80/b", "<p>alone %d</p>" % i) for i in range(2)]  # a host of too few pages
+    pages += [(30, "http://odd.example/c", '<div class="sidebar">no</div><p>another layout</p>'), (31, None, ODD_PAGE % (1, 2, "null host", 3, 4)), pages[3]]
+    return pages
+
+
+def vectors_say(pages, min_pages, min_percent):
+    """page_id -> text, from whole occurrence vectors over path strings, for pages of divisions and paragraphs (written for this test)."""
+    import re as regexp
+
+    def walk(source):
+        path, out = [], []
+        for tag, attributes, text in regexp.findall(r"<(/?\w+)([^>]*)>|([^<]+)", source):
+            if text:
+                out.append(("/".join(path), text))
+            elif tag.startswith("/"):
+                if tag != "/span":
+                    path.pop()
+            elif tag != "span":
+                name = regexp.search(r'class="(\w+)', attributes)
+                path.append(tag + "." + name[1] if name else tag)
+                out.append(("/".join(path), None))
+        return out
+
+    hosts = {}
+    for k, (_, url, source) in enumerate(pages):
+        name = regexp.sub(r"^\w+://(?:[^/@]*@)?([^/]*).*$", r"\1", url or "").lower()
+        hosts.setdefault(name, []).append((k, walk(source)))
+    texts = {}
+    for every in hosts.values():
+        tokens = {t for _, w in every for t in w}
+        vector = {t: tuple(w.count(t) for _, w in every) for t in tokens}
+        need = max(min_pages, -(-len(every) * min_percent // 100))
+        held = {t for t, v in vector.items() if sum(n > 0 for n in v) >= need}
+        mass = lambda p, every=every: sum(len(t) for _, w in every for q, t in w if t and (q + "/").startswith(p))
+        once = [p for p, t in held if t is None and max(vector[p, t]) == 1 and 2 * mass(p + "/") > mass("")]
+        once = [p for p in once if any(q.startswith(p + "/") for q, t in tokens if t is None)]
+        slot = max(once, key=lambda p: p.count("/"), default=None)
+        for k, w in every:
+            if slot and any(p == slot for p, _ in w):
+                found = [(p, t) for p, t in w if t and (p + "/").startswith(slot + "/") and "div.ad" not in p]
+            else:
+                found = [(p, t) for p, t in w if t and not any(n in p for n in ("div.sidebar", "div.ad"))]
+            fresh = [(p, t) for p, t in found if (p, t) not in held]
+            texts[k] = " ".join(t for _, t in fresh or found)
+    return texts
+
+
+@pytest.mark.parametrize("tokens", [1_000_000, 0])
+def test_html_slots_equal_whole_vectors(spark, monkeypatch, tokens):
+    """The template finds the main slot whatever its name; with no template the text is another."""
+    monkeypatch.setattr(html_template, "HOT_PAGES", 5)
+    pages = odd_pages(random.Random(12))
+    df = spark.createDataFrame(pages, "page_id long, url string, html string").repartition(3)
+    out = sorted((r["page_id"], r["text"]) for r in html_template.extract(df, broadcast_tokens=tokens).collect())
+    want = vectors_say(pages, html_template.MIN_PAGES, html_template.MIN_PERCENT)
+    assert out == sorted((p[0], want[k]) for k, p in enumerate(pages))
+    by = dict(out)
+    assert by[5].startswith("Part 5 ") and "kept here" not in by[5] and "Shop" not in by[5] and by[30] == "another layout"
+    assert html_template.main_text(pages[5][2]) == "Shop 5 x See also 5"  # what names alone would say
+
+
+def test_html_deep_and_broken_markup():
+    import time
+
+    began = time.time()
+    n = 50_000
+    for source in ("<div>" * n + "deep", "<div></p>" * n + "x", "<ul><li>" * n, "<p>a" * n, '<a href="' * n, "</div>" * n, "<b" * n, "&" * n):
+        html_template.main_text(source)
+    assert html_template.main_text("<div>" * n + "deep") == "deep" and time.time() - began < 20
+
+
 def test_html_leaves_inner_text_whole():
     html = '<main><p>a&nbsp;b&lt;c&#233;</p><ul><li>x<li>y</ul><form>no</form><section id="reader-comments">no</section></main>'
     assert html_template.main_text(html) == "a b<cé x y"

@@ -19,6 +19,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tracemill.llm.common import materialize, portions, release
+
 WINDOW = 13
 #: Benchmark characters that one set of shift tables may hold; beyond it the benchmark is searched in several blocks.
 BLOCK_CHARS = 8_000_000
@@ -80,7 +82,18 @@ def tables(items: list[tuple[int, str]]) -> list[WuManber]:
     return [WuManber(g) for _, g in sorted(groups.items())]
 
 
-def scan(ws: list[bytes], found: list[WuManber]) -> tuple[list[list[int]], set[int]]:
+def united(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Stretches [start, end) in order, those that touch made one."""
+    merged: list[tuple[int, int]] = []
+    for a, b in sorted(spans):
+        if merged and a <= merged[-1][1]:
+            merged[-1] = merged[-1][0], max(merged[-1][1], b)
+        else:
+            merged.append((a, b))
+    return merged
+
+
+def scan(ws: list[bytes], found: list[WuManber]) -> tuple[list[tuple[int, int]], set[int]]:
     """Covered stretches [start, end) in order, merged, and the items that occur."""
     spans: list[tuple[int, int]] = []
     items: set[int] = set()
@@ -88,16 +101,11 @@ def scan(ws: list[bytes], found: list[WuManber]) -> tuple[list[list[int]], set[i
         for start, owners in t.find(ws):
             spans.append((start, start + t.m))
             items.update(owners)
-    merged: list[list[int]] = []
-    for a, b in sorted(spans):
-        if merged and a <= merged[-1][1]:
-            merged[-1][1] = max(merged[-1][1], b)
-        else:
-            merged.append([a, b])
-    return merged, items
+    return united(spans), items
 
 
-FOUND = "n_words long, starts array<int>, ends array<int>, items array<long>"
+#: What a search adds to a row: covered stretches in word positions (merged, in order) and the items that occur.
+FOUND = [("_w_words", pa.int64(), "long"), ("_w_starts", pa.list_(pa.int32()), "array<int>"), ("_w_ends", pa.list_(pa.int32()), "array<int>"), ("_w_items", pa.list_(pa.int64()), "array<long>")]
 
 
 def item_blocks(benchmark: DataFrame, block_chars: int) -> Iterator[list[tuple[int, str]]]:
@@ -114,55 +122,55 @@ def item_blocks(benchmark: DataFrame, block_chars: int) -> Iterator[list[tuple[i
         yield [(r[0], r[1]) for r in part.collect()]
 
 
-def occurrences(docs: DataFrame, benchmark: DataFrame, block_chars: int = BLOCK_CHARS) -> DataFrame:
-    """Per row of ``docs``: doc_id, text, n_words, starts, ends, items.
+def occurrences(docs: DataFrame, benchmark: DataFrame, block_chars: int = BLOCK_CHARS, only_good: bool = False) -> DataFrame:
+    """The rows of ``docs`` with the columns of FOUND; with ``only_good``, those that are not contaminated, without them.
 
-    starts/ends are the covered stretches in word positions, merged and in
-    order; items the ids whose windows occur. A null or empty text has no
-    words. If the benchmark needs several blocks, every document is scanned
-    once per block and the stretches are then united per document row.
+    A null or empty text has no words. If the benchmark needs several blocks,
+    every row is searched for one block after the other and keeps what was
+    found so far, so that a row in is a row out at every size; the rows are
+    written between two blocks, and a worker holds one block's tables.
     """
     spark = docs.sparkSession
-    keyed = docs.select(docs["doc_id"].cast("long").alias("doc_id"), "text")
-    parts = []
-    for block in item_blocks(benchmark, block_chars):
+    names, kinds, types = zip(*FOUND)
+    before: DataFrame | None = None
+    out = docs
+    blocks = item_blocks(benchmark, block_chars)
+    block = next(blocks)
+    while block is not None:
         shared = spark.sparkContext.broadcast(block)
+        block = next(blocks, None)
 
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+        def run(batches: Iterator[pa.RecordBatch], shared=shared, good=only_good and block is None) -> Iterator[pa.RecordBatch]:
             found = tables(shared.value)
-            for batch in batches:
-                counts, starts, ends, items = [], [], [], []
-                for text in batch.column(1):
+            for batch in portions(batches):
+                at = batch.schema.names.index("text")
+                known = [batch.column(batch.schema.names.index(n)).to_pylist() for n in names[1:]] if names[0] in batch.schema.names else None
+                cols: list[list] = [[], [], [], []]
+                for i, text in enumerate(batch.column(at)):
                     ws = words(text.as_py() or "")
                     spans, hit = scan(ws, found)
-                    counts.append(len(ws))
-                    starts.append([a for a, _ in spans])
-                    ends.append([b for _, b in spans])
-                    items.append(sorted(hit))
-                yield pa.RecordBatch.from_arrays(
-                    [*batch.columns, pa.array(counts, pa.int64()), pa.array(starts, pa.list_(pa.int32())), pa.array(ends, pa.list_(pa.int32())), pa.array(items, pa.list_(pa.int64()))],
-                    names=["doc_id", "text", "n_words", "starts", "ends", "items"],
-                )
-
-        parts.append(keyed.mapInArrow(run, f"doc_id long, text string, {FOUND}"))
-    out = parts[0]
-    if len(parts) == 1:
-        return out
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    # rows that repeat are one document here; their stretches are equal
-    grouped = out.groupBy("doc_id", "text").agg(
-        F.max("n_words").alias("n_words"),
-        F.array_sort(F.flatten(F.collect_set(F.arrays_zip("starts", "ends")))).alias("spans"),
-        F.array_distinct(F.flatten(F.collect_set("items"))).alias("items"),
-    )
-    merged = F.aggregate(
-        "spans",
-        F.array().cast("array<struct<starts:int,ends:int>>"),
-        lambda acc, s: F.when((F.size(acc) > 0) & (s["starts"] <= F.element_at(acc, -1)["ends"]), F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.struct(F.element_at(acc, -1)["starts"].alias("starts"), F.greatest(F.element_at(acc, -1)["ends"], s["ends"]).alias("ends"))))).otherwise(F.concat(acc, F.array(s))),
-    )
-    grouped = grouped.withColumn("spans", merged)
-    return grouped.select("doc_id", "text", "n_words", F.col("spans.starts").alias("starts"), F.col("spans.ends").alias("ends"), F.array_sort("items").alias("items"))
+                    if known:
+                        spans, hit = united([*spans, *zip(known[0][i], known[1][i])]), hit | {*known[2][i]}
+                    for c, v in zip(cols, (len(ws), [a for a, _ in spans], [b for _, b in spans], sorted(hit))):
+                        c.append(v)
+                keep = [n for n in batch.schema.names if n not in names]
+                rows = batch.select(keep)
+                if good:
+                    hit_words = (sum(b) - sum(a) for a, b in zip(cols[1], cols[2]))
+                    yield rows.filter(pa.array([not (h and h * 20 >= n) for h, n in zip(hit_words, cols[0])], pa.bool_()))
+                else:
+                    yield pa.RecordBatch.from_arrays([*rows.columns, *map(pa.array, cols, kinds)], names=[*keep, *names])
+
+        fields = [f"`{f.name.replace('`', '``')}` {f.dataType.simpleString()}" for f in docs.schema]
+        if not (only_good and block is None):
+            fields += [f"{n} {t}" for n, t in zip(names, types)]
+        out = out.mapInArrow(run, ", ".join(fields))
+        if block is not None:
+            out = materialize(out)
+            if before is not None:
+                release(before)
+            before = out
+    return out
 
 
 def is_contaminated(n_words, n_hit):
@@ -175,26 +183,23 @@ def contamination(docs: DataFrame, benchmark: DataFrame, block_chars: int = BLOC
 
     Null texts have no words and are never contaminated; an empty benchmark
     hits nothing; benchmark rows with a null id or text are left out; other
-    columns of both tables are ignored.
+    columns of both tables are ignored. Rows that repeat, or have a null id,
+    give a row each.
     """
-    found = occurrences(docs, benchmark, block_chars)
-    hit = F.aggregate(F.zip_with("starts", "ends", lambda a, b: b - a), F.lit(0).cast("long"), lambda x, y: x + y)
-    ids = F.array_join(F.array_sort(F.transform("items", lambda x: x.cast("string"))), ",")
-    out = found.select("doc_id", "n_words", hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(ids, 256).alias("items_sha256"))
+    found = occurrences(docs.select(docs["doc_id"].cast("long").alias("doc_id"), "text"), benchmark, block_chars)
+    hit = F.aggregate(F.zip_with("_w_starts", "_w_ends", lambda a, b: b - a), F.lit(0).cast("long"), lambda x, y: x + y)
+    ids = F.array_join(F.array_sort(F.transform("_w_items", lambda x: x.cast("string"))), ",")
+    out = found.select("doc_id", F.col("_w_words").alias("n_words"), hit.alias("n_hit"), F.size("_w_items").cast("long").alias("n_items"), F.sha2(ids, 256).alias("items_sha256"))
     return out.withColumn("contaminated", is_contaminated(F.col("n_words"), F.col("n_hit")))
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """The rows of ``docs`` that are not contaminated, with their own columns.
 
-    The verdict is joined back by (doc_id, hash of the text), so repeated rows
-    and repeated ids with other texts each get their own verdict.
+    Every row gets its own verdict while it is read, without a join. Rows with
+    null or empty texts stay; so do all rows if the benchmark is empty.
     """
-    found = occurrences(docs, benchmark, block_chars).where(F.size("items") > 0)
-    hit = F.aggregate(F.zip_with("starts", "ends", lambda a, b: b - a), F.lit(0).cast("long"), lambda x, y: x + y)
-    bad = found.where(is_contaminated(F.col("n_words"), hit)).select(F.col("doc_id").alias("_tm_id"), F.xxhash64("text").alias("_tm_text")).distinct()
-    on = docs["doc_id"].cast("long").eqNullSafe(bad["_tm_id"]) & (F.xxhash64(docs["text"]) == bad["_tm_text"])
-    return docs.join(bad, on, "left_anti")
+    return occurrences(docs, benchmark, block_chars, only_good=True)
 
 
 def brute_force(docs: list[tuple[int, str | None]], benchmark: list[tuple[int, str]]) -> list[tuple]:
