@@ -2,7 +2,8 @@
 
 The credentials that the base patterns label are samples of the formats in
 use. From a bounded sample per kind a prefix tree of character classes is
-built, and states whose futures are statistically alike (Hoeffding bounds on
+built (the credentials themselves are never written or collected, only their
+shapes), and states whose futures are statistically alike (Hoeffding bounds on
 all transition and end frequencies) are merged into a probabilistic automaton.
 Every other token of every text is then scored by its likelihood under each
 automaton; tokens as likely as the labelled credentials become spans of kind
@@ -19,11 +20,10 @@ from collections import defaultdict
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import xxhash
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tracemill.llm.common import materialize
-
 # The base patterns and the fewest characters that count.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
@@ -37,7 +37,7 @@ CANDIDATE = re.compile(r"[A-Za-z0-9+/_.=-]{8,}")
 PART = re.compile(r"[A-Za-z0-9+/_=-]{8,}")
 #: Shapes whose verdict a worker remembers, at most.
 REMEMBERED = 200_000
-#: Distinct labelled credentials of a kind that its automaton is learned from, and their length at most.
+#: Distinct labelled credentials of a kind that its automaton is learned from, and their length at most: what bounds the prefix tree.
 SAMPLE, SAMPLE_CHARS = 1000, 200
 #: Risk of the Hoeffding test; share of the labelled credentials that the score threshold lets go.
 ALPHA, QUANTILE = 0.01, 0.05
@@ -178,10 +178,9 @@ class Automaton:
 
 
 def learn(samples: dict[str, list[str]]) -> dict[str, tuple[Automaton, float]]:
-    """An automaton and its score threshold for every kind with samples."""
+    """An automaton and its score threshold for every kind with shapes of credentials."""
     out = {}
-    for kind, values in samples.items():
-        shapes = [classes(v) for v in values]
+    for kind, shapes in samples.items():
         automaton = Automaton(shapes)
         scores = sorted(map(automaton.score, shapes))
         out[kind] = automaton, scores[int(QUANTILE * len(scores))]
@@ -189,10 +188,33 @@ def learn(samples: dict[str, list[str]]) -> dict[str, tuple[Automaton, float]]:
 
 
 def _find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(kind, place, shape) of the SAMPLE labelled credentials of every kind with the smallest hashes in a task."""
+    least: dict[str, dict[int, str]] = {k: {} for k in KINDS}
+
+    def cut(found: dict[int, str]) -> dict[int, str]:
+        return {h: found[h] for h in sorted(found)[:SAMPLE]}
+
     for batch in batches:
-        found = {(k, v) for text in batch.column(0) for k, _, _, v in base_spans(text.as_py() or "") if len(v) <= SAMPLE_CHARS}
-        cols = zip(*found) if found else ([], [])
-        yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in cols], names=["kind", "value"])
+        for text in batch.column(0):
+            for kind, _, _, value in base_spans(text.as_py() or ""):
+                if len(value) <= SAMPLE_CHARS:
+                    found = least[kind]
+                    found[xxhash.xxh64_intdigest(value) >> 1] = classes(value)
+                    if len(found) > 4 * SAMPLE:
+                        least[kind] = cut(found)
+    rows = [(k, h, shape) for k, found in least.items() for h, shape in cut(found).items()]
+    kinds = (pa.string(), pa.int64(), pa.string())
+    yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)], names=["kind", "place", "shape"])
+
+
+def samples_of(docs: DataFrame) -> dict[str, list[str]]:
+    """kind -> shapes of a bounded number of distinct labelled credentials, spread by hash, from all of ``docs``."""
+    found = docs.select("text").mapInArrow(_find, "kind string, place long, shape string").distinct()
+    first = F.row_number().over(Window.partitionBy("kind").orderBy("place")) <= SAMPLE
+    out: dict[str, list[str]] = {}
+    for r in found.withColumn("first", first).where("first").orderBy("kind", "place").collect():
+        out.setdefault(r["kind"], []).append(r["shape"])
+    return out
 
 
 class Verdicts(dict):
@@ -218,13 +240,7 @@ def scan(docs: DataFrame) -> DataFrame:
     results; other columns are ignored.
     """
     keyed = docs.select(docs["doc_id"].cast("long").alias("doc_id"), "text")
-    labelled = materialize(keyed.select("text").mapInArrow(_find, "kind string, value string").distinct())
-    samples: dict[str, list[str]] = {}
-    for kind in KINDS:
-        rows = labelled.where(F.col("kind") == kind).orderBy(F.xxhash64("value"), "value").limit(SAMPLE).collect()
-        if rows:
-            samples[kind] = [r["value"] for r in rows]
-    shared = docs.sparkSession.sparkContext.broadcast(learn(samples))
+    shared = docs.sparkSession.sparkContext.broadcast(learn(samples_of(keyed)))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         likely = Verdicts(shared.value).__getitem__
@@ -251,9 +267,44 @@ def scan(docs: DataFrame) -> DataFrame:
 
 
 def brute_force(text: str | None) -> list[tuple[str, int, int]]:
-    """Base spans straight from the stated patterns (for tests)."""
+    """Base spans, by walking the text character by character as the contract states them (for tests)."""
     text = text or ""
-    out = [("assign", m.start(), m.end()) for m in ASSIGN.finditer(text) if len(m[2]) >= 8]
-    out += [("access", m.start(), m.end()) for m in re.finditer(r"AKIA[A-Z0-9]+", text) if len(m[0]) >= 16]
-    out += [("hex", m.start(), m.end()) for m in re.finditer(r"[0-9a-f]+", text) if len(m[0]) >= 32]
+    out = []
+    body = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_.=-"
+    lower = {u: low for u, low in zip(body[:26], body[26:52])}
+    low = "".join(lower.get(c, c) for c in text)
+
+    def run(at: int, allowed: str) -> int:
+        while at < len(text) and text[at] in allowed:
+            at += 1
+        return at
+
+    at = 0
+    while at < len(text):
+        word = next((w for w in ("password", "passwd", "secret", "token", "api_key", "apikey") if low.startswith(w, at)), None)
+        end = None
+        if word:
+            p = at + len(word)
+            p += text[p : p + 1] in ("'", '"')
+            p = run(p, " ")
+            if text[p : p + 1] in (":", "="):
+                p = run(p + 1, " ")
+                p += text[p : p + 1] in ("'", '"')
+                stop = run(p, body)
+                # a keyword match needs one character of the value; short values use up their text but don't count
+                if stop > p:
+                    end = stop
+                    if stop - p >= 8:
+                        out.append(("assign", at, stop))
+        at = end or at + 1
+    for kind, head, allowed, least in (("access", "AKIA", body[:26] + body[52:62], 16), ("hex", "", body[52:62] + "abcdef", 32)):
+        at = 0
+        while at < len(text):
+            stop = run(at + len(head), allowed) if text.startswith(head, at) else at
+            if stop > at + len(head):
+                if stop - at >= least:
+                    out.append((kind, at, stop))
+                at = stop
+            else:
+                at += 1
     return sorted(out, key=lambda s: (s[1], KINDS.index(s[0])))
