@@ -122,8 +122,14 @@ def quality(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
 
 
 def keep_good(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """The rows of ``docs`` that pass, with their own columns."""
-    return measures(docs).where(~base_failed() & verdict(rules)).select(*docs.columns)
+    """The rows of ``docs`` that pass, with their own columns.
+
+    A null or empty text has no words and does not pass; rows that repeat, or
+    have a null id, are judged one by one.
+    """
+    # worked out once, in the projection: the optimizer does not move a filter below what it takes for indeterminate
+    good = F.when(F.spark_partition_id() >= 0, ~base_failed() & verdict(rules))
+    return measures(docs).withColumn("_q_good", good).where("_q_good").select(*docs.columns)
 
 
 def sql(rules: tuple[Rule, ...] = RULES) -> str:
