@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracemill.llm.common import materialize
+from tracemill.llm.common import materialize, portions, release
 
 DEPTH = 2
 SEGMENTS = 8
@@ -88,7 +88,7 @@ def sketches_of(leaves: set[int]) -> dict[int, tuple[int, ...]]:
 def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     kinds = [*[pa.int64()] * 4, pa.int32(), pa.list_(pa.int32()), *[pa.int32()] * len(ORDERS), *[pa.int64()] * SEGMENTS]
     names = ["doc_id", "text_hash", "leaf", "variant", "n_tokens", "lines", *SKETCHES, *PLACES]
-    for batch in batches:
+    for batch in portions(batches):
         rows: list[tuple] = []
         for doc, text, key in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist()):
             found = parse(text.as_py())
@@ -114,8 +114,10 @@ def recurring_variants(lines: DataFrame) -> DataFrame:
     every = lines.groupBy("leaf", "variant").agg(F.count("*").alias("docs"), F.max("n_tokens").alias("n_tokens"), *(F.max(p).alias(p) for p in PLACES))
     every = materialize(every)
     busy = every.groupBy("leaf").agg(F.sum("docs").alias("n"), F.max("n_tokens").alias("n_tokens")).where(F.col("n") >= least_docs()).select("leaf")
-    variants = every.join(materialize(busy), "leaf", "left_semi")
+    busy = materialize(busy)
+    variants = every.join(busy, "leaf", "left_semi")
     variants = materialize(variants.select("leaf", "variant", "docs", "n_tokens", F.filter(F.array(*PLACES), lambda x: x.isNotNull()).alias("segments")))
+    release(every, busy)
     # constants: segments that recur at their place in the leaf
     places = variants.select("leaf", "variant", "n_tokens", "docs", F.size("segments").alias("k"), F.posexplode("segments").alias("place", "segment"))
     constant = places.groupBy("leaf", "place", "segment").agg(F.sum("docs").alias("n"), F.max("n_tokens").alias("n_tokens")).where(F.col("n") >= least_docs())
@@ -124,6 +126,7 @@ def recurring_variants(lines: DataFrame) -> DataFrame:
     template = kept.groupBy("leaf", "variant").agg(F.max("k").alias("k"), F.max("n_tokens").alias("n_tokens"), F.array_sort(F.collect_list(F.struct("place", "segment"))).alias("constants"))
     template = template.where(F.size("constants") * 2 >= F.col("k")).select("variant", "n_tokens", F.xxhash64("leaf", "constants").alias("template"))
     template = materialize(template)
+    release(variants, constant)
     # a template's documents and copy groups over all its variants
     spread = lines.select("variant", *SKETCHES).join(template, "variant")
     spread = spread.groupBy("template", *SKETCHES).agg(F.count("*").alias("docs"), F.max("n_tokens").alias("n_tokens"))
@@ -132,16 +135,20 @@ def recurring_variants(lines: DataFrame) -> DataFrame:
     total = spread.groupBy("template", "order").agg(F.sum("docs").alias("docs"), F.count("*").alias("groups"), F.max("n_tokens").alias("n_tokens"))
     total = total.groupBy("template").agg(F.max("docs").alias("docs"), F.sort_array(F.collect_list("groups"))[len(ORDERS) // 2].alias("groups"), F.max("n_tokens").alias("n_tokens"))
     recurring = total.where((F.col("groups") >= least_docs()) & (F.col("groups") * 100 >= F.col("docs") * MIN_SKETCH_PERCENT)).select("template")
-    return materialize(template.join(recurring, "template", "left_semi").select("variant"))
+    found = materialize(template.join(recurring, "template", "left_semi").select("variant"))
+    release(template)
+    return found
 
 
 def dropped_lines(docs: DataFrame) -> DataFrame:
-    """(doc_id, text_hash, lines) for the documents that lose lines; lines count from 0."""
+    """(doc_id, text_hash, lines) for the documents that lose lines, as a written table; lines count from 0."""
     keyed = docs.select(docs["doc_id"].cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("text_hash"))
     lines = materialize(keyed.mapInArrow(_lines, LINES))
     found = recurring_variants(lines)
     hit = lines.select("doc_id", "text_hash", "variant", "lines").join(found, "variant")
-    return hit.groupBy("doc_id", "text_hash").agg(F.flatten(F.collect_set("lines")).alias("lines"))
+    lost = materialize(hit.groupBy("doc_id", "text_hash").agg(F.flatten(F.collect_set("lines")).alias("lines")))
+    release(lines, found)
+    return lost
 
 
 def dedup_lines(docs: DataFrame) -> DataFrame:
@@ -152,7 +159,7 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     document that holds nothing but recurring lines keeps its row with an empty
     text. Rows that repeat are treated alike; a null doc_id is an id of its own.
     """
-    lost = materialize(dropped_lines(docs)).toDF("_tm_id", "_tm_text", "_tm_lines")
+    lost = dropped_lines(docs).toDF("_tm_id", "_tm_text", "_tm_lines")
     on = docs["doc_id"].cast("long").eqNullSafe(lost["_tm_id"]) & (F.xxhash64(docs["text"]) == lost["_tm_text"])
     out = docs.join(lost, on, "left")
     rest = F.filter(F.split("text", "\n", -1), lambda x, i: ~F.array_contains("_tm_lines", i))
