@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
-from tracemill.llm.common import HashCache, materialize, release
+from tracemill.llm.common import HashCache, materialize, portions, release
 
 SHINGLE = 5
 #: Links have 100 * intersection >= PERCENT * union.
@@ -124,7 +124,7 @@ SKETCH = "doc_id long, n_shingles long, f1 long, f2 long, bands array<long>"
 
 def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     cache = HashCache()
-    for batch in batches:
+    for batch in portions(batches):
         n, f1, f2, bands = [], [], [], []
         for text in batch.column(1):
             h = shingles(text.as_py(), cache)
@@ -147,7 +147,7 @@ SETS = "rep long, n long, shingles array<long>, sig binary"
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     cache = HashCache()
-    for batch in batches:
+    for batch in portions(batches):
         sets = [shingles(text.as_py(), cache) for text in batch.column(1)]
         full = [i for i, h in enumerate(sets) if len(h)]
         sets = [sets[i] for i in full]
