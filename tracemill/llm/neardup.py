@@ -326,10 +326,8 @@ def components(edges: DataFrame) -> DataFrame:
     return now.groupBy("a").agg(F.min("b").alias("label")).select(F.col("a").alias("node"), "label")
 
 
-def with_labels(members: DataFrame, labels: DataFrame | None) -> DataFrame:
-    """Bucket members with the label of their component so far (their own id at first)."""
-    if labels is None:
-        return members.withColumn("label", F.col("rep"))
+def with_labels(members: DataFrame, labels: DataFrame) -> DataFrame:
+    """Bucket members with the label of their component so far (their own id, if they have no link)."""
     return members.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("key", "rep", F.coalesce("label", "rep").alias("label"))
 
 
@@ -412,9 +410,12 @@ def grouped(docs: DataFrame) -> tuple[DataFrame, tuple[DataFrame, ...]]:
     labels = links = None
     left = None
     for round_ in range(STAR_ROUNDS + 1):
-        labelled = with_labels(members, labels)
-        buckets = open_buckets(labelled)
-        labelled = materialize(labelled.join(buckets, "key", "left_semi"))
+        # a bucket of one component stays so: later rounds look at the open ones only
+        every = members.withColumn("label", F.col("rep")) if labels is None else materialize(with_labels(members, labels))
+        buckets = open_buckets(every)
+        labelled = materialize(every.join(buckets, "key", "left_semi"))
+        release(every, members)
+        members = labelled.select("key", "rep")
         rows, n_open = count_open(labelled)
         last = round_ == STAR_ROUNDS or n_open <= OPEN_PAIRS * rows or (left is not None and n_open > 0.9 * left)
         left = n_open
@@ -429,14 +430,14 @@ def grouped(docs: DataFrame) -> tuple[DataFrame, tuple[DataFrame, ...]]:
         else:
             close = materialize(bayes_filter(star_pairs(labelled, round_), sigs))
             found = materialize(exact_filter(close, sets))
-        release(buckets, labelled, close)
+        release(buckets, close)
         links = found if links is None else links.union(found)
         if labels is not None:
             release(labels)
         labels = materialize(components(links))
         if last:
             break
-    release(members, sets)
+    release(labelled, sets)
 
     out = full.select("doc_id", *same).join(classes, same)
     out = out.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("doc_id", "n_shingles", F.coalesce("label", "rep").alias("component_id"))
