@@ -215,6 +215,9 @@ def test_line_templates_equal_brute_force(spark):
     df = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
     found = {r["doc_id"]: r["text"] for r in templates.dedup_lines(df).collect()}
     assert found == templates.brute_force(docs)
+    sized = df.withColumn("n_chars", F.length("text").cast("int"))
+    joined, in_place = (sorted(templates.dedup_lines(sized, n).collect()) for n in (0, 4_000_000))
+    assert joined == in_place and all(r["n_chars"] == len(r["text"]) for r in joined)
     assert not any("copyright" in t for t in found.values())
     assert all(found[40 + i] == docs[1][1] for i in range(6))
 

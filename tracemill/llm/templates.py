@@ -19,6 +19,7 @@ import re
 from collections import defaultdict
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -35,6 +36,8 @@ LONG_TOKENS = 10
 MIN_DOCS_LONG, MIN_DOCS_SHORT = 3, 10
 #: Distinct sketches in a hundred documents, at least: families of near copies have several, but few for their size.
 MIN_SKETCH_PERCENT = 30
+#: Recurring lines that are broadcast (8 bytes each), at most; more meet their documents in joins.
+BROADCAST_VARIANTS = 4_000_000
 
 # Odd factors that put leaves into independent orders.
 ORDERS = (1, 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
@@ -55,16 +58,28 @@ def _hash(data: bytes) -> int:
     return h - (1 << 64) if h >> 63 else h
 
 
+def masked_tokens(line: bytes) -> list[bytes]:
+    """The tokens of a line, variable fields masked; none if they are too few."""
+    tokens = line.split()
+    if len(tokens) < MIN_TOKENS:
+        return []
+    return [*map(masked, tokens)] if DIGIT.search(line) else tokens
+
+
+def variant_of(line: bytes) -> int | None:
+    """The hash of a masked line; None if it has too few tokens."""
+    tokens = masked_tokens(line)
+    return _hash(b" ".join(tokens)) if tokens else None
+
+
 def parse(text: str | None) -> dict[int, tuple[int, int, list[int], list[int]]]:
     """variant -> (leaf, n_tokens, line numbers, segments) of a text's lines with enough tokens."""
     out: dict[int, tuple[int, int, list[int], list[int]]] = {}
     for i, line in enumerate((text or "").encode().split(b"\n")):
-        tokens = line.split()
+        tokens = masked_tokens(line)
         n = len(tokens)
-        if n < MIN_TOKENS:
+        if not n:
             continue
-        if DIGIT.search(line):
-            tokens = [*map(masked, tokens)]
         variant = _hash(b" ".join(tokens))
         if variant in out:
             out[variant][2].append(i)
@@ -140,18 +155,44 @@ def recurring_variants(lines: DataFrame) -> DataFrame:
     return found
 
 
-def dropped_lines(docs: DataFrame) -> DataFrame:
+def dropped_lines(lines: DataFrame, found: DataFrame) -> DataFrame:
     """(doc_id, text_hash, lines) for the documents that lose lines, as a written table; lines count from 0."""
-    keyed = docs.select(docs["doc_id"].cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("text_hash"))
-    lines = materialize(keyed.mapInArrow(_lines, LINES))
-    found = recurring_variants(lines)
     hit = lines.select("doc_id", "text_hash", "variant", "lines").join(found, "variant")
-    lost = materialize(hit.groupBy("doc_id", "text_hash").agg(F.flatten(F.collect_set("lines")).alias("lines")))
-    release(lines, found)
-    return lost
+    return materialize(hit.groupBy("doc_id", "text_hash").agg(F.flatten(F.collect_set("lines")).alias("lines")))
+
 
+def without(text: str, bad: np.ndarray) -> str:
+    """A text without the lines whose variants are in ``bad``, which is sorted."""
+    lines = text.split("\n")
+    hashes = np.fromiter((variant_of(line.encode()) or 0 for line in lines), np.int64, len(lines))
+    gone = bad[np.minimum(np.searchsorted(bad, hashes), len(bad) - 1)] == hashes
+    return "\n".join(line for line, out in zip(lines, gone) if not out) if gone.any() else text
 
-def dedup_lines(docs: DataFrame) -> DataFrame:
+
+def drop_in_place(docs: DataFrame, found: DataFrame) -> DataFrame:
+    """``docs`` without the recurring lines, which are looked up while the texts are read: documents are not shuffled."""
+    bad = np.sort(np.array([r["variant"] for r in found.collect()], np.int64))
+    if not len(bad):
+        return docs
+    shared = docs.sparkSession.sparkContext.broadcast(bad)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in portions(batches):
+            names, cols = batch.schema.names, [*batch.columns]
+            at = names.index("text")
+            old = cols[at].to_pylist()
+            new = [t and without(t, shared.value) for t in old]
+            cols[at] = pa.array(new, cols[at].type)
+            if "n_chars" in names:
+                k = names.index("n_chars")
+                cols[k] = pa.array([n if a is b or a == b else len(b) for n, a, b in zip(cols[k].to_pylist(), old, new)]).cast(cols[k].type)
+            yield pa.RecordBatch.from_arrays(cols, names=names)
+
+    fields = [f"`{f.name.replace('`', '``')}` {f.dataType.simpleString()}" for f in docs.schema]
+    return docs.mapInArrow(run, ", ".join(fields))
+
+
+def dedup_lines(docs: DataFrame, broadcast_variants: int = BROADCAST_VARIANTS) -> DataFrame:
     """``docs`` with recurring template lines taken out of ``text``; same columns, same rows.
 
     A document that loses lines also gets its ``n_chars``, if there is such a
@@ -159,7 +200,16 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     document that holds nothing but recurring lines keeps its row with an empty
     text. Rows that repeat are treated alike; a null doc_id is an id of its own.
     """
-    lost = dropped_lines(docs).toDF("_tm_id", "_tm_text", "_tm_lines")
+    keyed = docs.select(docs["doc_id"].cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("text_hash"))
+    lines = materialize(keyed.mapInArrow(_lines, LINES))
+    found = recurring_variants(lines)
+    if found.count() <= broadcast_variants:
+        out = drop_in_place(docs, found)
+        release(lines, found)
+        return out
+    lost = dropped_lines(lines, found)
+    release(lines, found)
+    lost = lost.toDF("_tm_id", "_tm_text", "_tm_lines")
     on = docs["doc_id"].cast("long").eqNullSafe(lost["_tm_id"]) & (F.xxhash64(docs["text"]) == lost["_tm_text"])
     out = docs.join(lost, on, "left")
     rest = F.filter(F.split("text", "\n", -1), lambda x, i: ~F.array_contains("_tm_lines", i))
