@@ -44,7 +44,7 @@ ORDERS = (1, 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 
 SKETCHES = [f"sketch{j}" for j in range(len(ORDERS))]
 PLACES = [f"s{j}" for j in range(SEGMENTS)]
-LINES = "doc_id long, text_hash long, leaf long, variant long, n_tokens int, lines array<int>, " + ", ".join([*(f"{c} int" for c in SKETCHES), *(f"{p} long" for p in PLACES)])
+LINES = "doc_id long, text_hash long, leaf long, variant long, n_tokens int, lines array<int>, " + ", ".join([*(f"{c} int" for c in SKETCHES), *(f"{p} int" for p in PLACES)])
 DIGIT = re.compile(rb"[0-9]")
 
 
@@ -86,7 +86,7 @@ def parse(text: str | None) -> dict[int, tuple[int, int, list[int], list[int]]]:
             continue
         k = min(SEGMENTS, n)
         cuts = [n * j // k for j in range(k + 1)]
-        segments = [_hash(b" ".join(tokens[a:b])) for a, b in zip(cuts, cuts[1:])]
+        segments = [_hash(b" ".join(tokens[a:b])) >> 32 for a, b in zip(cuts, cuts[1:])]  # told apart within a leaf and place only
         out[variant] = (_hash(b"%d " % n + b" ".join(tokens[:DEPTH])), n, [i], segments)
     return out
 
@@ -101,7 +101,7 @@ def sketches_of(leaves: set[int]) -> dict[int, tuple[int, ...]]:
 
 
 def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    kinds = [*[pa.int64()] * 4, pa.int32(), pa.list_(pa.int32()), *[pa.int32()] * len(ORDERS), *[pa.int64()] * SEGMENTS]
+    kinds = [*[pa.int64()] * 4, pa.int32(), pa.list_(pa.int32()), *[pa.int32()] * len(ORDERS), *[pa.int32()] * SEGMENTS]
     names = ["doc_id", "text_hash", "leaf", "variant", "n_tokens", "lines", *SKETCHES, *PLACES]
     for batch in portions(batches):
         rows: list[tuple] = []
