@@ -332,6 +332,15 @@ def test_brown_base_score_equals_brute_force(spark, odd_rows, monkeypatch):
             assert r["base_score"] == pytest.approx(w[3]) and r["score"] < 0
 
 
+def test_brown_gives_a_row_per_row(odd, empty, monkeypatch):
+    for head in (200_000, 20):
+        monkeypatch.setattr(brown.head_least, "__defaults__", (head,))
+        out = brown.score(odd)
+        assert out.count() == odd.count() and out.where("doc_id = 1").count() == odd.where("doc_id = 1").count() > 1
+        assert out.where("doc_id = 1").distinct().count() == 1 and out.where("doc_id is null").count() == 1
+    assert brown.score(empty).count() == 0
+
+
 def test_exchange_finds_classes():
     import numpy as np
 
