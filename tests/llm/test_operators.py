@@ -237,6 +237,14 @@ def test_line_templates_whatever_a_shared_line_hashes_to(spark):
     assert all(found[5000 + i] == copied for i in range(20))
 
 
+def test_line_templates_with_joined_leaves(spark):
+    """More busy leaves than may be broadcast meet the lines in a join, with the same result."""
+    docs = line_docs(random.Random(4))
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    found = {r["doc_id"]: r["text"] for r in templates.dedup_lines(df, broadcast_leaves=0).collect()}
+    assert found == templates.brute_force(docs)
+
+
 def test_line_templates_odd(odd, empty):
     out = templates.dedup_lines(odd)
     assert out.columns == odd.columns and out.count() == odd.count()

@@ -38,6 +38,8 @@ MIN_DOCS_LONG, MIN_DOCS_SHORT = 3, 10
 MIN_SKETCH_PERCENT = 30
 #: Recurring lines that are broadcast (8 bytes each), at most; more meet their documents in joins.
 BROADCAST_VARIANTS = 4_000_000
+#: Busy leaves that are broadcast (about 32 bytes each), at most; more meet the lines in a join.
+BROADCAST_LEAVES = 2_000_000
 
 # Odd factors that put leaves into independent orders.
 ORDERS = (1, 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
@@ -119,20 +121,30 @@ def least_docs():
     return F.when(F.col("n_tokens") >= LONG_TOKENS, MIN_DOCS_LONG).otherwise(MIN_DOCS_SHORT)
 
 
+def busy_lines(lines: DataFrame, broadcast_leaves: int = BROADCAST_LEAVES) -> DataFrame:
+    """The lines whose leaf holds as many lines as a recurring template needs, as a written table.
+
+    Most leaves hold a line or two, so only their counts are shuffled, summed
+    up before. The busy leaves are broadcast up to a bound and joined by a
+    shuffle beyond, where adaptive execution splits a hot leaf's lines.
+    """
+    busy = lines.groupBy("leaf").agg(F.count("*").alias("n"), F.max("n_tokens").alias("n_tokens")).where(F.col("n") >= least_docs())
+    busy = materialize(busy.select("leaf"))
+    few = busy.count() <= broadcast_leaves
+    found = materialize(lines.join(F.broadcast(busy) if few else busy, "leaf", "left_semi").select(*lines.columns))
+    release(busy)
+    return found
+
+
 def recurring_variants(lines: DataFrame) -> DataFrame:
-    """The variants (distinct masked lines) whose template recurs.
+    """The variants (distinct masked lines) whose template recurs, of the lines of busy leaves.
 
     A line that a third of all documents share is one row after the first,
     map-side combined aggregation; copies are only counted where a template
     has enough constants.
     """
-    every = lines.groupBy("leaf", "variant").agg(F.count("*").alias("docs"), F.max("n_tokens").alias("n_tokens"), *(F.max(p).alias(p) for p in PLACES))
-    every = materialize(every)
-    busy = every.groupBy("leaf").agg(F.sum("docs").alias("n"), F.max("n_tokens").alias("n_tokens")).where(F.col("n") >= least_docs()).select("leaf")
-    busy = materialize(busy)
-    variants = every.join(busy, "leaf", "left_semi")
+    variants = lines.groupBy("leaf", "variant").agg(F.count("*").alias("docs"), F.max("n_tokens").alias("n_tokens"), *(F.max(p).alias(p) for p in PLACES))
     variants = materialize(variants.select("leaf", "variant", "docs", "n_tokens", F.filter(F.array(*PLACES), lambda x: x.isNotNull()).alias("segments")))
-    release(every, busy)
     # constants: segments that recur at their place in the leaf
     places = variants.select("leaf", "variant", "n_tokens", "docs", F.size("segments").alias("k"), F.posexplode("segments").alias("place", "segment"))
     constant = places.groupBy("leaf", "place", "segment").agg(F.sum("docs").alias("n"), F.max("n_tokens").alias("n_tokens")).where(F.col("n") >= least_docs())
@@ -192,7 +204,7 @@ def drop_in_place(docs: DataFrame, found: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, ", ".join(fields))
 
 
-def dedup_lines(docs: DataFrame, broadcast_variants: int = BROADCAST_VARIANTS) -> DataFrame:
+def dedup_lines(docs: DataFrame, broadcast_variants: int = BROADCAST_VARIANTS, broadcast_leaves: int = BROADCAST_LEAVES) -> DataFrame:
     """``docs`` with recurring template lines taken out of ``text``; same columns, same rows.
 
     A document that loses lines also gets its ``n_chars``, if there is such a
@@ -201,7 +213,9 @@ def dedup_lines(docs: DataFrame, broadcast_variants: int = BROADCAST_VARIANTS) -
     text. Rows that repeat are treated alike; a null doc_id is an id of its own.
     """
     keyed = docs.select(docs["doc_id"].cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("text_hash"))
-    lines = materialize(keyed.mapInArrow(_lines, LINES))
+    every = materialize(keyed.mapInArrow(_lines, LINES))
+    lines = busy_lines(every, broadcast_leaves)
+    release(every)
     found = recurring_variants(lines)
     if found.count() <= broadcast_variants:
         out = drop_in_place(docs, found)
