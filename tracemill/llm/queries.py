@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tracemill.llm import bpe, brown, crf, html_template, neardup, quality, secrets, templates, toxicity, wumanber
+from tracemill.llm import bpe, brown, crf, html_template, neardup, quality, secrets, simhash, templates, toxicity, wumanber
 from tracemill.llm.common import table
 
 #: Where the vocabulary of operator 10 lies; a parameter, never copied.
@@ -54,6 +54,10 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_documents(table(spark, sf_dir, "documents"), BPE_FILE)
 
 
+def op11_simhash_gray(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -61,7 +65,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_toxicity, op2_secret_scan, op3_language_crf, op4_minhash_bayes, op5_html_template, op6_brown_classes, op7_quality_rules, op8_line_templates, op9_decontamination, op10_bpe)
+    found = (op1_toxicity, op2_secret_scan, op3_language_crf, op4_minhash_bayes, op5_html_template, op6_brown_classes, op7_quality_rules, op8_line_templates, op9_decontamination, op10_bpe, op11_simhash_gray)
     return {f.__name__: f for f in found} | {"pipeline": pipeline}
 
 
