@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tracemill.llm import bpe, brown, crf, html_template, neardup, quality, secrets, simhash, templates, toxicity, wumanber
+from tracemill.llm import bpe, brown, crf, html_template, neardup, quality, repair, secrets, simhash, templates, toxicity, trie, wumanber
 from tracemill.llm.common import table
 
 #: Where the vocabulary of operator 10 lies; a parameter, never copied.
@@ -58,6 +58,14 @@ def op11_simhash_gray(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie.trie_report(table(spark, sf_dir, "conversations"))
+
+
+def op13_repair_dawg(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair.repair_report(table(spark, sf_dir, "conversations"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -65,7 +73,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_toxicity, op2_secret_scan, op3_language_crf, op4_minhash_bayes, op5_html_template, op6_brown_classes, op7_quality_rules, op8_line_templates, op9_decontamination, op10_bpe, op11_simhash_gray)
+    found = (op1_toxicity, op2_secret_scan, op3_language_crf, op4_minhash_bayes, op5_html_template, op6_brown_classes, op7_quality_rules, op8_line_templates, op9_decontamination, op10_bpe, op11_simhash_gray, op12_prefix_trie, op13_repair_dawg)
     return {f.__name__: f for f in found} | {"pipeline": pipeline}
 
 
