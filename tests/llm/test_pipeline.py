@@ -33,6 +33,60 @@ def test_stages_keep_the_columns(spark):
         assert stage(spark, docs.limit(0), SF).columns == docs.columns, name
 
 
+ODD = "doc_id long, text string, lang string, source string, n_chars long, _q_words string, _Q_good int, _w_words string, _w_starts int"
+
+
+@pytest.fixture(scope="module")
+def odd_documents(spark, odd_rows):
+    """Nulls, blanks, long texts, repeated rows and columns whose names the operators use themselves."""
+    return spark.createDataFrame([(*r[:5], "q", 1, "w", 2) for r in odd_rows], ODD)
+
+
+def test_stages_on_odd_rows(spark, odd_documents):
+    docs = odd_documents
+    before = docs.count()
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, SF)
+        if name == "encode":
+            assert out.count() == docs.count()
+            continue
+        assert out.columns == docs.columns, name
+        rows = [tuple(r) for r in out.collect()]
+        assert all(r[5:] == ("q", 1, "w", 2) for r in rows), name
+        known = {(r[0], r[2], r[3], r[4]) for r in docs.collect()}
+        assert {(r[0], r[2], r[3], r[4]) for r in rows} <= known and len(rows) <= before, name
+        docs = spark.createDataFrame(rows, ODD)
+        before = len(rows)
+    assert before > 3
+
+
+def test_several_benchmark_blocks_with_clashing_columns(spark, odd_documents):
+    bench = spark.read.parquet(f"{SF}/benchmark.parquet")
+    key = lambda r: str(tuple(r))
+    whole = sorted(wumanber.drop_contaminated(odd_documents, bench).collect(), key=key)
+    assert whole == sorted(wumanber.drop_contaminated(odd_documents, bench, block_chars=3000).collect(), key=key)
+
+
+def test_two_stages_lie_in_the_shared_folder(spark, tmp_path, monkeypatch):
+    """Every finished stage is released, with what it wrote on its way."""
+    from tracemill.llm import common
+
+    seen = []
+    monkeypatch.setattr(common, "shared_dir", lambda spark: str(tmp_path))
+
+    def watched(stage):
+        def run(spark, docs, sf_dir):
+            seen.append(len(list(tmp_path.iterdir())))
+            return stage(spark, docs, sf_dir)
+
+        return run
+
+    monkeypatch.setattr(corpus_pipeline, "STAGES", [(n, watched(f)) for n, f in corpus_pipeline.STAGES])
+    rows = corpus_pipeline.run(spark, SF).count()
+    assert rows and seen == [0, 1, 1, 1, 1]
+    assert len(list(tmp_path.iterdir())) == 1
+
+
 def test_guard(tmp_path):
     """Without the text operators the entry module and its other queries still work."""
     import pathlib

@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 import xxhash
@@ -35,6 +35,10 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+#: Folders that ``materialize`` wrote inside the ``settled`` calls that are open now.
+_open: list[list[str]] = []
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """Write ``df`` as Parquet into the shared folder and read it back.
 
@@ -44,6 +48,8 @@ def materialize(df: DataFrame) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tracemill-{uuid.uuid4().hex}"
+    for made in _open:
+        made.append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -54,9 +60,32 @@ def release(*tables: DataFrame) -> None:
         for name in df.inputFiles()[:1]:
             folder = re.match(r"(.*/tracemill-[0-9a-f]{32})/", name)
             if folder:
-                jvm = df.sparkSession._jvm
-                path = jvm.org.apache.hadoop.fs.Path(folder[1])
-                path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+                _delete(df.sparkSession, folder[1])
+
+
+def _delete(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def settled(spark: SparkSession, stage: Callable[[], DataFrame]) -> DataFrame:
+    """The rows of ``stage`` as a written table; every other table that was written on the way to it is deleted."""
+    made: list[str] = []
+    _open.append(made)
+    try:
+        out = materialize(stage())
+    finally:
+        _open.remove(made)
+    for folder in made[:-1]:
+        _delete(spark, folder)
+    return out
+
+
+def free_prefix(columns: list[str], prefix: str) -> str:
+    """``prefix``, with underscores before it until no column begins with it (in any case)."""
+    while any(c.lower().startswith(prefix) for c in columns):
+        prefix = "_" + prefix
+    return prefix
 
 
 def portions(batches: Iterator[pa.RecordBatch], rows: int = 500) -> Iterator[pa.RecordBatch]:

@@ -129,7 +129,9 @@ def keep_good(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """
     # worked out once, in the projection: the optimizer does not move a filter below what it takes for indeterminate
     good = F.when(F.spark_partition_id() >= 0, ~base_failed() & verdict(rules))
-    return measures(docs).withColumn("_q_good", good).where("_q_good").select(*docs.columns)
+    # the row goes along in one column, so that its names meet none of those above
+    row = docs.select(F.struct(*(docs[f"`{c}`"] for c in docs.columns)).alias("row"), docs["text"].alias("text"))
+    return measures(row).withColumn("_q_good", good).where("_q_good").select("row.*")
 
 
 def sql(rules: tuple[Rule, ...] = RULES) -> str:

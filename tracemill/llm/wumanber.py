@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracemill.llm.common import materialize, portions, release
+from tracemill.llm.common import free_prefix, materialize, portions, release
 
 WINDOW = 13
 #: Benchmark characters that one set of shift tables may hold; beyond it the benchmark is searched in several blocks.
@@ -123,7 +123,7 @@ def item_blocks(benchmark: DataFrame, block_chars: int) -> Iterator[list[tuple[i
 
 
 def occurrences(docs: DataFrame, benchmark: DataFrame, block_chars: int = BLOCK_CHARS, only_good: bool = False) -> DataFrame:
-    """The rows of ``docs`` with the columns of FOUND; with ``only_good``, those that are not contaminated, without them.
+    """The rows of ``docs`` with the columns of FOUND (under more underscores where ``docs`` has such names); with ``only_good``, those that are not contaminated, without them.
 
     A null or empty text has no words. If the benchmark needs several blocks,
     every row is searched for one block after the other and keeps what was
@@ -132,6 +132,8 @@ def occurrences(docs: DataFrame, benchmark: DataFrame, block_chars: int = BLOCK_
     """
     spark = docs.sparkSession
     names, kinds, types = zip(*FOUND)
+    more = free_prefix(docs.columns, "_w_")
+    names = [more + n.removeprefix("_w_") for n in names]
     before: DataFrame | None = None
     out = docs
     blocks = item_blocks(benchmark, block_chars)
