@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from tracemill.llm import bpe, neardup, quality, templates, wumanber
-from tracemill.llm.common import materialize, table
+from tracemill.llm.common import release, settled, table
 from tracemill.llm.queries import BPE_FILE
 
 
@@ -52,10 +52,17 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``."""
+    """All stages over ``documents``.
+
+    A stage's rows are deleted once the next stage's are written, with what the
+    next stage wrote on its way: two stages' rows lie in the shared folder at
+    most, and one in the end.
+    """
     docs = table(spark, sf_dir, "documents")
     for k, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if k < len(STAGES) - 1:
-            docs = materialize(docs)
-    return docs
+        if k == len(STAGES) - 1:
+            return stage(spark, docs, sf_dir)
+        done = settled(spark, lambda: stage(spark, docs, sf_dir))
+        if k:
+            release(docs)
+        docs = done
