@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from tracemill.operators import dfg as G
 from tracemill.operators import discovery as W
 from tracemill.operators import grid as E
+from tracemill.operators import sampling as P
 from tracemill.operators.evaluate import MEASURES as M
 from tracemill.plans.base import register
 from tracemill.plans.trace_queries import DFG, TRACES, kinds
@@ -26,6 +27,18 @@ CFG = """cf AS (SELECT p1, kind, p2, concat('alg', CAST(CAST(kind AS INT) AS VAR
 HASH = "substr(sha256(concat_ws('|', algorithm, concat('p1=', coalesce(printf('%.6f', p1), '_')), concat('p2=', coalesce(printf('%.6f', p2), '_')))), 1, 16)"
 register("E1_expand_grid", lambda s, d: runs(s, d).select("log_id").distinct().crossJoin(configs(s)), "WITH " + CFG + "\nSELECT log_id, p1, kind, p2, algorithm FROM (SELECT DISTINCT log_id FROM runs), cf", "p1 kind p2")
 register("E2_sample_lhs", lambda s, d: runs(s, d).select("log_id").distinct().crossJoin(E.sample_lhs(s, {"t": ("float", 0.001, 1.0, "log"), "k": ("int", 1, 9, "linear"), "mode": ("choice", ["x", "y", "z"])}, 60, 3)))
+SPACE = {"noise": {"type": "float", "min": 0.0, "max": 1.0}, "mode": ["x", "y"]}
+BRANCHES = [({"mode": "x"}, {"alpha": {"type": "float", "min": 0.001, "max": 1.0, "scale": "log"}, "k": [1, 2, 3, 4]}), ({"mode": "y"}, {"beta": {"type": "float", "min": 0.0, "max": 3.0}}), ({"mode": "x", "k": 3}, {"gamma": {"type": "float", "min": 0.0, "max": 1.0}})]
+
+
+def branched(s, d):
+    return P.conditional_lhs(runs(s, d).select("log_id"), SPACE, BRANCHES, n=40, seed=7)
+
+
+register("E2_conditional_lhs", branched)
+register("E2_conditional_strata", lambda s, d: P.strata(branched(s, d), ["log_id"], SPACE, BRANCHES), """WITH st AS (SELECT * FROM (SELECT 0 AS branch, 'noise' AS parameter, unnest(range(40)) AS stratum, 1 AS n) UNION ALL SELECT 0, 'mode', unnest(range(2)), 20
+ UNION ALL SELECT 1, 'alpha', unnest(range(20)), 1 UNION ALL SELECT 1, 'k', unnest(range(4)), 5 UNION ALL SELECT 2, 'beta', unnest(range(20)), 1 UNION ALL SELECT 3, 'gamma', unnest(range(5)), 1)
+SELECT log_id, branch, parameter, stratum, n FROM (SELECT DISTINCT log_id FROM runs), st""")
 register("E3_build_manifest", lambda s, d: E.build_manifest(runs(s, d), configs(s), PARAMS).select("log_id", "algorithm", "config_hash", "row_id"), "WITH " + CFG + f""",
 h AS (SELECT algorithm, {HASH} AS config_hash FROM cf)
 SELECT log_id, algorithm, config_hash, substr(sha256(concat_ws('|', log_id, config_hash)), 1, 16) AS row_id FROM (SELECT DISTINCT log_id FROM runs), h""")
