@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from tracemill.operators import dfg as G
 from tracemill.operators import discovery as W
 from tracemill.operators import grid as E
+from tracemill.operators import metadata as D
 from tracemill.operators import sampling as P
 from tracemill.operators.evaluate import MEASURES as M
 from tracemill.plans.base import register
@@ -60,12 +61,26 @@ def nested(s, d):
     r = runs(s, d)
     metric = F.map_from_arrays(F.array(*map(F.lit, M)), F.array(*M))
     state = F.map_from_arrays(F.array(*map(F.lit, M)), F.array(*(F.struct(F.when(F.col(m).isNull(), "missing").otherwise("success").alias("status"), F.lit(None).cast("string").alias("error")) for m in M)))
-    return r.select("experiment_id", "log_id", "status", F.col("algorithm").alias("algorithm_name"), "runtime_seconds", metric.alias("metrics"), state.alias("metric_statuses"), F.map_from_arrays(F.array(F.lit("p1"), F.lit("p2")), F.array("p1", "p2")).alias("hyperparameters"), F.struct(F.lit("2026-01-01T00:00:00Z").alias("timestamp_utc")).alias("metadata"))
+    return r.select("experiment_id", "log_id", "config_hash", "status", F.col("algorithm").alias("algorithm_name"), "runtime_seconds", metric.alias("metrics"), state.alias("metric_statuses"), F.map_from_arrays(F.array(F.lit("p1"), F.lit("p2")), F.array("p1", "p2")).alias("hyperparameters"), F.struct(F.lit("2026-01-01T00:00:00Z").alias("timestamp_utc")).alias("metadata"))
 
 
 register("E6_flatten_results", lambda s, d: E.flatten_results(nested(s, d), list(M), PARAMS), "SELECT experiment_id, log_id, status, algorithm AS algorithm_name, runtime_seconds, " + ", ".join(f"{m} AS metric_{m}, CASE WHEN {m} IS NULL THEN 'missing' ELSE 'success' END AS metric_status_{m}" for m in M) + ", p1 AS param_p1, p2 AS param_p2, '2026-01-01T00:00:00Z' AS metadata_timestamp_utc FROM runs", "runtime_seconds param_p1 param_p2 " + " ".join(f"metric_{m}" for m in M))
 
 
+def described(s, d):
+    """Runs with metadata as open JSON: objects at several depths, arrays, nulls and a text that is none."""
+    r = runs(s, d).select("log_id", "config_hash", "algorithm", "status", "runtime_seconds", "p1")
+    timings = F.struct(F.struct(F.col("runtime_seconds").alias("wall"), F.struct(F.col("config_hash").alias("who"), F.col("p1").alias("deep")).alias("inner")).alias("total"), F.array(F.lit(1), F.lit(2)).alias("steps"))
+    meta = F.to_json(F.struct(timings.alias("timings"), F.struct((F.col("status") == "success").alias("fine")).alias("slurm"), F.lit("x").alias("other")), {"ignoreNullFields": "false"})
+    source = F.when(F.col("algorithm") == "alg3", F.lit("no JSON")).otherwise(F.concat(F.lit('{"l1": {"l2": {"l3": {"l4": {"of": "'), "log_id", F.lit('"}}}}, "empty": {}}')))
+    return r.select("log_id", "config_hash", meta.alias("metadata"), source.alias("source_metadata"))
+
+
+register("E6_recursive_metadata", lambda s, d: D.flatten_metadata(described(s, d), ["log_id", "config_hash"]), """SELECT log_id, config_hash, 'timing_total_wall' AS path, CASE WHEN runtime_seconds = floor(runtime_seconds) THEN CAST(CAST(runtime_seconds AS BIGINT) AS VARCHAR) ELSE CAST(runtime_seconds AS VARCHAR) END AS value, 'number' AS kind FROM runs
+UNION ALL SELECT log_id, config_hash, 'timing_total_inner_who', config_hash, 'string' FROM runs UNION ALL SELECT log_id, config_hash, 'timing_total_inner_deep', CAST(p1 AS VARCHAR), CASE WHEN p1 IS NULL THEN 'null' ELSE 'number' END FROM runs
+UNION ALL SELECT log_id, config_hash, 'slurm_fine', CAST(status = 'success' AS VARCHAR), 'boolean' FROM runs UNION ALL SELECT log_id, config_hash, 'source_l1_l2_l3_l4_of', log_id, 'string' FROM runs WHERE algorithm <> 'alg3'""".replace("\nUNION", " UNION"))
+
+
 def doubled(s, d):
     """Runs with a second, later result of some configurations and some hashes missing."""
     r = runs(s, d).select("log_id", "algorithm", "config_hash", "status", *M)

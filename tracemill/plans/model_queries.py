@@ -6,12 +6,16 @@ from pyspark.sql import functions as F
 
 from tracemill.operators import evaluate as V
 from tracemill.operators import models as L
+from tracemill.operators.features import six_axes
+from tracemill.operators.timing import time_extraction
 from tracemill.plans.base import register
 from tracemill.plans.evaluation_queries import BASE, defaults, scores
 from tracemill.plans.grid_queries import nested
 from tracemill.sources import logs as S
+from tracemill.sources import xes_document as X
 from tracemill.sources.scratch import scratch
-from tracemill.sources.views import event_log, runs
+from tracemill.sources.views import event_log, lifecycle_log, runs
+from tracemill.streaming import ingest as I
 
 COLUMNS = ["p1", "p2", "runtime_seconds"]
 TREES = 10  # the default of the operator is 200; a query that only shows it takes fewer
@@ -121,22 +125,48 @@ register("S5_dataset_round_trip", dataset_back, "SELECT log_id, config_hash, p1,
 def cache_back(s, d):
     path = scratch(s)
     S.write_log_cache(event_log(s, d), path)
-    return s.read.parquet(path).where("log_id = 'log1'").select("log_id", "case_id", "activity", "ts", "event_index")
+    return s.read.parquet(path).select("log_id", "case_id", "activity", "ts", "event_index")
 
 
-register("S6_log_cache", cache_back, "SELECT * FROM event_log WHERE log_id = 'log1'")
+register("S6_log_cache", cache_back, "SELECT * FROM event_log")
+
+
+def headers(s, d):
+    """Headers that follow from a log: fixed extensions and a classifier, defaults by its first case and activity."""
+    h = lifecycle_log(s, d).groupBy("log_id").agg(F.min("case_id").alias("c"), F.min("activity").alias("a"))
+    fixed = [("extension", "Concept", "concept", "http://www.xes-standard.org/concept.xesext"), ("extension", "Lifecycle", "lifecycle", "http://www.xes-standard.org/lifecycle.xesext"), ("classifier", "Activity & step", None, "concept:name lifecycle:transition")]
+    parts = [F.struct(*(F.lit(v).cast("string").alias(n) for n, v in zip(("part", "name", "detail", "value"), row))) for row in fixed]
+    parts += [F.struct(F.lit("global").alias("part"), F.lit("concept:name").alias("name"), F.lit(scope).alias("detail"), F.col(c).alias("value")) for scope, c in (("trace", "c"), ("event", "a"))]
+    return h.select("log_id", F.explode(F.array(*parts)).alias("p")).select("log_id", "p.*")
+
+
+def documents(s, d):
+    path = scratch(s)
+    X.write_document(lifecycle_log(s, d), path, headers(s, d), lifecycle="keep", files=2)
+    return f"{path}/*/*/*"
+
+
+register("S3_header_tables", lambda s, d: X.header_table(s, documents(s, d)), """WITH h AS (SELECT log_id, min(case_id) AS c, min(activity) AS a FROM lifecycle_log GROUP BY 1)
+SELECT log_id, part, name, detail, CASE value WHEN '?c' THEN c WHEN '?a' THEN a ELSE value END AS value FROM h, (VALUES ('extension', 'Concept', 'concept', 'http://www.xes-standard.org/concept.xesext'), ('extension', 'Lifecycle', 'lifecycle', 'http://www.xes-standard.org/lifecycle.xesext'), ('classifier', 'Activity & step', NULL, 'concept:name lifecycle:transition'), ('global', 'concept:name', 'trace', '?c'), ('global', 'concept:name', 'event', '?a'), ('trace', 'concept:name', NULL, NULL), ('event', 'concept:name', NULL, NULL), ('event', 'time:timestamp', NULL, NULL), ('event', 'lifecycle:transition', NULL, NULL)) t(part, name, detail, value)""".replace("\nSELECT log_id, part", "\nSELECT log_id, part"))
+register("S8_xes_lifecycle", lambda s, d: S.read_xes(s, documents(s, d))[0].groupBy("case_id", "lifecycle", "activity").agg(F.count("*").alias("n"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts")), "SELECT case_id, lifecycle, activity, count(*) AS n, min(ts) AS first_ts, max(ts) AS last_ts FROM lifecycle_log GROUP BY ALL")
+
+
+def write_results(df, path, by="log_id"):
+    """Results as JSON, an array of them in a file for each value of ``by``."""
+    arrays = df.groupBy(by).agg(F.to_json(F.collect_list(F.struct(*df.columns))).alias("value"))
+    arrays.withColumn("of", F.col(by)).select("of", "value").repartition("of").write.partitionBy("of").text(path)
 
 
 def json_back(s, d):
     path = scratch(s)
-    nested(s, d).withColumn("config_hash", F.lit("c")).write.json(path)
+    write_results(nested(s, d).withColumn("config_hash", F.lit("c")), path + "/good")
+    write_results(nested(s, d).withColumn("config_hash", F.lit("c")), path + "/left_out")
     s.createDataFrame([("{broken",)], "value string").coalesce(1).write.text(path + "/bad")
-    # one object a line here; single results come one a file
-    raw = s.read.schema(S.RESULT + ", _corrupt_record string").option("recursiveFileLookup", True).json(path)
-    return raw.where("log_id is not null").groupBy("log_id", "status").agg(F.count("*").alias("n"))
+    found, corrupt = S.read_results(s, [path], ("left_out",))
+    return found.groupBy("log_id", "status").agg(F.count("*").alias("n")).unionByName(corrupt.select(F.lit("corrupt files").alias("log_id"), F.lit(None).cast("string").alias("status"), F.col("corrupt").alias("n")))
 
 
-register("S4_results_scan", json_back, "SELECT log_id, status, count(*) AS n FROM runs GROUP BY 1, 2")
+register("S4_results_scan", json_back, "SELECT log_id, status, count(*) AS n FROM runs GROUP BY 1, 2 UNION ALL SELECT 'corrupt files', NULL, 1")
 
 
 def checksummed(s, d):
@@ -150,13 +180,26 @@ register("S7_file_checksums", checksummed)
 
 
 def streamed(s, d):
+    """Two waves of result files through the stream: the second repeats runs with other values, earlier times and new runs."""
     src, table, mark = scratch(s), scratch(s), scratch(s)
-    r = nested(s, d).withColumn("config_hash", F.concat(F.col("algorithm_name"), F.coalesce(F.col("hyperparameters")["p1"].cast("string"), F.lit("_"))))
-    r.unionByName(r.where("algorithm_name = 'alg1'")).write.json(src)
-    raw = s.readStream.schema(S.RESULT).json(src)
-    stamped = raw.withColumn("at", F.to_timestamp("metadata.timestamp_utc")).withWatermark("at", "1 hour").dropDuplicatesWithinWatermark(["log_id", "config_hash"])
-    stamped.writeStream.format("parquet").option("path", table).option("checkpointLocation", mark).trigger(availableNow=True).start().awaitTermination()
-    return s.read.parquet(table).groupBy("log_id").agg(F.count("*").alias("n"))
+    r = nested(s, d)
+    write_results(r.where("algorithm_name <> 'alg2'"), f"{src}/first")
+    I.ingest(s, src, table, mark).awaitTermination()
+    late = r.where("algorithm_name in ('alg1', 'alg2')").withColumn("status", F.when(F.col("algorithm_name") == "alg1", "repeated").otherwise(F.col("status")))
+    write_results(late.withColumn("metadata", F.col("metadata").withField("timestamp_utc", F.lit("2001-01-01T00:00:00Z"))), f"{src}/second")
+    I.ingest(s, src, table, mark).awaitTermination()
+    return I.read_ingested(s, table).select("log_id", "config_hash", "status", F.col("metrics")["fitness"].alias("fitness"), "batch_id")
+
+
+register("X1_result_stream", streamed, "SELECT log_id, config_hash, status, fitness, CASE WHEN algorithm = 'alg2' THEN 1 ELSE 0 END AS batch_id FROM runs", "fitness")
+
+
+def timed(s, d):
+    log = event_log(s, d)
+    ids = [r[0] for r in log.select("log_id").distinct().orderBy("log_id").collect()]
+    out = time_extraction(log, six_axes, ids)
+    # seconds differ from run to run: the query shows that they were measured
+    return out.select("log_id", "n_events", "n_cases", "n_features", ((F.col("seconds") > 0) & (F.col("events_per_second") > 0)).alias("measured"))
 
 
-register("X1_result_stream", streamed, "SELECT log_id, count(DISTINCT concat(algorithm, coalesce(CAST(p1 AS VARCHAR), '_'))) AS n FROM runs GROUP BY 1")
+register("V24_time_extraction", timed, "SELECT log_id, count(*) AS n_events, count(DISTINCT case_id) AS n_cases, 6 AS n_features, true AS measured FROM event_log GROUP BY 1")
