@@ -35,10 +35,11 @@ def test_lifecycle_pairs_equal_a_queue(spark):
 
 
 def test_subsample_quotas_add_up(spark):
-    log = make_log(spark, {f"c{i}": t for i, t in enumerate(["ab"] * 8 + ["abc"] * 4 + ["ac"] * 4)})
-    q = augment.subsample_quotas(traces.distinct_variants(traces.traces(log)), 0.5).collect()
-    assert sorted(r["quota"] for r in q) == [2, 2, 4]
-    assert augment.subsample_variants(log, 0.5, 3).select("case_id").distinct().count() == 8
+    # 15 cases at two fifths are 6: 3.6, 1.6, 0.8 cases, whole parts 3, 1, 0; the third gets one more, and of the equal others the more frequent
+    log = make_log(spark, {f"c{i}": t for i, t in enumerate(["xyz"] * 9 + ["yx"] * 4 + ["z"] * 2)})
+    q = augment.subsample_quotas(traces.distinct_variants(traces.traces(log)), 0.4).collect()
+    assert {r["n"]: r["quota"] for r in q} == {9: 4, 4: 1, 2: 1}
+    assert augment.subsample_variants(log, 0.4, 3).select("case_id").distinct().count() == 6
 
 
 def test_noise_empties_no_case(spark):
@@ -50,8 +51,9 @@ def test_noise_empties_no_case(spark):
 
 
 def test_variant_coverage(spark):
-    log = make_log(spark, {f"c{i}": t for i, t in enumerate(["ab"] * 8 + ["abc"] * 4 + ["ac"] * 4)})
-    assert augment.filter_variant_coverage(log, 0.7).select("case_id").distinct().count() == 12
+    log = make_log(spark, {f"c{i}": t for i, t in enumerate(["xyz"] * 5 + ["yx"] * 3 + ["z"] * 2)})
+    for share, cases in ((0.0, 0), (0.5, 5), (0.51, 8), (0.8, 8), (0.81, 10), (1.0, 10)):
+        assert augment.filter_variant_coverage(log, share).select("case_id").distinct().count() == cases, share
 
 
 def test_lhs_has_one_point_per_stratum(spark):

@@ -10,7 +10,7 @@ def entropy(n: str) -> Column:
     """Base-2 entropy of the positive counts in column ``n``; null if there is none."""
     c = F.when(F.col(n) > 0, F.col(n).cast("double"))
     total = F.sum(c)
-    return F.greatest(F.log2(total) - F.sum(c * F.log2(c)) / total, F.lit(0.0))
+    return F.when(total.isNotNull(), F.greatest(F.log2(total) - F.sum(c * F.log2(c)) / total, F.lit(0.0)))
 
 
 def composite(weights: dict[str, float], measures: dict[str, str] | None = None) -> Column:

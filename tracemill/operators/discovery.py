@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tracemill.operators.traces import prefixes
+
 ARC = ["log_id", "source", "target"]
 
 
@@ -87,9 +89,7 @@ def dfg_fitness(kinds: DataFrame, dfg: DataFrame, kept: DataFrame) -> DataFrame:
 
 def prefix_states(kinds: DataFrame) -> DataFrame:
     """(log_id, state, at, n, seen): prefixes of traces by hash, their last activity, how often reached, and what followed."""
-    t = F.col("trace")
-    steps = F.transform(F.sequence(F.lit(1), F.size(t)), lambda k: F.struct(F.sha2(F.array_join(F.slice(t, 1, k), "\x1f"), 256).alias("state"), F.get(t, k - 1).alias("at"), F.get(t, k).alias("next")))
-    x = kinds.where(F.size(t) > 0).select("log_id", "n", F.explode(steps).alias("s")).select("log_id", "n", "s.*")
+    x = prefixes(kinds)
     return x.groupBy("log_id", "state", "at").agg(F.sum("n").alias("n"), F.collect_set("next").alias("seen"))
 
 

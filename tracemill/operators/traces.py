@@ -61,23 +61,37 @@ def distinct_variants(ordered: DataFrame) -> DataFrame:
     return ordered.groupBy("log_id", "variant_hash").agg(F.count("*").alias("n"), F.first("trace").alias("trace"))
 
 
+def frequency_steps(kinds: DataFrame) -> DataFrame:
+    """log_id, n, m and before: how many variants of a log have n cases, and how many have more.
+
+    Variants of equal count are one row, so the window goes over the distinct
+    counts of a log, of which there are fewer than the root of twice its cases.
+    """
+    steps = kinds.groupBy("log_id", "n").agg(F.count("*").alias("m"))
+    by = Window.partitionBy("log_id").orderBy(F.desc("n"))
+    return steps.withColumn("before", F.sum("m").over(by) - F.col("m"))
+
+
 def variant_counts(kinds: DataFrame) -> DataFrame:
     """Shares of the most frequent variants per log; the cutoff of a percentage is truncated."""
-    by = Window.partitionBy("log_id")
-    ranked = kinds.select("log_id", "n", F.row_number().over(by.orderBy(F.desc("n"), "variant_hash")).alias("r"), F.count("*").over(by).alias("v"))
-    n = F.sum("n")
-    share = lambda upto: F.sum(F.when(F.col("r") <= upto, F.col("n")).otherwise(0)) / n
+    steps = frequency_steps(kinds).withColumn("v", F.sum("m").over(Window.partitionBy("log_id")))
+    n, m = F.col("n"), F.col("m")
+    all_n, all_m = F.sum(n * m), F.sum(m)
+    taken = lambda upto: F.least(m, F.greatest(upto - F.col("before"), F.lit(0)))
+    share = lambda upto: F.sum(n * taken(upto)) / all_n
     tops = [share(F.floor(F.col("v") * F.lit(p) / 100)).alias(f"ratio_top_{p}_variants") for p in (1, 5, 10, 20, 50, 75)]
-    return ranked.groupBy("log_id").agg(
-        n.alias("n_traces"),
-        F.count("*").alias("n_unique_traces"),
-        (F.count("*") / n).alias("ratio_unique_traces_per_trace"),
-        (F.max("n") / n).alias("ratio_most_common_variant"),
+    big = lambda c: F.sum(c.cast("decimal(38,0)"))
+    spread = (big(m) * big(m * n * n) - big(m * n) * big(m * n)).cast("double") / (big(m) * big(m)).cast("double")
+    return steps.groupBy("log_id").agg(
+        all_n.alias("n_traces"),
+        all_m.alias("n_unique_traces"),
+        (all_m / all_n).alias("ratio_unique_traces_per_trace"),
+        (F.max("n") / all_n).alias("ratio_most_common_variant"),
         *tops,
         share(F.lit(3)).alias("ratio_top_3_variants_custom"),
-        F.avg("n").alias("mean_variant_occurrence"),
-        F.stddev_pop("n").alias("std_variant_occurrence"),
-        entropy("n").alias("trace_entropy"),
+        (all_n / all_m).alias("mean_variant_occurrence"),
+        F.sqrt(spread).alias("std_variant_occurrence"),
+        F.greatest(F.log2(all_n) - F.sum(m * n * F.log2(n)) / all_n, F.lit(0.0)).alias("trace_entropy"),
     )
 
 
@@ -122,37 +136,61 @@ def end_point_stats(cases: DataFrame, column: str, prefix: str) -> DataFrame:
     return out.join(total, "log_id").withColumn(f"most_common_{prefix}_share_custom", F.col(f"{prefix}_activities_max") / F.col("n_traces")).drop("n_traces")
 
 
+def repetition_sums() -> tuple[Column, Column]:
+    """Aggregates of a log's variants (trace, n): see ``repetition``."""
+    t = F.col("trace")
+    runs = F.size(F.filter(t, lambda x, i: (i == 0) | (x != F.get(t, i - 1))))
+    kinds_n = F.size(F.array_distinct(t))
+    n = F.sum("n")
+    return (F.sum(F.col("n") * (F.size(t) - kinds_n)) / n).alias("avg_event_repetition_intra_trace"), (F.sum(F.when(runs > kinds_n, F.col("n")).otherwise(0)) / n).alias("relative_number_of_traces_with_repetition")
+
+
 def repetition(kinds: DataFrame) -> DataFrame:
     """Repeats per trace and the share of traces where an activity recurs after another one.
 
     Such a trace has more runs of equal activities than distinct activities.
     """
+    return kinds.groupBy("log_id").agg(*repetition_sums())
+
+
+def length_two_loops_sum() -> Column:
+    """Aggregate of a log's variants (trace, n): see ``length_two_loops``."""
     t = F.col("trace")
-    runs = F.size(F.filter(t, lambda x, i: (i == 0) | (x != F.get(t, i - 1))))
-    kinds_n = F.size(F.array_distinct(t))
-    n = F.sum("n")
-    return kinds.groupBy("log_id").agg(
-        (F.sum(F.col("n") * (F.size(t) - kinds_n)) / n).alias("avg_event_repetition_intra_trace"),
-        (F.sum(F.when(runs > kinds_n, F.col("n")).otherwise(0)) / n).alias("relative_number_of_traces_with_repetition"),
-    )
+    found = F.size(F.filter(t, lambda x, i: (x == F.get(t, i + 2)) & (x != F.get(t, i + 1))))
+    return F.sum(F.col("n") * found).alias("length_two_loops_custom")
 
 
 def length_two_loops(kinds: DataFrame) -> DataFrame:
     """Number of steps a, b, a with a <> b over all traces of a log."""
-    t = F.col("trace")
-    found = F.size(F.filter(t, lambda x, i: (x == F.get(t, i + 2)) & (x != F.get(t, i + 1))))
-    return kinds.groupBy("log_id").agg(F.sum(F.col("n") * found).alias("length_two_loops_custom"))
+    return kinds.groupBy("log_id").agg(length_two_loops_sum())
+
+
+def prefixes(kinds: DataFrame) -> DataFrame:
+    """log_id, n, k, state, at, next: every prefix of every variant, its last activity and the one that follows.
+
+    A prefix is known by 128 bits that are folded step by step: each step adds
+    the hash of its place and activity to those before (by exclusive or), so
+    that a trace gives a key of fixed size a step, however long it is. The
+    variants lie by (log_id, variant_hash) already; the window only sorts.
+    """
+    by = Window.partitionBy("log_id", "variant_hash").orderBy("k")
+    steps = kinds.select("log_id", "variant_hash", "n", F.posexplode("trace").alias("k", "at"))
+    fold = lambda seed: F.bit_xor(F.xxhash64(F.lit(seed), "k", "at")).over(by.rowsBetween(Window.unboundedPreceding, 0))
+    return steps.select("log_id", "n", (F.col("k") + 1).alias("k"), F.struct(fold(1).alias("a"), fold(2).alias("b"), "k").alias("state"), "at", F.lead("at").over(by).alias("next"))
+
+
+def prefix_entropies(kinds: DataFrame, ks: tuple[int, ...] = (2, 3)) -> DataFrame:
+    """Entropy of all prefixes of the distinct traces, and of the first k steps over all traces that are so long."""
+    counts = prefixes(kinds).groupBy("log_id", "k", "state").agg(F.count("*").alias("kinds"), F.sum("n").alias("n"))
+    counts = counts.select("log_id", "kinds", *(F.when(F.col("k") == k, F.col("n")).alias(f"n{k}") for k in ks))
+    return counts.groupBy("log_id").agg(entropy("kinds").alias("prefix_entropy"), *(entropy(f"n{k}").alias(f"prefix_entropy_{k}_custom") for k in ks))
 
 
 def prefix_entropy(kinds: DataFrame) -> DataFrame:
-    """Entropy of all prefixes of the distinct traces; only hashes of the prefixes are shuffled."""
-    t = F.col("trace")
-    steps = F.transform(F.sequence(F.lit(1), F.size(t)), lambda k: F.sha2(F.array_join(F.slice(t, 1, k), "\x1f"), 256))
-    prefixes = kinds.where(F.size(t) > 0).select("log_id", F.explode(steps).alias("p"))
-    return prefixes.groupBy("log_id", "p").agg(F.count("*").alias("n")).groupBy("log_id").agg(entropy("n").alias("prefix_entropy"))
+    """Entropy of all prefixes of the distinct traces."""
+    return prefix_entropies(kinds, ())
 
 
 def prefix_entropy_k(kinds: DataFrame, k: int) -> DataFrame:
     """Entropy of the first ``k`` steps over all traces that are so long."""
-    long = kinds.where(F.size("trace") >= k).groupBy("log_id", F.array_join(F.slice("trace", 1, k), "\x1f").alias("p")).agg(F.sum("n").alias("n"))
-    return long.groupBy("log_id").agg(entropy("n").alias(f"prefix_entropy_{k}_custom"))
+    return prefix_entropies(kinds, (k,)).drop("prefix_entropy").where(F.col(f"prefix_entropy_{k}_custom").isNotNull())
