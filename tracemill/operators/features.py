@@ -213,3 +213,13 @@ def feature_cache(log: DataFrame, cached: DataFrame) -> DataFrame:
     """``cached`` feature rows, and fresh ones for the logs that it lacks."""
     missing = log.join(cached.select("log_id").distinct(), "log_id", "left_anti")
     return cached.unionByName(log_features(missing))
+
+
+def distribution_table(log: DataFrame) -> DataFrame:
+    """log_id and the distribution features of case lengths, variant counts and activity counts, one column each (null where undefined)."""
+    cases = _cases(log)
+    counts = {"length": cases.select("log_id", F.col("n_events").alias("x")), "variant": T.distinct_variants(cases).select("log_id", F.col("n").alias("x")), "activity": log.where("activity is not null").groupBy("log_id", "activity").agg(F.count("*").alias("x")).select("log_id", "x")}
+    values = reduce(lambda a, b: a.union(b), (c.select("log_id", F.lit(name).alias("of"), F.col("x").cast("long").alias("x")) for name, c in counts.items()))
+    long = distribution_features(values, ["log_id", "of"], "x")
+    columns = [c for c in long.columns if c not in ("log_id", "of")]
+    return long.groupBy("log_id").agg(*(F.max(F.when(F.col("of") == name, F.col(c))).cast("double").alias(f"{name}_{c}") for name in counts for c in columns))

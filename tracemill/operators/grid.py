@@ -85,25 +85,24 @@ def all_measures() -> Column:
     return out
 
 
-def first_per_config(runs: DataFrame, order: str = "source") -> DataFrame:
-    """The first row per (log, configuration); rows without a hash are all kept."""
-    r = F.row_number().over(Window.partitionBy("log_id", "config_hash").orderBy(order))
-    known = runs.where("config_hash is not null").withColumn("_r", r).where("_r = 1").drop("_r")
-    return known.unionByName(runs.where("config_hash is null"))
-
-
-def aggregate_runs(runs: DataFrame, order: str = "source") -> DataFrame:
+def aggregate_runs(runs: DataFrame, order: str = "source", features: DataFrame | None = None) -> DataFrame:
     """Training rows: measured successes, once per (log, configuration), and all-zero rows for failures.
 
     A failure counts only on logs with at least one complete run, and only if
-    its configuration has no measured row there.
+    its configuration has no measured row there. Rows without a config_hash are
+    all kept. With ``features`` (log_id and columns) every row gets its log's,
+    nulls if it has none. One window picks the row of a configuration, measured
+    ones first, and one over the log's picked rows sees whether it has a
+    complete run: the runs are read once.
     """
-    good = first_per_config(runs.where((F.col("status") == "success") & any_measure()), order)
-    done = good.where(all_measures()).select("log_id").distinct()
-    bad = first_per_config(runs.where(~((F.col("status") == "success") & any_measure())), order)
-    bad = bad.join(done, "log_id", "left_semi").join(good.select("log_id", "config_hash").where("config_hash is not null"), ["log_id", "config_hash"], "left_anti")
-    zeros = bad.withColumns({m: F.lit(0.0) for m in MEASURES}).withColumn("failed", F.lit(True))
-    return good.withColumn("failed", F.lit(False)).unionByName(zeros)
+    good = (F.col("status") == "success") & any_measure()
+    place = F.row_number().over(Window.partitionBy("log_id", "config_hash").orderBy(F.desc("_good"), order))
+    picked = runs.withColumn("_good", F.coalesce(good, F.lit(False))).withColumn("_r", F.when(F.col("config_hash").isNull(), 1).otherwise(place)).where("_r = 1")
+    done = F.max(F.col("_good") & all_measures()).over(Window.partitionBy("log_id"))
+    kept = picked.withColumn("_done", done).where("_good or _done")
+    zero = {m: F.when(F.col("_good"), F.col(m)).otherwise(F.lit(0.0)) for m in MEASURES}
+    out = kept.withColumns(zero).withColumn("failed", ~F.col("_good")).drop("_good", "_r", "_done")
+    return out if features is None else out.join(features, "log_id", "left")
 
 
 def skip_reasons(runs: DataFrame) -> DataFrame:

@@ -2,16 +2,16 @@
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.feature import StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracemill.operators.clean import regime
-from tracemill.operators.evaluate import MEASURES, complete, grouped_kfold, model_picks, regret_and_rank, weighted
+from tracemill.operators.evaluate import MEASURES, model_picks, weighted
 
 
 def imputation(train: DataFrame, columns: list[str]) -> dict[str, float]:
@@ -29,11 +29,11 @@ def _assemble(columns: list[str], label: str | None = "algorithm") -> list:
     return [*stages, VectorAssembler(inputCols=[*columns, *(["_code"] if label else [])], outputCol="_x")]
 
 
-def train_surrogate(train: DataFrame, columns: list[str], trees: int = 200, depth: int = 12, boosted: bool = False) -> dict[str, PipelineModel]:
+def train_surrogate(train: DataFrame, columns: list[str], trees: int = 200, depth: int = 12, boosted: bool = False, measures: tuple[str, ...] = MEASURES, seed: int = 42) -> dict[str, PipelineModel]:
     """One forest (or boosted trees) per measure, on the rows that have it."""
     out = {}
-    for m in MEASURES:
-        kind = GBTRegressor(maxIter=trees, maxDepth=min(depth, 5), seed=42, labelCol=m, featuresCol="_x", predictionCol=f"pred_{m}") if boosted else RandomForestRegressor(numTrees=trees, maxDepth=depth, maxBins=64, seed=42, labelCol=m, featuresCol="_x", predictionCol=f"pred_{m}")
+    for m in measures:
+        kind = GBTRegressor(maxIter=trees, maxDepth=min(depth, 5), seed=seed, labelCol=m, featuresCol="_x", predictionCol=f"pred_{m}") if boosted else RandomForestRegressor(numTrees=trees, maxDepth=depth, maxBins=64, seed=seed, labelCol=m, featuresCol="_x", predictionCol=f"pred_{m}")
         out[m] = Pipeline(stages=[*_assemble(columns), kind]).fit(train.where(F.col(m).isNotNull()))
     return out
 
@@ -46,41 +46,10 @@ def predict_measures(models: dict[str, PipelineModel], rows: DataFrame) -> DataF
     return rows
 
 
-def tree_spread(model: PipelineModel, rows: DataFrame, name: str = "std") -> DataFrame:
-    """The standard deviation of a forest's trees on every row."""
-    forest = model.stages[-1]
-    out = rows
-    for stage in model.stages[:-1]:
-        out = stage.transform(out)
-    preds = []
-    for i, tree in enumerate(forest.trees):
-        tree.setPredictionCol(f"_t{i}")
-        out = tree.transform(out)
-        preds.append(f"_t{i}")
-    mean = sum((F.col(p) for p in preds), F.lit(0.0)) / len(preds)
-    square = sum((F.col(p) * F.col(p) for p in preds), F.lit(0.0)) / len(preds)
-    return out.withColumn(name, F.sqrt(F.greatest(square - mean * mean, F.lit(0.0)))).drop(*preds, "_x", "_code")
-
-
-def rank_candidates(models: dict[str, PipelineModel], configs: DataFrame, features: DataFrame, weights: dict[str, float], k: int = 10) -> DataFrame:
-    """The ``k`` known configurations of the highest predicted composite for every log of ``features``, with a confidence by tree spread.
-
-    The report keeps k rows per log because that is what is asked of it.
-    """
-    cand = features.crossJoin(F.broadcast(configs.dropDuplicates(["config_hash"])))
-    pred = predict_measures(models, cand)
-    total = sum(weights.values()) or 1.0
-    pred = pred.withColumn("composite", sum((F.col(f"pred_{m}") * w for m, w in weights.items()), F.lit(0.0)) / total)
-    pred = tree_spread(models[MEASURES[0]], pred)
-    level = F.when(F.col("std") < 0.05, "high").when(F.col("std") < 0.15, "medium").otherwise("low")
-    r = F.row_number().over(Window.partitionBy("log_id").orderBy(F.desc("composite"), "config_hash"))
-    return pred.withColumn("rank", r).where(F.col("rank") <= k).select("log_id", "rank", "algorithm", "config_hash", "composite", "std", level.alias("confidence"))
-
-
-def variant_classifier(train: DataFrame, columns: list[str], label: str = "label", trees: int = 50) -> PipelineModel:
+def variant_classifier(train: DataFrame, columns: list[str], label: str = "label", trees: int = 50, seed: int = 42) -> PipelineModel:
     """A forest over one best label per log."""
     idx = StringIndexer(inputCol=label, outputCol="_y", stringOrderType="alphabetAsc")
-    return Pipeline(stages=[idx, *_assemble(columns, None), RandomForestClassifier(numTrees=trees, seed=42, labelCol="_y", featuresCol="_x")]).fit(train)
+    return Pipeline(stages=[idx, *_assemble(columns, None), RandomForestClassifier(numTrees=trees, seed=seed, labelCol="_y", featuresCol="_x")]).fit(train)
 
 
 def predict_allowed(model: PipelineModel, rows: DataFrame, allowed: list[str], label: str = "label") -> DataFrame:
@@ -113,62 +82,32 @@ def load_models(path: str) -> dict[str, PipelineModel]:
 def leave_one_out_predictions(rows: DataFrame, columns: list[str], folds: DataFrame, trees: int = 20) -> DataFrame:
     """Predictions for the rows of every fold from models of the others; only the fits loop on the driver."""
     out = None
-    tagged = rows.join(F.broadcast(folds.select("log_id", "fold")), "log_id").cache()
-    for (fold,) in sorted(tagged.select("fold").distinct().collect()):
-        train = tagged.where(F.col("fold") != fold)
-        medians = imputation(train, columns)
-        models = train_surrogate(impute(train, medians), columns, trees=trees, depth=8)
-        part = predict_measures(models, impute(tagged.where(F.col("fold") == fold), medians))
-        out = part if out is None else out.unionByName(part)
+    tagged = rows.join(folds.select("log_id", "fold"), "log_id").persist(StorageLevel.DISK_ONLY)
+    try:
+        for (fold,) in sorted(tagged.select("fold").distinct().collect()):
+            train = tagged.where(F.col("fold") != fold)
+            medians = imputation(train, columns)
+            models = train_surrogate(impute(train, medians), columns, trees=trees, depth=8)
+            part = predict_measures(models, impute(rows.join(folds.where(F.col("fold") == fold).select("log_id", "fold"), "log_id"), medians))
+            out = part if out is None else out.unionByName(part)
+    finally:
+        tagged.unpersist()
     return out
 
 
-def fair_fight(predicted: DataFrame, systems: dict[str, str]) -> DataFrame:
-    """Picks of several systems (name -> prefix of its predictions) on shared candidates."""
-    real = weighted(predicted)
+def fair_fight(predicted: DataFrame, systems: dict[str, str], least: int = 2) -> DataFrame:
+    """Picks of several systems (name -> prefix of its predictions) on shared candidates.
+
+    A candidate counts if every system predicts all of its measures, and a log
+    if it has ``least`` such candidates: with one there is nothing to choose.
+    """
+    shared = predicted.dropna(subset=[f"{prefix}{m}" for prefix in systems.values() for m in MEASURES])
+    enough = shared.groupBy("log_id").agg(F.count("*").alias("n")).where(F.col("n") >= least)
+    shared = shared.join(enough.select("log_id"), "log_id", "left_semi")
+    real = weighted(shared)
     out = None
     for name, prefix in systems.items():
-        guess = weighted(predicted, prefix, "predicted").select("log_id", "weighting", "config_hash", F.round("predicted", 9).alias("predicted"))
+        guess = weighted(shared, prefix, "predicted").select("log_id", "weighting", "config_hash", F.round("predicted", 9).alias("predicted"))
         part = model_picks(real.join(guess, ["log_id", "weighting", "config_hash"]), method=name)
         out = part if out is None else out.unionByName(part)
     return out
-
-
-#: name -> (training regime, allowed algorithms or None): the setups of the ablation that differ in data and actions.
-SETUPS = {
-    "forest_real": ("real", None), "forest_real_synthetic": ("real_synthetic", None), "forest_full": ("full", None),
-    "forest_real_two": ("real", ("alg0", "alg1")), "forest_full_two": ("full", ("alg0", "alg1")),
-}
-
-
-def ablation(runs: DataFrame, columns: list[str], setups: dict[str, tuple] = SETUPS, k: int = 5, trees: int = 20) -> DataFrame:
-    """(setup, mean and median accuracy and regret, cells) of forests trained per regime and held to an action space, families held out.
-
-    The driver loops over setups and folds, which are a design; rows stay in Spark.
-    """
-    full = complete(runs)
-    folds = grouped_kfold(full, k)
-    tagged = full.join(F.broadcast(folds.select("log_id", "fold")), "log_id").cache()
-    names = [r["fold"] for r in tagged.select("fold").distinct().collect()]
-    out = None
-    for setup, (data, allowed) in setups.items():
-        parts = None
-        for fold in sorted(names):
-            train = regime(tagged.where(F.col("fold") != fold), data)
-            if not train.limit(1).count():
-                continue
-            medians = imputation(train, columns)
-            models = train_surrogate(impute(train, medians), columns, trees=trees, depth=6)
-            part = predict_measures(models, impute(tagged.where(F.col("fold") == fold), medians))
-            parts = part if parts is None else parts.unionByName(part)
-        if parts is None:
-            continue
-        real = weighted(parts)
-        guess = weighted(parts, "pred_", "predicted").select("log_id", "weighting", "config_hash", F.round("predicted", 9).alias("predicted"))
-        scored = real.join(guess, ["log_id", "weighting", "config_hash"])
-        action = scored.where(F.col("algorithm").isin(*allowed)) if allowed else scored
-        graded = regret_and_rank(scored, action, model_picks(action))
-        row = graded.agg(F.avg("accuracy_action").alias("mean_accuracy"), F.percentile("accuracy_action", 0.5).alias("median_accuracy"), F.avg("regret_full").alias("mean_regret"), F.count("*").alias("n_cells"))
-        row = row.select(F.lit(setup).alias("setup"), "*")
-        out = row if out is None else out.unionByName(row)
-    return out

@@ -24,7 +24,7 @@ def register(name: str, plan: Plan, sql: str | None = None, doubles: str = "") -
     """``sql`` follows WITH and the views that it names; ``doubles`` lists its double columns."""
     QUERIES[name] = lambda spark, sf_dir: rounded(plan(spark, sf_dir))
     if sql is not None:
-        head = [v for n, v in (("event_log", views.EVENT_LOG), ("lifecycle_log", views.LIFECYCLE_LOG), ("runs", views.RUNS)) if n in sql]
+        head = [v for n, v in (("event_log", views.EVENT_LOG), ("lifecycle_log", views.LIFECYCLE_LOG), ("run_events", views.RUN_EVENTS), ("runs", views.RUNS)) if n in sql]
         body = sql.strip()
         recursive = body.upper().startswith("WITH RECURSIVE ")
         if recursive:

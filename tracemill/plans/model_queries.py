@@ -2,81 +2,133 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import functions as F
 
+from tracemill.operators import ablation as A
 from tracemill.operators import evaluate as V
+from tracemill.operators import grid as E
 from tracemill.operators import models as L
-from tracemill.operators.features import six_axes
+from tracemill.operators import surrogates as U
+from tracemill.operators.features import FEATURE_NAMES, distribution_table, log_features, six_axes
 from tracemill.operators.timing import time_extraction
 from tracemill.plans.base import register
 from tracemill.plans.evaluation_queries import BASE, defaults, scores
-from tracemill.plans.grid_queries import nested
+from tracemill.plans.grid_queries import ALL, ANY, nested
 from tracemill.sources import logs as S
 from tracemill.sources import xes_document as X
 from tracemill.sources.scratch import scratch
-from tracemill.sources.views import event_log, lifecycle_log, runs
+from tracemill.sources.views import event_log, lifecycle_log, run_events, runs
 from tracemill.streaming import ingest as I
 
 COLUMNS = ["p1", "p2", "runtime_seconds"]
-TREES = 10  # the default of the operator is 200; a query that only shows it takes fewer
+#: What is known of a run before it: its log's features and its parameters.
+LEARN = [*FEATURE_NAMES, "p1", "p2"]
+TREES = 10  # the default of the operators is 200; a query that only shows them takes fewer
 GROUPS = {"p1": "hyper_parameter", "p2": "hyper_parameter", "algorithm": "algorithm"}
+PREDICTED = [f"pred_{m}" for m in V.MEASURES]
+
+
+def written(df):
+    """``df`` as a table in the shared folder, for what is read by many fits."""
+    path = scratch(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
 
 
 def training(s, d):
-    r = V.complete(runs(s, d)).drop(*(f"pred_{m}" for m in V.MEASURES))
+    r = V.complete(runs(s, d)).drop(*PREDICTED)
     return L.impute(r, L.imputation(r, COLUMNS))
 
 
+def sourced(s, d):
+    return runs(s, d).drop(*PREDICTED).withColumn("source", F.col("config_hash"))
+
+
+register("E7_training_rows", lambda s, d: E.aggregate_runs(sourced(s, d), features=log_features(run_events(s, d))).select("log_id", "config_hash", "failed", *V.MEASURES, "rs4pd_total_traces", "rs4pd_total_events", "rs4pd_distinct_events"), f"""WITH ft AS (SELECT log_id, CAST(count(DISTINCT case_id) AS DOUBLE) AS rs4pd_total_traces, CAST(count(*) AS DOUBLE) AS rs4pd_total_events, CAST(count(DISTINCT activity) AS DOUBLE) AS rs4pd_distinct_events FROM run_events GROUP BY 1),
+ok AS (SELECT *, status = 'success' AND {ANY} AS good FROM runs), dn AS (SELECT DISTINCT log_id FROM ok WHERE good AND {ALL})
+SELECT log_id, config_hash, NOT good AS failed, {", ".join(f"CASE WHEN good THEN {m} ELSE 0 END AS {m}" for m in V.MEASURES)}, rs4pd_total_traces, rs4pd_total_events, rs4pd_distinct_events FROM ok LEFT JOIN ft USING (log_id) WHERE good OR log_id IN (SELECT log_id FROM dn)""", " ".join((*V.MEASURES, "rs4pd_total_traces", "rs4pd_total_events", "rs4pd_distinct_events")))
+
+
+def learned(s, d):
+    """Training rows with their logs' features, and the medians that filled them."""
+    rows = written(E.aggregate_runs(sourced(s, d), features=log_features(run_events(s, d))))
+    medians = L.imputation(rows, LEARN)
+    return L.impute(rows, medians), medians
+
+
 def fitted(s, d):
-    t = training(s, d)
-    return L.train_surrogate(t, COLUMNS, trees=TREES, depth=6), t
+    rows, medians = learned(s, d)
+    return L.train_surrogate(rows, LEARN, trees=TREES, depth=6), rows, medians
 
 
-register("M3_impute_median", lambda s, d: training(s, d).select("log_id", "config_hash", *COLUMNS), BASE + ",\nmd AS (SELECT quantile_cont(p1, 0.5) AS a, quantile_cont(p2, 0.5) AS b, quantile_cont(runtime_seconds, 0.5) AS c FROM cr)\nSELECT log_id, config_hash, coalesce(p1, a) AS p1, coalesce(p2, b) AS p2, coalesce(runtime_seconds, c) AS runtime_seconds FROM cr, md", " ".join(COLUMNS))
+register("M3_impute_median", lambda s, d: training(s, d).select("log_id", "config_hash", *COLUMNS), BASE + ",\nmd AS (SELECT quantile_cont(p1, 0.5) AS a, quantile_cont(p2, 0.5) AS b, quantile_cont(runtime_seconds, 0.5) AS c FROM cr)\nSELECT log_id, config_hash, coalesce(p1, a) AS p1, coalesce(p2, b) AS p2, coalesce(runtime_seconds, c) AS runtime_seconds FROM cr, md", "p1 p2 runtime_seconds")
 
 
 def predicted(s, d):
-    models, t = fitted(s, d)
-    return L.predict_measures(models, t)
+    models, rows, _ = fitted(s, d)
+    return U.blended(U.tree_predictions(models, rows), dict.fromkeys(V.MEASURES, 0.25))
 
 
-register("M4_M5_surrogate", lambda s, d: L.tree_spread(fitted(s, d)[0]["fitness"], predicted(s, d).drop("pred_fitness")).select("log_id", "config_hash", "std", "pred_precision", "pred_simplicity"))
+register("M4_M5_surrogate", lambda s, d: predicted(s, d).select("log_id", "config_hash", *PREDICTED, *(f"std_{m}" for m in V.MEASURES), "composite", "std", "confidence"))
 
 
 def recommended(s, d):
-    models, t = fitted(s, d)
-    configs = t.groupBy("config_hash", "algorithm").agg(F.first("p1").alias("p1"), F.first("p2").alias("p2"))
-    logs = t.groupBy("log_id").agg(F.round(F.avg("runtime_seconds"), 6).alias("runtime_seconds"))
-    return L.rank_candidates(models, configs, logs, {"fitness": 0.5, "precision": 0.5}, 5)
+    models, rows, medians = fitted(s, d)
+    configs = rows.groupBy("config_hash", "algorithm").agg(F.min("p1").alias("p1"), F.min("p2").alias("p2"))
+    logs = rows.groupBy("log_id").agg(*(F.min(c).alias(c) for c in FEATURE_NAMES))
+    return U.recommend(models, configs, logs, {"fitness": 0.5, "precision": 0.5}, 5, medians)
 
 
 register("M6_recommend", recommended)
-register("M7_boosted_surrogates", lambda s, d: L.predict_measures(L.train_surrogate(training(s, d), COLUMNS, trees=5, boosted=True), training(s, d)).select("log_id", "config_hash", *(f"pred_{m}" for m in V.MEASURES)))
+
+
+def grouped(s, d):
+    rows, _ = learned(s, d)
+    return U.train_by_group(rows, LEARN, trees=5).predict(rows).select("log_id", "config_hash", *PREDICTED, *(f"by_{m}" for m in V.MEASURES))
+
+
+register("M7_boosted_surrogates", grouped)
 
 
 def classified(s, d):
-    t = training(s, d)
-    x = t.groupBy("log_id").agg(*(F.avg(c).alias(c) for c in COLUMNS))
-    labels = V.unique_best_label(V.rank_target(t), "algorithm")
-    return L.predict_allowed(L.variant_classifier(x.join(labels, "log_id"), COLUMNS, trees=TREES), x, ["alg0", "alg1", "alg2"])
+    rows, medians = learned(s, d)
+    x = rows.groupBy("log_id").agg(*(F.min(c).alias(c) for c in FEATURE_NAMES))
+    labels = V.unique_best_label(V.rank_target(training(s, d)), "algorithm")
+    return L.predict_allowed(L.variant_classifier(x.join(labels, "log_id"), list(FEATURE_NAMES), trees=TREES), x, ["alg0", "alg1", "alg2"])
 
 
 register("M8_variant_classifier", classified)
-register("M11_feature_importance", lambda s, d: L.feature_importance(fitted(s, d)[0], COLUMNS, GROUPS, runs(s, d)))
+register("M11_feature_importance", lambda s, d: L.feature_importance(fitted(s, d)[0], LEARN, GROUPS, runs(s, d)))
 
 
 def saved(s, d):
-    models, t = fitted(s, d)
+    models, rows, _ = fitted(s, d)
     path = scratch(s)
     L.save_models(models, path)
-    return L.predict_measures(L.load_models(path), t).select("log_id", "config_hash", "pred_fitness")
+    return L.predict_measures(L.load_models(path), rows).select("log_id", "config_hash", "pred_fitness")
 
 
 register("M12_save_load", saved)
 
 
 def folded(s, d):
-    return L.leave_one_out_predictions(V.complete(runs(s, d)).drop(*(f"pred_{m}" for m in V.MEASURES)), COLUMNS, V.grouped_kfold(runs(s, d), 3), trees=5)
+    rows, _ = learned(s, d)
+    return L.leave_one_out_predictions(V.complete(rows.where("not failed")), LEARN, V.grouped_kfold(rows, 3), trees=5)
+
+
+def matrix(s, d):
+    """All eleven setups; the outside table has the synthetic logs under other names."""
+    log = run_events(s, d)
+    feats = {"log": written(log_features(log)), "distribution": written(distribution_table(log))}
+    every = written(sourced(s, d).join(feats["log"].select("log_id"), "log_id", "left_semi"))
+    inputs = A.Inputs(every, ["p1", "p2"], defaults(s), feats, None, ("alg0", "alg1", "alg2"))
+    labelled = A.labels(inputs, every.where("log_id like 'syn%'"), "base_default").join(feats["distribution"], "log_id")
+    outside = written(labelled.withColumn("log_id", F.concat(F.lit("other_"), "log_id")))
+    few = {n: replace(x, trees=3) for n, x in A.SETUPS.items()}
+    out = A.ablation_matrix(replace(inputs, outside=outside), few, folds=2)
+    return out.select("setup", "kind", "features", "data", "actions", "n_cells", "mean_accuracy_full", "median_accuracy_full", "mean_accuracy_action", "mean_regret_full", "mean_train_rows")
 
 
 def given(s, d):
@@ -91,7 +143,7 @@ mn AS (SELECT 'model' AS method, sc.* FROM sc UNION ALL SELECT 'grid_menu', sc.*
 pk AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY method, log_id, weighting ORDER BY round(predicted, 9) DESC, config_hash) AS r FROM mn) WHERE r = 1)
 SELECT method, avg(CASE WHEN best = worst THEN 1 ELSE (score - worst) / (best - worst) END) AS accuracy, avg(score) AS realised, count(*) AS n_cells FROM pk JOIN ce USING (log_id, weighting) GROUP BY 1""", "accuracy realised")
 register("V5_folded_regression_error", lambda s, d: V.regression_error(folded(s, d)))
-register("V23_ablation_matrix", lambda s, d: L.ablation(runs(s, d).drop(*(f"pred_{m}" for m in V.MEASURES)), COLUMNS, {k: L.SETUPS[k] for k in ("forest_real", "forest_full_two")}, k=2, trees=3))
+register("V23_ablation_matrix", matrix)
 
 
 def xes_back(s, d):

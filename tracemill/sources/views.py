@@ -7,7 +7,7 @@ derives the same rows.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -28,6 +28,26 @@ event_log AS (SELECT CASE WHEN k < 3 THEN concat('log', CAST(k AS VARCHAR)) WHEN
   CAST(ROW_NUMBER() OVER (PARTITION BY user_id, CAST(ts AS DATE) ORDER BY ts, event_id) AS INT) AS event_index FROM b)"""
 
 
+def run_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The event logs of the logs that ``runs`` names: a user's day is a case of one of 24 logs."""
+    e = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", "ts", "event_type", "user_id")
+    k = (F.col("user_id") % 24).cast("int")
+    day = F.col("ts").cast("date")
+    order = Window.partitionBy("user_id", day).orderBy("ts", "event_id")
+    case = F.concat(F.col("user_id").cast("string"), F.lit("_"), day.cast("string"))
+    return e.select(run_log(k).alias("log_id"), case.alias("case_id"), F.col("event_type").alias("activity"), F.col("ts").cast("timestamp").alias("ts"), F.row_number().over(order).alias("event_index"))
+
+
+def run_log(k: Column) -> Column:
+    """The id of the k-th of the 24 logs of ``runs``: real, augmented, synthetic."""
+    return F.when(k < 8, F.concat(F.lit("log"), k.cast("string"))).when(k < 16, F.concat(F.lit("aug_log"), (k - 8).cast("string"), F.lit("__noise005__s1"))).otherwise(F.concat(F.lit("syn_gedi_t"), k.cast("string")))
+
+
+RUN_EVENTS = """e0 AS (SELECT event_id, ts, event_type, user_id, CAST(user_id % 24 AS INT) AS k FROM events),
+run_events AS (SELECT CASE WHEN k < 8 THEN concat('log', CAST(k AS VARCHAR)) WHEN k < 16 THEN concat('aug_log', CAST(k - 8 AS VARCHAR), '__noise005__s1') ELSE concat('syn_gedi_t', CAST(k AS VARCHAR)) END AS log_id,
+  concat(CAST(user_id AS VARCHAR), '_', CAST(CAST(ts AS DATE) AS VARCHAR)) AS case_id, event_type AS activity, ts FROM e0)"""
+
+
 def lifecycle_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events with a lifecycle: long cases (one per user) of starts and completes."""
     e = spark.read.parquet(f"{sf_dir}/events.parquet")
@@ -56,10 +76,9 @@ def runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     status = F.when(h % 13 == 0, "timeout").when(h % 29 == 0, "failed").otherwise("success")
     d = cells.withColumn("status", status)
     ok = F.col("status") == "success"
-    log = F.when(k < 8, F.concat(F.lit("log"), k.cast("string"))).when(k < 16, F.concat(F.lit("aug_log"), (k - 8).cast("string"), F.lit("__noise005__s1"))).otherwise(F.concat(F.lit("syn_gedi_t"), k.cast("string")))
     mille = lambda x: (x % 1000).cast("double") / 1000
     return d.select(
-        log.alias("log_id"),
+        run_log(k).alias("log_id"),
         F.concat(F.lit("alg"), (c % 4).cast("string")).alias("algorithm"),
         F.when(c % 4 != 0, c.cast("double") / 40).alias("p1"),
         F.when((c % 4 != 0) & (c % 4 != 1), (c % 5).cast("double")).alias("p2"),
