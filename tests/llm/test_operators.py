@@ -650,6 +650,17 @@ def test_html_slots_equal_whole_vectors(spark, monkeypatch, tokens):
     assert html_template.main_text(pages[5][2]) == "Shop 5 x See also 5"  # what names alone would say
 
 
+RECIPE = '<html><body><div class="top">Our kitchen</div><div class="box"><h1>Dish %d</h1><h2>Ingredients</h2><p>%s</p><h2>Method</h2><p>%s</p><p>%s</p></div><div class="low">All rights reserved</div></body></html>'
+
+
+def test_html_headings_of_a_series_stay(spark):
+    """Headings that every recipe has are part of the recipe; what stands around the slot is not."""
+    parts = [(i, f"{i} eggs and {i + 1} spoons of flour, sifted", f"Stir for {i + 3} minutes until it thickens", f"Bake at {150 + i} degrees and serve warm") for i in range(8)]
+    pages = [(i, f"http://cook.example/{i}", RECIPE % (i, a, b, c)) for i, a, b, c in parts]
+    out = html_template.extract(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()
+    assert {r["page_id"]: r["text"] for r in out} == {i: f"Dish {i} Ingredients {a} Method {b} {c}" for i, a, b, c in parts}
+
+
 def test_html_deep_and_broken_markup():
     import time
 

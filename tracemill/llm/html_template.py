@@ -82,8 +82,11 @@ class Element(NamedTuple):
     holds: bool
 
 
+HEADINGS = ("h1", "h2", "h3", "h4", "h5", "h6")
+
+
 class Block(NamedTuple):
-    """A text block: its element's token, its text, whether that is no main text, inside article or main, inside the main slot, and a first heading."""
+    """A text block: its element's token, its text, whether that is no main text, inside article or main, inside the main slot, a first heading, and any heading."""
 
     element: int
     text: str
@@ -91,6 +94,7 @@ class Block(NamedTuple):
     inside: bool
     slot: bool
     heading: bool
+    title: bool
 
 
 def child(parent: int, name: str) -> int:
@@ -144,7 +148,7 @@ class Page:
             self.parts.clear()
             if text:
                 tag, token, bare, off, inside, slot, _, _ = at = self.stack[-1]
-                self.blocks.append(Block(token, text, off, inside, slot, tag == "h1"))
+                self.blocks.append(Block(token, text, off, inside, slot, tag == "h1", tag in HEADINGS))
                 if not bare:
                     at[6] += len(text)
 
@@ -309,6 +313,8 @@ class Template:
 
 
 EMPTY = Template(False, {}, frozenset())
+#: A main slot that is the whole page tells nothing of what lies in it.
+WHOLE = {token_of("/html", None), token_of("/html/body", None)}
 
 
 def main_text(source: str | None, template: Template = EMPTY) -> str:
@@ -321,6 +327,8 @@ def main_text(source: str | None, template: Template = EMPTY) -> str:
     (below the slot, if there is one). Text blocks of the template fill no slot
     and are left out; inside article or main only those that have their
     element's class, as an element that also holds other text is a slot there.
+    So it is with headings inside a main slot below the body: those that all
+    recipes of a host share are part of each recipe.
     Where all blocks are text of the template, the page is a copy of other
     pages of its host, which tell no slots, and keeps them.
     """
@@ -332,10 +340,11 @@ def main_text(source: str | None, template: Template = EMPTY) -> str:
         found = [b for b in found if b.slot or b.heading and not main]
     else:
         found = [b for b in found if b.inside or not main]
-    told = [(b.element, text_token(b.element, b.text), b.text) for b in found]
-    if all(t in template.texts for _, t, _ in told):
-        return " ".join(text for _, _, text in told)
-    return " ".join(text for e, t, text in told if not (template.fixed(e, t) if main else t in template.texts))
+    inner = template.content is not None and template.content not in WHOLE
+    told = [(b.element, text_token(b.element, b.text), b.text, main or inner and b.slot and b.title) for b in found]
+    if all(t in template.texts for _, t, _, _ in told):
+        return " ".join(text for _, _, text, _ in told)
+    return " ".join(text for e, t, text, firm in told if not (template.fixed(e, t) if firm else t in template.texts))
 
 
 def extract(pages: DataFrame, min_pages: int = MIN_PAGES, min_percent: int = MIN_PERCENT, broadcast_tokens: int = BROADCAST_TOKENS) -> DataFrame:
