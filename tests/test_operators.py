@@ -1,3 +1,4 @@
+import collections
 import itertools
 import random
 
@@ -56,6 +57,36 @@ def test_variant_coverage(spark):
         assert augment.filter_variant_coverage(log, share).select("case_id").distinct().count() == cases, share
 
 
+@pytest.mark.parametrize("bucket", [1, 3, 100])
+def test_levels_of_variants_against_lists(spark, monkeypatch, bucket):
+    """Coverage and quotas by levels of equal counts choose what a walk over all variants chooses, also where the level ends inside a bucket."""
+    import hashlib
+
+    monkeypatch.setattr(augment, "BUCKET", bucket)
+    rng = random.Random(bucket)
+    words = ["".join(rng.choice("pqr") for _ in range(rng.randint(1, 5))) for _ in range(90)]
+    log = make_log(spark, {f"c{i}": w for i, w in enumerate(words)})
+    counts = collections.Counter(words)
+    text = lambda w: "\x1f".join(w)
+    for share in (0.0, 0.3, 0.62, 0.9, 1.0):
+        kept, seen = set(), 0
+        for w in sorted(counts, key=lambda w: (-counts[w], text(w))):
+            if seen < share * 90:
+                kept.add(w)
+            seen += counts[w]
+        found = {r[0] for r in augment.filter_variant_coverage(log, share).select("case_id").distinct().collect()}
+        assert found == {f"c{i}" for i, w in enumerate(words) if w in kept}, share
+    kinds = traces.distinct_variants(traces.traces(log))
+    for share in (0.1, 0.37, 0.5):
+        name = {w: hashlib.sha256(text(w).encode()).hexdigest() for w in counts}
+        quota = {w: int(counts[w] * share + 1e-12) for w in counts}
+        rest = max(round(90 * share), 1) - sum(quota.values())
+        for w in sorted(counts, key=lambda w: (-round(counts[w] * share - quota[w], 9), -counts[w], name[w]))[:rest]:
+            quota[w] += 1
+        found = {r["variant_hash"]: r["quota"] for r in augment.subsample_quotas(kinds, share).collect()}
+        assert found == {name[w]: quota[w] for w in counts}, share
+
+
 def test_lhs_has_one_point_per_stratum(spark):
     rows = grid.sample_lhs(spark, {"x": ("float", 0.0, 1.0, "linear"), "k": ("int", 1, 4, "linear"), "m": ("choice", ["a", "b"])}, 20, 1).collect()
     assert sorted(int(r["x"] * 20) for r in rows) == [*range(20)]

@@ -21,11 +21,44 @@ def _covering(counts: DataFrame, order: list, coverage: float) -> DataFrame:
     return counts.withColumn("before", run - F.col("n")).withColumn("total", F.sum("n").over(w)).where(F.col("before") < F.col("total") * coverage)
 
 
+#: Characters of a tie's text (or hash) that bring it into a bucket.
+BUCKET = 24
+
+
+def _first_of_levels(kinds: DataFrame, levels: DataFrame, tie: str) -> DataFrame:
+    """(log_id, variant_hash) of the first ``take`` variants, by ``tie``, of every level (log_id, n, m, take).
+
+    Levels that are taken whole or not at all need no order. A log has one
+    other level at most; its ties go into buckets by how they begin, buckets
+    are counted, and only the variants of the bucket in which the level ends
+    are ranked among each other.
+    """
+    found = kinds.join(levels, ["log_id", "n"])
+    whole = found.where(F.col("take") >= F.col("m")).select("log_id", "variant_hash")
+    cut = found.where((F.col("take") > 0) & (F.col("take") < F.col("m"))).select("log_id", "variant_hash", "take", F.col(tie).alias("_tie"), F.substring(tie, 1, BUCKET).alias("_bucket"))
+    sizes = cut.groupBy("log_id", "_bucket").agg(F.count("*").alias("_m"), F.max("take").alias("_take"))
+    before = F.sum("_m").over(Window.partitionBy("log_id").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, 0)) - F.col("_m")
+    sizes = sizes.withColumn("_left", F.col("_take") - before).where("_left > 0").select("log_id", "_bucket", "_m", "_left")
+    near = cut.join(sizes, ["log_id", "_bucket"])
+    rank = F.row_number().over(Window.partitionBy("log_id", "_bucket").orderBy("_tie", "variant_hash"))
+    last = near.where("_left < _m").withColumn("_r", rank).where("_r <= _left")
+    return whole.union(near.where("_left >= _m").select("log_id", "variant_hash")).union(last.select("log_id", "variant_hash"))
+
+
 def filter_variant_coverage(log: DataFrame, coverage: float) -> DataFrame:
-    """Cases of the most frequent variants (ties by their text) that cover the share of cases."""
+    """Cases of the most frequent variants (ties by their text) that cover the share of cases.
+
+    The running sum goes over the distinct counts of variants, not the variants.
+    """
     ordered = traces(log)
     kinds = distinct_variants(ordered).withColumn("text", F.array_join("trace", "\x1f"))
-    kept = _covering(kinds, ["text"], coverage).select("log_id", "variant_hash")
+    by = Window.partitionBy("log_id")
+    levels = kinds.groupBy("log_id", "n").agg(F.count("*").alias("m"))
+    run = F.sum(F.col("n") * F.col("m")).over(by.orderBy(F.desc("n")).rowsBetween(Window.unboundedPreceding, 0)) - F.col("n") * F.col("m")
+    levels = levels.withColumn("before", run).withColumn("total", F.sum(F.col("n") * F.col("m")).over(by))
+    # variants are kept while what comes before them is less than the share
+    take = F.least(F.greatest(F.ceil((F.col("total") * coverage - F.col("before")) / F.col("n")), F.lit(0)), F.col("m"))
+    kept = _first_of_levels(kinds, levels.select("log_id", "n", "m", take.alias("take")), "text")
     cases = ordered.join(kept, ["log_id", "variant_hash"], "left_semi").select(*CASE)
     return log.join(cases, CASE, "left_semi")
 
@@ -37,14 +70,21 @@ def filter_top_activities(log: DataFrame, coverage: float) -> DataFrame:
 
 
 def subsample_quotas(kinds: DataFrame, fraction: float) -> DataFrame:
-    """Cases to keep of every variant: floors of the exact shares, the rest to the largest remainders."""
-    w = Window.partitionBy("log_id")
+    """Cases to keep of every variant: floors of the exact shares, the rest to the largest remainders (ties by count, then hash).
+
+    A variant's share depends on its count alone, so shares and remainders are
+    those of the distinct counts, and the rest is dealt out over these.
+    """
+    by = Window.partitionBy("log_id")
     exact = F.col("n") * F.lit(fraction)
-    k = kinds.withColumn("base", F.floor(exact)).withColumn("remainder", F.round(exact - F.floor(exact), 9))
-    total = F.greatest(F.bround(F.sum("n").over(w) * F.lit(fraction)).cast("long"), F.lit(1))
-    k = k.withColumn("rest", total - F.sum("base").over(w))
-    rank = F.row_number().over(w.orderBy(F.desc("remainder"), F.desc("n"), "variant_hash"))
-    return k.withColumn("quota", F.col("base") + F.when(rank <= F.col("rest"), 1).otherwise(0)).select("log_id", "variant_hash", "n", "quota")
+    levels = kinds.groupBy("log_id", "n").agg(F.count("*").alias("m")).withColumn("base", F.floor(exact)).withColumn("remainder", F.round(exact - F.floor(exact), 9))
+    total = F.greatest(F.bround(F.sum(F.col("n") * F.col("m")).over(by) * F.lit(fraction)).cast("long"), F.lit(1))
+    levels = levels.withColumn("rest", total - F.sum(F.col("base") * F.col("m")).over(by))
+    before = F.sum("m").over(by.orderBy(F.desc("remainder"), F.desc("n")).rowsBetween(Window.unboundedPreceding, 0)) - F.col("m")
+    levels = levels.withColumn("take", F.least(F.greatest(F.col("rest") - before, F.lit(0)), F.col("m")))
+    more = _first_of_levels(kinds, levels.select("log_id", "n", "m", "take"), "variant_hash").withColumn("more", F.lit(1))
+    out = kinds.join(levels.select("log_id", "n", "base"), ["log_id", "n"]).join(more, ["log_id", "variant_hash"], "left")
+    return out.select("log_id", "variant_hash", "n", (F.col("base") + F.coalesce("more", F.lit(0))).alias("quota"))
 
 
 def subsample_variants(log: DataFrame, fraction: float, seed: int) -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from tracemill.functions.stats import uniform
 from tracemill.operators.dfg import reliable
+from tracemill.operators.nearest import nearest, pair_distances
 
 # Fixed values of the design.
 AXES = ("num_traces", "avg_trace_length", "num_activities", "variant_ratio", "dfg_density", "repetition_prevalence")
@@ -18,6 +19,8 @@ LOG_AXES = frozenset(AXES[:3])
 IN_DISTRIBUTION, EXPANSION, NEAR_DUPLICATE = 1.5, 3.0, 0.15
 TOLERANCES = {"num_traces": 0.30, "avg_trace_length": 0.30, "num_activities": 0.30, "variant_ratio": 0.25}
 MAX_TRACE_LENGTH = 5000
+#: Reference points up to this number are broadcast.
+SMALL = 10_000
 BAND_SHARES = (("in_distribution", 0.7), ("expansion", 0.2), ("stress", 0.1))
 
 
@@ -50,10 +53,15 @@ def distance(prefix: str) -> Column:
 def nearest_distance(points: DataFrame, reference: DataFrame, key: str = "point_id") -> DataFrame:
     """Distance of every point to the nearest reference point (both standardized); infinite without any.
 
-    The reference is the stated set of real logs, a design of bounded size.
+    A reference of up to SMALL rows, which is counted first, is broadcast; a
+    larger one is compared block by block, with boxes that rule blocks out.
     """
-    ref = F.broadcast(reference.select(*(F.col(a).alias(f"r_{a}") for a in AXES)))
-    near = points.crossJoin(ref).groupBy(key).agg(F.min(distance("r_")).alias("d"))
+    reference = reference.dropna(subset=list(AXES))
+    if reference.limit(SMALL + 1).count() <= SMALL:
+        ref = F.broadcast(reference.select(*(F.col(a).alias(f"r_{a}") for a in AXES)))
+        near = points.crossJoin(ref).groupBy(key).agg(F.min(distance("r_")).alias("d"))
+    else:
+        near = nearest(points.dropna(subset=list(AXES)), reference, list(AXES), key)
     return points.join(near, key, "left").select(*points.columns, F.coalesce("d", F.lit(float("inf"))).alias("nearest_real_distance"))
 
 
@@ -231,19 +239,20 @@ def near_duplicate_dedup(points: DataFrame, real: DataFrame, key: str = "point_i
 def dispersion(features: DataFrame, key: str, columns: list[str]) -> DataFrame:
     """Mean pairwise distance, mean nearest distance and total variance of z-scored features (constant ones dropped, nulls mean-filled).
 
-    One row per log comes in, and a log is no document: all pairs are the measure itself.
+    All pairs are the measure itself; they are summed up in tiles of two blocks
+    of logs, and none is a row. Statistics of the columns are broadcast, a row each.
     """
     long = features.unpivot([key], columns, "f", "v")
     m = long.groupBy("f").agg(F.avg("v").alias("mean"))
     filled = long.join(F.broadcast(m), "f").withColumn("v", F.coalesce("v", "mean"))
     sd = filled.groupBy("f").agg(F.stddev_pop("v").alias("sd")).where("sd > 1e-12")
     z = filled.join(F.broadcast(sd), "f").select(key, "f", ((F.col("v") - F.col("mean")) / F.col("sd")).alias("z"))
-    wide = z.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("f", "z"))).alias("zs")).select(F.col(key).alias("a"), F.col("zs.z").alias("x"))
-    pairs = wide.crossJoin(F.broadcast(wide.toDF("b", "y"))).where("a <> b")
-    d = F.sqrt(F.aggregate(F.zip_with("x", "y", lambda p, q: (p - q) * (p - q)), F.lit(0.0), lambda s, t: s + t))
-    near = pairs.withColumn("d", d).groupBy("a").agg(F.avg("d").alias("mean_d"), F.min("d").alias("near"))
+    wide = z.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("f", "z"))), lambda e: e["z"]).alias("x"))
+    n = features.select(key).distinct().count()
+    near = pair_distances(wide, key, n).where("near is not null")
     total = z.groupBy("f").agg(F.var_pop("z").alias("v")).agg(F.sum("v").alias("total_variance"))
-    return near.agg(F.avg("mean_d").alias("mean_pairwise"), F.avg("near").alias("mean_nearest"), F.count("*").alias("n_logs")).crossJoin(total)
+    mean = F.sum("total") / (F.count("*") * F.lit(max(n - 1, 1)))
+    return near.agg(mean.alias("mean_pairwise"), F.avg("near").alias("mean_nearest"), F.count("*").alias("n_logs")).crossJoin(total)
 
 
 def range_coverage(features: DataFrame, columns: list[str]) -> DataFrame:
