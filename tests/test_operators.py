@@ -113,6 +113,21 @@ def test_near_duplicates_of_a_long_chain(spark):
     assert sorted(r["point_id"] for r in out.collect()) == [*range(0, 104, 2)]
 
 
+def test_a_chain_of_two_hundred_takes_few_jobs(spark):
+    """A chain inside a block is decided in one round; cut into blocks of 16 points it takes a round a block."""
+    schema = "point_id long, " + ", ".join(f"{a} double" for a in space.AXES)
+    chain = spark.createDataFrame([(i, 0.1 * i, *([0.0] * 5)) for i in range(200)], schema)
+    far = spark.createDataFrame([(-1, *([99.0] * 6))], schema)
+    spark.sparkContext.setJobGroup("chain", "chain")
+    out = space.near_duplicate_dedup(chain, far)
+    rounds = len(spark.sparkContext.statusTracker().getJobIdsForGroup("chain"))
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert sorted(r["point_id"] for r in out.collect()) == [*range(0, 200, 2)]
+    assert rounds <= 40, rounds  # jobs of Spark, adaptive stages included; not one a link
+    small = space.near_duplicate_dedup(chain, far, rows=16)
+    assert sorted(r["point_id"] for r in small.collect()) == [*range(0, 200, 2)]
+
+
 def test_acceptance_takes_the_first_reason(spark):
     axes = {a: 1.0 for a in space.AXES}
     row = {"n_traces": 9, "n_activities": 1, "n_variants": 1, "min_trace_length": 1.0, "max_trace_length": 2.0, "n_events": 5.0, "attainment_error": 0.1, "duplicate_distance": 1.0, **axes}

@@ -20,7 +20,8 @@ from tracemill.sources.scratch import scratch
 BLOCK, BOXES = 2048, 64
 
 
-def _written(df: DataFrame) -> DataFrame:
+def written(df: DataFrame) -> DataFrame:
+    """``df`` as a table in the shared folder: a lost executor costs a file read."""
     path = scratch(df.sparkSession)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
@@ -47,7 +48,7 @@ def blocked(points: DataFrame, axes: list[str], key: str, rows: int = BLOCK) ->
     low, high = ({a: extent[f"{n}_{a}"] for a in axes} for n in ("low", "high"))
     placed = points.select(key, *axes).withColumn("_z", z_order(axes, low, high))
     parts = -(-extent["n"] // rows)
-    return _written(placed.repartitionByRange(parts, "_z", key).select(key, *axes, F.spark_partition_id().alias("block")))
+    return written(placed.repartitionByRange(parts, "_z", key).select(key, *axes, F.spark_partition_id().alias("block")))
 
 
 def boxes(points: DataFrame, axes: list[str], by: str = "block") -> DataFrame:
@@ -87,11 +88,11 @@ def nearest(points: DataFrame, reference: DataFrame, axes: list[str], key: str,
     """
     p = blocked(points, axes, key, rows)
     q = blocked(reference.select(F.monotonically_increasing_id().alias("_r"), *axes), axes, "_r", rows)
-    bp, bq = (_written(boxes(t, axes).withColumn("outer", F.floor(F.col("block") / BOXES).cast("int"))) for t in (p, q))
+    bp, bq = (written(boxes(t, axes).withColumn("outer", F.floor(F.col("block") / BOXES).cast("int"))) for t in (p, q))
     far = _meeting(_outer(bp, axes), _outer(bq, axes), axes).toDF("po", "qo")
     x = bp.join(far, bp["outer"] == far["po"])
     meet = _meeting(x, bq.withColumnRenamed("outer", "own"), axes, F.col("x.qo") == F.col("y.own"))
-    meet = _written(meet)
+    meet = written(meet)
     names = [key, *axes]
 
     def tile(group: pa.Table) -> pa.Table:

@@ -3,15 +3,16 @@
 from __future__ import annotations
 
 import math
+from typing import Any
 
+import pyarrow as pa
 from pyspark.ml.feature import PCA, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracemill.functions.stats import uniform
-from tracemill.operators.dfg import reliable
-from tracemill.operators.nearest import nearest, pair_distances
+from tracemill.operators.nearest import blocked, nearest, pair_distances, written
 
 # Fixed values of the design.
 AXES = ("num_traces", "avg_trace_length", "num_activities", "variant_ratio", "dfg_density", "repetition_prevalence")
@@ -212,27 +213,46 @@ def acceptance(records: DataFrame, max_events: float = 2_000_000.0, duplicates:
     return records.withColumn("rejection_reason", reason)
 
 
-def near_duplicate_dedup(points: DataFrame, real: DataFrame, key: str = "point_id") -> DataFrame:
+def _settle(group: pa.Table) -> pa.Table:
+    """(p, kept) for the points of a block that can be decided in id order: see ``near_duplicate_dedup``."""
+    earlier: dict[Any, list[tuple[Any, bool | None]]] = {}
+    for p, e, kept in zip(*(group.column(c).to_pylist() for c in ("p", "e", "kept"))):
+        earlier.setdefault(p, []).append((e, kept))
+    state: dict[Any, bool | None] = {}
+    for p in sorted(earlier):
+        seen = [state[e] if e in state else kept for e, kept in earlier[p]]
+        state[p] = False if any(seen) else True if all(k is False for k in seen) else None
+    done = [(p, k) for p, k in state.items() if k is not None]
+    return pa.table({"p": pa.array([p for p, _ in done], group.schema.field("p").type), "kept": pa.array([k for _, k in done], pa.bool_())})
+
+
+def near_duplicate_dedup(points: DataFrame, real: DataFrame, key: str = "point_id", rows: int = 2048) -> DataFrame:
     """In id order a point is kept if it is far from all real and all earlier kept points (standardized input).
 
-    Every round decides the points whose earlier close neighbours are all
-    decided; that gives the sequential result exactly. The first undecided
-    point is always among them, so the rounds end.
+    Points lie in blocks of about ``rows`` neighbours. A task goes through the
+    undecided points of a block in id order and decides every one whose earlier
+    close neighbours are decided, those of its own block in the same walk; only
+    what waits for another block takes a further round. That gives the
+    sequential result exactly: the first undecided point is always decided, so
+    the rounds end.
     """
     far = nearest_distance(points, real, key).where(F.col("nearest_real_distance") >= NEAR_DUPLICATE).drop("nearest_real_distance")
+    far = written(far.select(key, *AXES))
     # only points of neighbouring grid cells can be close: cells are as wide as the limit on the first two axes
     cell = far.withColumn("cx", F.floor(F.col(AXES[0]) / NEAR_DUPLICATE)).withColumn("cy", F.floor(F.col(AXES[1]) / NEAR_DUPLICATE))
     steps = F.array(*map(F.lit, (-1, 0, 1)))
     around = cell.withColumn("dx", F.explode(steps)).withColumn("dy", F.explode(steps)).select(F.col(key).alias("e"), (F.col("cx") + F.col("dx")).alias("cx"), (F.col("cy") + F.col("dy")).alias("cy"), *(F.col(a).alias(f"r_{a}") for a in AXES))
-    edges = reliable(cell.join(around, ["cx", "cy"]).where(F.col("e") < F.col(key)).where(distance("r_") < NEAR_DUPLICATE).select(F.col(key).alias("p"), "e"))
-    state = reliable(far.select(F.col(key).alias("p"), F.lit(None).cast("boolean").alias("kept")))
-    while True:
-        seen = edges.join(state.withColumnRenamed("p", "e"), "e").groupBy("p").agg(F.coalesce(F.bool_or("kept"), F.lit(False)).alias("near"), F.count_if(F.col("kept").isNull()).alias("waiting"))
-        j = state.join(seen, "p", "left")
-        now = F.when(F.coalesce("near", F.lit(False)), False).when(F.coalesce("waiting", F.lit(0)) == 0, True)
-        state = reliable(j.select("p", F.coalesce("kept", now).alias("kept")))
-        if not state.where("kept is null").limit(1).count():
-            break
+    edges = cell.join(around, ["cx", "cy"]).where(F.col("e") < F.col(key)).where(distance("r_") < NEAR_DUPLICATE).select(F.col(key).alias("p"), "e")
+    place = blocked(far, list(AXES), key, rows).select(F.col(key).alias("p"), "block")
+    edges = written(edges.join(place, "p"))
+    waits = edges.select("p").distinct().withColumn("waits", F.lit(True))
+    state = written(far.select(F.col(key).alias("p")).join(waits, "p", "left").select("p", F.when(F.col("waits").isNull(), True).alias("kept")))
+    kind = far.schema[key].dataType.simpleString()
+    while state.where("kept is null").limit(1).count():
+        waiting = edges.join(state.where("kept is null").select("p"), "p", "left_semi")
+        told = waiting.join(state.select(F.col("p").alias("e"), "kept"), "e").select("block", "p", "e", "kept")
+        found = told.groupBy("block").applyInArrow(_settle, f"p {kind}, kept boolean")
+        state = written(state.join(found.withColumnRenamed("kept", "now"), "p", "left").select("p", F.coalesce("kept", "now").alias("kept")))
     return points.join(state.where("kept").select(F.col("p").alias(key)), key, "left_semi")
 
 
