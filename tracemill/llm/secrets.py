@@ -4,10 +4,13 @@ The credentials that the base patterns label are samples of the formats in
 use. From a bounded sample per kind a prefix tree of character classes is
 built (the credentials themselves are never written or collected, only their
 shapes), and states whose futures are statistically alike (Hoeffding bounds on
-all transition and end frequencies) are merged into a probabilistic automaton.
-Every other token of every text is then scored by its likelihood under each
-automaton; tokens as likely as the labelled credentials become spans of kind
-``format``. A token is a run of the base patterns' characters; where the run as
+all transition and end frequencies, and on how long the rest is) are merged
+into a probabilistic automaton. A state that too few credentials reach tells
+nothing; it is merged with one as far from the start, or stays. Ordinary tokens
+give an automaton in the same way. Every other token of every text is then
+scored by its likelihood under each automaton; tokens as likely as the labelled
+credentials, and by far likelier than under the ordinary automaton, become
+spans of kind ``format``. A token is a run of the base patterns' characters; where the run as
 a whole is no match, its parts between dots are tried.
 """
 
@@ -16,8 +19,9 @@ from __future__ import annotations
 import hashlib
 import math
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import pyarrow as pa
 import xxhash
@@ -41,6 +45,14 @@ REMEMBERED = 200_000
 SAMPLE, SAMPLE_CHARS = 1000, 200
 #: Risk of the Hoeffding test; share of the labelled credentials that the score threshold lets go.
 ALPHA, QUANTILE = 0.01, 0.05
+#: Credentials that have to reach a state before its futures are held against those of states elsewhere.
+EVIDENCE = 30
+#: Bits by which a token has to be likelier as a credential than as an ordinary token.
+MARGIN = 10
+#: Exponents at which Chernoff's bound is taken.
+TILTS = (1, 2, 4, 8)
+#: What the sample calls tokens that no base span touches.
+ORDINARY = "ordinary"
 UNSEEN = 1e-4
 
 
@@ -91,17 +103,23 @@ class Automaton:
         self.moves: list[dict[str, int]] = [{}]
         self.count: list[dict[str, int]] = [defaultdict(int)]
         self.ends = [0]
+        self.depth = [0]
+        self.tails: list[Counter[int]] = [Counter()]
         for s in sample:
             at = 0
-            for c in s:
+            for k, c in enumerate(s):
                 self.count[at][c] += 1
+                self.tails[at][len(s) - k] += 1
                 if c not in self.moves[at]:
                     self.moves[at][c] = len(self.moves)
                     self.moves.append({})
                     self.count.append(defaultdict(int))
                     self.ends.append(0)
+                    self.depth.append(k + 1)
+                    self.tails.append(Counter())
                 at = self.moves[at][c]
             self.ends[at] += 1
+            self.tails[at][0] += 1
         self.bound = math.sqrt(0.5 * math.log(2 / alpha))
         self._merge_all()
 
@@ -112,7 +130,12 @@ class Automaton:
         return abs(f1 / n1 - f2 / n2) > self.bound * (n1**-0.5 + n2**-0.5)
 
     def alike(self, a: int, b: int) -> bool:
-        """Whether the futures of two states agree, followed down the tree below ``b``."""
+        """Whether the futures of two states agree, followed down the tree below ``b``; where few reach ``b``, whether they lie equally deep."""
+        n, m = self.total(a), self.total(b)
+        if min(n, m) < EVIDENCE and self.depth[a] != self.depth[b]:
+            return False
+        if n and m and any(self.differ(self.tails[a][r], n, self.tails[b][r], m) for r in {*self.tails[a], *self.tails[b]}):
+            return False
         todo = [(a, b)]
         while todo:
             x, y = todo.pop()
@@ -134,6 +157,7 @@ class Automaton:
         while todo:
             x, y = todo.pop()
             self.ends[x] += self.ends[y]
+            self.tails[x] += self.tails[y]
             for c, k in self.count[y].items():
                 self.count[x][c] += k
             for c, child in self.moves[y].items():
@@ -161,42 +185,83 @@ class Automaton:
         self.table = []
         for q in red:
             n = self.total(q) or 1
-            self.table.append(({c: (place[t], math.log2(self.count[q][c] / n)) for c, t in self.moves[q].items()}, math.log2(max(self.ends[q] / n, UNSEEN))))
-        del self.moves, self.count, self.ends
-
-    def score(self, s: str) -> float:
-        """Mean log2 likelihood per symbol, the end counted as one."""
-        at, total = 0, 0.0
+            shares = [k / n for k in (*self.count[q].values(), self.ends[q]) if k]
+            tilted = tuple(math.log(sum(p ** (1 + t) for p in shares)) if shares else 0.0 for t in TILTS)
+            self.table.append(({c: (place[t], math.log2(self.count[q][c] / n)) for c, t in self.moves[q].items()}, math.log2(max(self.ends[q] / n, UNSEEN)), tilted))
+        del self.moves, self.count, self.ends, self.depth, self.tails
+
+    def steps(self, s: str) -> tuple[float, int, int, float]:
+        """Of the steps that the sample took, the end among them: their log2 likelihood and number; the number of other steps; and a bound (natural logarithm) of the chance that a walk through the same states is as likely."""
+        at, gain, n, odd, sums = 0, 0.0, 0, 0, [0.0] * len(TILTS)
+        walked = []
         for c in s:
             step = self.table[at][0].get(c)
             if step is None:
-                total += math.log2(UNSEEN)
+                odd += 1
                 continue
-            at, gain = step
-            total += gain
-        return (total + self.table[at][1]) / (len(s) + 1)
+            walked.append(at)
+            at, n, gain = step[0], n + 1, gain + step[1]
+        end = self.table[at][1]
+        if end <= math.log2(UNSEEN):
+            odd += 1
+        else:
+            walked.append(at)
+            n, gain = n + 1, gain + end
+        for q in walked:
+            sums = [a + b for a, b in zip(sums, self.table[q][2])]
+        return gain, n, odd, min(0.0, *(a - t * gain * math.log(2) for a, t in zip(sums, TILTS)))
+
+    def score(self, s: str) -> float:
+        """Mean log2 likelihood per symbol, the end counted as one."""
+        gain, _, odd, _ = self.steps(s)
+        return (gain + odd * math.log2(UNSEEN)) / (len(s) + 1)
+
 
+@dataclass(frozen=True)
+class Format:
+    """An automaton with the score that most of its credentials reach."""
 
-def learn(samples: dict[str, list[str]]) -> dict[str, tuple[Automaton, float]]:
-    """An automaton and its score threshold for every kind with shapes of credentials."""
-    out = {}
+    automaton: Automaton
+    least: float
+
+    def takes(self, shape: str) -> bool:
+        """Whether a shape is as likely as the credentials, less one step that none of them took (another length, say), and not likelier than a draw.
+
+        A run of the most frequent class alone is likelier than nearly all
+        walks through the same states; Chernoff's bound tells how rare it is.
+        """
+        gain, n, odd, chance = self.automaton.steps(shape)
+        if odd > 1 or not n or gain < self.least * n + odd * math.log2(UNSEEN) / 2:
+            return False
+        return chance >= math.log(ALPHA)
+
+
+def learn(samples: dict[str, list[str]]) -> tuple[list[Format], Automaton | None]:
+    """The format of every kind with shapes of credentials, and the automaton of ordinary tokens if there are enough to tell."""
+    out = []
     for kind, shapes in samples.items():
+        if kind == ORDINARY:
+            continue
         automaton = Automaton(shapes)
         scores = sorted(map(automaton.score, shapes))
-        out[kind] = automaton, scores[int(QUANTILE * len(scores))]
-    return out
+        out.append(Format(automaton, scores[int(QUANTILE * len(scores))]))
+    plain = samples.get(ORDINARY, [])
+    return out, Automaton(plain) if len(plain) >= EVIDENCE else None
 
 
 def _find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(kind, place, shape) of the SAMPLE labelled credentials of every kind with the smallest hashes in a task."""
-    least: dict[str, dict[int, str]] = {k: {} for k in KINDS}
+    """(kind, place, shape) of the SAMPLE labelled credentials of every kind, and of ordinary tokens, with the smallest hashes in a task."""
+    least: dict[str, dict[int, str]] = {k: {} for k in (*KINDS, ORDINARY)}
 
     def cut(found: dict[int, str]) -> dict[int, str]:
         return {h: found[h] for h in sorted(found)[:SAMPLE]}
 
     for batch in batches:
         for text in batch.column(0):
-            for kind, _, _, value in base_spans(text.as_py() or ""):
+            source = text.as_py() or ""
+            spans = base_spans(source)
+            plain = [(ORDINARY, a, b, v) for tries in candidates(source, spans) for a, b, v in tries[:1]]
+            for kind, _, _, value in (*spans, *plain):
                 if len(value) <= SAMPLE_CHARS:
                     found = least[kind]
                     found[xxhash.xxh64_intdigest(value) >> 1] = classes(value)
@@ -218,14 +283,15 @@ def samples_of(docs: DataFrame) -> dict[str, list[str]]:
 
 
 class Verdicts(dict):
-    """shape -> whether some automaton takes it, remembered up to a bound."""
+    """shape -> whether some format takes it and it is no ordinary token, remembered up to a bound."""
 
-    def __init__(self, automata: dict[str, tuple[Automaton, float]]):
+    def __init__(self, formats: list[Format], ordinary: Automaton | None):
         super().__init__()
-        self.automata = automata.values()
+        self.formats, self.ordinary = formats, ordinary
 
     def __missing__(self, shape: str) -> bool:
-        value = any(a.score(shape) >= least for a, least in self.automata)
+        best = max((f.automaton.score(shape) for f in self.formats if f.takes(shape)), default=None)
+        value = best is not None and (self.ordinary is None or (best - self.ordinary.score(shape)) * (len(shape) + 1) >= MARGIN)
         if len(self) < REMEMBERED:
             self[shape] = value
         return value
@@ -243,7 +309,7 @@ def scan(docs: DataFrame) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(learn(samples_of(keyed)))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        likely = Verdicts(shared.value).__getitem__
+        likely = Verdicts(*shared.value).__getitem__
         for batch in batches:
             counts: dict[str, list[int]] = {k: [] for k in (*KINDS, LEARNED)}
             shas, joined = [], []
@@ -251,7 +317,7 @@ def scan(docs: DataFrame) -> DataFrame:
                 source = source.as_py() or ""
                 spans = base_spans(source)
                 base = [(a, KINDS.index(k), k, b) for k, a, b, _ in spans]
-                more = [(a, len(KINDS), LEARNED, b) for a, b in (learned_spans(source, spans, likely) if shared.value else ())]
+                more = [(a, len(KINDS), LEARNED, b) for a, b in (learned_spans(source, spans, likely) if shared.value[0] else ())]
                 text = [",".join(f"{k}:{a}:{b}" for a, _, k, b in sorted(x)) for x in (base, base + more)]
                 for k in KINDS:
                     counts[k].append(sum(s[2] == k for s in base))
