@@ -128,6 +128,41 @@ def test_a_chain_of_two_hundred_takes_few_jobs(spark):
     assert sorted(r["point_id"] for r in small.collect()) == [*range(0, 200, 2)]
 
 
+def test_explained_variance(spark):
+    import numpy as np
+
+    x = np.random.default_rng(4).normal(size=(80, 6)) * [5, 3, 2, 1, 1, 0.5]
+    x[:, 3] += x[:, 0]
+    points = spark.createDataFrame([(i, *map(float, r)) for i, r in enumerate(x)], "point_id long, " + ", ".join(f"{a} double" for a in space.AXES))
+    rows = space.explained_variance(points).orderBy("component").collect()
+    want = np.sort(np.linalg.eigvalsh(np.cov(x.T)))[::-1]
+    assert [r["explained"] for r in rows] == pytest.approx(list(want / want.sum()))
+    assert rows[-1]["cumulative"] == pytest.approx(1.0)
+    flat = np.array([tuple(r)[1:] for r in space.project_2d(points).orderBy("point_id").collect()])
+    assert flat.var(axis=0, ddof=1) == pytest.approx(list(want[:2]))
+
+
+def test_jitter_stays_in_bounds_and_is_repeatable(spark):
+    real = spark.createDataFrame([(f"r{i}", *(0.2 + 0.1 * (i % 5) for _ in space.AXES)) for i in range(10)], "point_id string, " + ", ".join(f"{a} double" for a in space.AXES))
+    bounds = space.design_bounds(real, {}, {})
+    a, b = (space.jitter_points(real.repartition(n), bounds, 150, 0.05, 7) for n in (1, 5))
+    rows = a.collect()
+    assert len(rows) == 150 and sorted(map(str, rows)) == sorted(map(str, b.collect()))
+    assert sorted(map(str, space.jitter_points(real, bounds, 150, 0.05, 8).collect())) != sorted(map(str, rows))
+    assert all(0.0 <= r["variant_ratio"] <= 1.0 for r in rows)
+
+
+def test_augmented_children(spark):
+    """Every parent gives its planned children; each is accepted or has a reason, and accepted ones have their events."""
+    log = make_log(spark, {f"c{i}": "abcdefgh"[: 2 + i % 6] for i in range(40)}).unionByName(make_log(spark, {"d": "ab"}, "tiny"))
+    children, manifest = augment.augment_logs(log, 3)
+    rows = {r["log_id"]: r for r in manifest.collect()}
+    assert set(rows) == {f"aug_{p}__{k}__s3" for p in ("l", "tiny") for k in ("cov080", "sub050", "noise005")}
+    assert all(r["accepted"] == (r["reason"] is None) == r["log_id"].startswith("aug_l_") for r in rows.values())
+    sizes = {r["log_id"]: r["n"] for r in children.groupBy("log_id").agg(F.count_distinct("case_id").alias("n")).collect()}
+    assert sizes == {k: r["n_traces"] for k, r in rows.items()} and sizes["aug_l__sub050__s3"] == 20
+
+
 def test_acceptance_takes_the_first_reason(spark):
     axes = {a: 1.0 for a in space.AXES}
     row = {"n_traces": 9, "n_activities": 1, "n_variants": 1, "min_trace_length": 1.0, "max_trace_length": 2.0, "n_events": 5.0, "attainment_error": 0.1, "duplicate_distance": 1.0, **axes}

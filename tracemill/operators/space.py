@@ -6,7 +6,7 @@ import math
 from typing import Any
 
 import pyarrow as pa
-from pyspark.ml.feature import PCA, VectorAssembler
+from pyspark.ml.feature import PCA, PCAModel, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -294,8 +294,21 @@ def acceptance_summary(records: DataFrame, targets: DataFrame, key: str = "point
     return a.union(b).union(c).union(d)
 
 
+def _components(points: DataFrame, k: int) -> tuple[DataFrame, PCAModel]:
+    v = VectorAssembler(inputCols=list(AXES), outputCol="_v").transform(points)
+    return v, PCA(k=k, inputCol="_v", outputCol="_p").fit(v)
+
+
 def project_2d(points: DataFrame, key: str = "point_id") -> DataFrame:
     """The first two principal components of standardized points."""
-    v = VectorAssembler(inputCols=list(AXES), outputCol="_v").transform(points)
-    out = PCA(k=2, inputCol="_v", outputCol="_p").fit(v).transform(v).withColumn("_p", vector_to_array("_p"))
+    v, model = _components(points, 2)
+    out = model.transform(v).withColumn("_p", vector_to_array("_p"))
     return out.select(key, F.col("_p")[0].alias("pc1"), F.col("_p")[1].alias("pc2"))
+
+
+def explained_variance(points: DataFrame) -> DataFrame:
+    """component (from 1), share of the variance and the shares so far, for all principal components of standardized points."""
+    _, model = _components(points, len(AXES))
+    shares = [float(x) for x in model.explainedVariance]
+    rows = [(i + 1, x, sum(shares[: i + 1])) for i, x in enumerate(shares)]
+    return points.sparkSession.createDataFrame(rows, "component int, explained double, cumulative double")

@@ -222,13 +222,15 @@ register("S4_results_scan", json_back, "SELECT log_id, status, count(*) AS n FRO
 
 
 def checksummed(s, d):
+    """A file a log with its case ids in order, a line each."""
     path = scratch(s)
-    event_log(s, d).select("log_id", "case_id").write.partitionBy("log_id").csv(path)
+    lines = event_log(s, d).select("log_id", "case_id").distinct().repartition("log_id").sortWithinPartitions("log_id", "case_id")
+    lines.write.partitionBy("log_id").text(path)
     f = S.file_checksums(s, path)
     return f.select(F.regexp_extract("path", "log_id=([^/]+)", 1).alias("log_id"), "size", "sha256")
 
 
-register("S7_file_checksums", checksummed)
+register("S7_file_checksums", checksummed, "WITH t AS (SELECT log_id, string_agg(case_id || chr(10), '' ORDER BY case_id) AS body FROM (SELECT DISTINCT log_id, case_id FROM event_log) GROUP BY 1)\nSELECT log_id, strlen(body) AS size, sha256(body) AS sha256 FROM t")
 
 
 def streamed(s, d):

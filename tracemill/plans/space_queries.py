@@ -140,3 +140,4 @@ u AS (SELECT 'status' AS kind, CASE WHEN rejection_reason IS NULL THEN 'accepted
 SELECT * FROM u""")
 register("D17_project_2d", lambda s, d: D.project_2d(std(s, d)))
 register("D_six_axes_targets", lambda s, d: D.to_target(X.six_axes(event_log(s, d))))
+register("D17_explained_variance", lambda s, d: D.explained_variance(std(s, d)))
