@@ -1,6 +1,7 @@
 import random
 
 import pytest
+from pyspark.sql import Observation
 from pyspark.sql import functions as F
 
 from tracemill.operators import ablation as A
@@ -130,6 +131,9 @@ def test_action_spaces(inputs, runs):
 
 
 def test_predicted_label_is_on_offer(spark, inputs, runs):
+    seen = Observation()  # a session that has observed something still takes the model to its tasks
+    spark.range(3).observe(seen, F.count(F.lit(1)).alias("n")).collect()
+    assert seen.get["n"] == 3
     train = A.labels(inputs, runs, "base_default").join(inputs.features["log"], "log_id")
     model = L.variant_classifier(train, ["size"], trees=5)
     rows = spark.createDataFrame([("x", 1.0, ["alg0"]), ("y", 1.0, ["alg0", "alg2", "zzz"]), ("z", 1.0, ["zzz"])], "log_id string, size double, allowed array<string>")

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tracemill.operators.evaluate import MEASURES, model_picks, weighted
+from tracemill.sources.scratch import scratch
 
 
 def imputation(train: DataFrame, columns: list[str]) -> dict[str, float]:
@@ -47,9 +48,16 @@ def predict_measures(models: dict[str, PipelineModel], rows: DataFrame) -> DataF
 
 
 def variant_classifier(train: DataFrame, columns: list[str], label: str = "label", trees: int = 50, seed: int = 42) -> PipelineModel:
-    """A forest over one best label per log."""
+    """A forest over one best label per log.
+
+    The fitted model is written and read back: its training summary holds the
+    session, and could not go to tasks once that has observed anything.
+    """
     idx = StringIndexer(inputCol=label, outputCol="_y", stringOrderType="alphabetAsc")
-    return Pipeline(stages=[idx, *_assemble(columns, None), RandomForestClassifier(numTrees=trees, seed=seed, labelCol="_y", featuresCol="_x")]).fit(train)
+    model = Pipeline(stages=[idx, *_assemble(columns, None), RandomForestClassifier(numTrees=trees, seed=seed, labelCol="_y", featuresCol="_x")]).fit(train)
+    path = scratch(train.sparkSession)
+    model.write().save(path)
+    return PipelineModel.load(path)
 
 
 def predict_allowed(model: PipelineModel, rows: DataFrame, allowed: list[str], label: str = "label") -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 import time
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, Observation
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
@@ -13,25 +13,23 @@ def time_extraction(log: DataFrame, extract: Callable[[DataFrame], DataFrame], l
     """log_id, n_events, n_cases, n_features, seconds, events_per_second for each of ``log_ids``.
 
     Every log is read and its features are worked out in a job of its own, as
-    a user with one log would do. Events and cases are observed in a second
-    pass over the same rows, which is not timed; that features came out is
-    observed in the timed job itself. seconds is the best of ``repeats``. The driver loops over the given logs, which are a
-    design; a log without events has counts of zero and no rate.
+    a user with one log would do. Events and cases come from one aggregate over
+    the same rows, which is not timed. seconds is the best of ``repeats``. The
+    driver loops over the given logs, which are a design; a log without events
+    has counts of zero and no rate.
     """
     spark = log.sparkSession
     rows = []
     for log_id in log_ids:
-        best, seen = None, {}
+        part = log.where(F.col("log_id") == log_id)
+        size = part.groupBy("case_id").agg(F.count("*").alias("n")).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("events"), F.count(F.lit(1)).alias("cases")).first()
+        features = extract(part)
+        best = None
         for _ in range(repeats):
-            size, made = Observation(), Observation()
-            part = log.where(F.col("log_id") == log_id)
-            events = part.groupBy("case_id").agg(F.count("*").alias("n")).observe(size, F.coalesce(F.sum("n"), F.lit(0)).alias("events"), F.count(F.lit(1)).alias("cases"))
             began = time.perf_counter()
-            features = extract(part)
-            features.observe(made, F.count(F.lit(1)).alias("rows")).write.format("noop").mode("overwrite").save()
+            features.write.format("noop").mode("overwrite").save()
             took = time.perf_counter() - began
-            events.write.format("noop").mode("overwrite").save()
-            seen = {**size.get, "features": len(features.columns) - 1 if made.get["rows"] else 0}
             best = took if best is None else min(best, took)
-        rows.append((log_id, seen["events"], seen["cases"], seen["features"], best, seen["events"] / best if seen["events"] else None))
+        width = len(features.columns) - 1 if size["events"] else 0
+        rows.append((log_id, size["events"], size["cases"], width, best, size["events"] / best if size["events"] else None))
     return spark.createDataFrame(rows, "log_id string, n_events long, n_cases long, n_features int, seconds double, events_per_second double")
