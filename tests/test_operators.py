@@ -172,6 +172,19 @@ def test_acceptance_takes_the_first_reason(spark):
     near = {**fine, "duplicate_distance": 0.1}
     assert space.acceptance(spark.createDataFrame([near])).first()["rejection_reason"].startswith("near-duplicate")
     assert space.acceptance(spark.createDataFrame([near]), duplicates=False).first()["rejection_reason"] is None
+    errors = {f"error_{a}": 0.0 for a in space.TOLERANCES}
+    poor = {**fine, **errors, "attainment_error": 2.0, "error_num_traces": 0.45, "error_variant_ratio": 0.5}
+    said = {
+        "near-duplicate of a real or accepted log (standardized distance 0.100)": near,
+        "target attainment too poor: variant_ratio off by 0.500": poor,
+        "target attainment too poor: num_traces off by 0.600": {**poor, "error_num_traces": 0.6, "error_variant_ratio": 0.5},
+        "target attainment too poor": {**fine, "attainment_error": 2.0},
+        "pathological size: 9000001 events exceeds compute cap": {**fine, "n_events": 9_000_001.0},
+        "pathological trace length: 5001 > 5000": {**fine, "max_trace_length": 5001.0},
+        "target axis features not computable: num_traces, dfg_density": {**fine, "num_traces": float("nan"), "dfg_density": float("nan")},
+    }
+    for reason, record in said.items():
+        assert space.acceptance(spark.createDataFrame([record])).first()["rejection_reason"] == reason
 
 
 def test_weights():

@@ -192,8 +192,16 @@ def attainment_error(targets: DataFrame, achieved: DataFrame, key: str = "point_
 
 
 def acceptance(records: DataFrame, max_events: float = 2_000_000.0, duplicates: bool = True) -> DataFrame:
-    """``rejection_reason``: the first rule that a generated log breaks, or null. Without ``duplicates`` that rule is left out."""
+    """``rejection_reason``: the first rule that a generated log breaks with its figures, or null. Without ``duplicates`` that rule is left out.
+
+    The worst axis is named where the records have the axes' errors (``error_*``).
+    """
     c = F.col
+    missing = F.concat_ws(", ", *(F.when(c(a).isNull() | F.isnan(a), a) for a in AXES))
+    poor = F.lit("target attainment too poor")
+    if all(f"error_{a}" in records.columns for a in TOLERANCES):
+        off = F.array_max(F.array(*(F.struct((c(f"error_{a}") / t).alias("share"), F.lit(-i).alias("first"), F.lit(a).alias("axis"), c(f"error_{a}").alias("error")) for i, (a, t) in enumerate(TOLERANCES.items()))))
+        poor = F.concat(poor, F.lit(": "), off["axis"], F.lit(" off by "), F.format_string("%.3f", off["error"]))
     text = lambda what, n, least: F.concat(F.lit(f"too few {what}: "), n.cast("string"), F.lit(f" < {least}"))
     unknown = F.lit(False)
     for a in AXES:
@@ -203,13 +211,14 @@ def acceptance(records: DataFrame, max_events: float = 2_000_000.0, duplicates:
         .when(c("n_activities") < 3, text("activities", c("n_activities"), 3))
         .when(c("n_variants") < 2, text("variants", c("n_variants"), 2))
         .when(c("min_trace_length").isNull() | (c("min_trace_length") < 1), "log contains empty or unmeasurable traces")
-        .when(unknown, "target axis features not computable")
-        .when(c("n_events") > 1.5 * max_events, "pathological size")
-        .when(c("max_trace_length") > MAX_TRACE_LENGTH, "pathological trace length")
-        .when(c("attainment_error") > 1.0, "target attainment too poor")
+        .when(unknown, F.concat(F.lit("target axis features not computable: "), missing))
+        .when(c("n_events") > 1.5 * max_events, F.concat(F.lit("pathological size: "), c("n_events").cast("long").cast("string"), F.lit(" events exceeds compute cap")))
+        .when(c("max_trace_length") > MAX_TRACE_LENGTH, F.concat(F.lit("pathological trace length: "), F.format_string("%.0f", c("max_trace_length").cast("double")), F.lit(f" > {MAX_TRACE_LENGTH}")))
+        .when(c("attainment_error") > 1.0, poor)
     )
     if duplicates:
-        reason = reason.when(c("duplicate_distance") < NEAR_DUPLICATE, "near-duplicate of a real or accepted log")
+        near = F.concat(F.lit("near-duplicate of a real or accepted log (standardized distance "), F.format_string("%.3f", c("duplicate_distance")), F.lit(")"))
+        reason = reason.when(c("duplicate_distance") < NEAR_DUPLICATE, near)
     return records.withColumn("rejection_reason", reason)
 
 
@@ -285,10 +294,10 @@ def range_coverage(features: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def acceptance_summary(records: DataFrame, targets: DataFrame, key: str = "point_id") -> DataFrame:
-    """(kind, value, n): records by status and by reason before the colon, targets without a record, records without a target."""
+    """(kind, value, n): records by status and by reason without its figures, targets without a record, records without a target."""
     status = F.when(F.col("rejection_reason").isNull(), "accepted").otherwise("rejected")
     a = records.groupBy(F.lit("status").alias("kind"), status.alias("value")).agg(F.count("*").alias("n"))
-    b = records.where("rejection_reason is not null").groupBy(F.lit("reason"), F.substring_index("rejection_reason", ":", 1)).agg(F.count("*"))
+    b = records.where("rejection_reason is not null").groupBy(F.lit("reason"), F.substring_index(F.substring_index("rejection_reason", ":", 1), " (", 1)).agg(F.count("*"))
     c = targets.join(records, key, "left_anti").groupBy(F.lit("targets"), F.lit("missing")).agg(F.count("*"))
     d = records.join(targets, key, "left_anti").groupBy(F.lit("targets"), F.lit("unknown")).agg(F.count("*"))
     return a.union(b).union(c).union(d)

@@ -104,14 +104,14 @@ register("D11_attainment_error", lambda s, d: D.attainment_error(points(s, d), a
 
 
 def records(s, d):
-    p = achieved(s, d).join(D.attainment_error(points(s, d), achieved(s, d)).select("point_id", "attainment_error"), "point_id")
+    p = achieved(s, d).join(D.attainment_error(points(s, d), achieved(s, d)).select("point_id", "attainment_error", *(f"error_{a}" for a in D.TOLERANCES)), "point_id")
     i = F.col("point_id")
     return p.select("*", (i % 50).alias("n_traces"), (i % 17).alias("n_activities"), (i % 13).alias("n_variants"), (F.col("num_traces") * 100).alias("n_events"), (i % 19).cast("double").alias("min_trace_length"), (i * 13).cast("double").alias("max_trace_length"), ((i % 29).cast("double") / 20).alias("duplicate_distance"))
 
 
 REC = ACH + """,
 rec AS (SELECT point_id, CASE WHEN point_id % 50 < 10 THEN concat('too few traces: ', point_id % 50, ' < 10') WHEN point_id % 17 < 3 THEN concat('too few activities: ', point_id % 17, ' < 3') WHEN point_id % 13 < 2 THEN concat('too few variants: ', point_id % 13, ' < 2')
- WHEN point_id % 19 < 1 THEN 'log contains empty or unmeasurable traces' WHEN a.num_traces * 100 > 1500000 THEN 'pathological size' WHEN point_id * 13 > 5000 THEN 'pathological trace length' WHEN attainment_error > 1 THEN 'target attainment too poor' WHEN point_id % 29 < 3 THEN 'near-duplicate of a real or accepted log' END AS rejection_reason FROM ach a JOIN att USING (point_id))"""
+ WHEN point_id % 19 < 1 THEN 'log contains empty or unmeasurable traces' WHEN a.num_traces * 100 > 1500000 THEN concat('pathological size: ', CAST(a.num_traces * 100 AS BIGINT), ' events exceeds compute cap') WHEN point_id * 13 > 5000 THEN concat('pathological trace length: ', point_id * 13, ' > 5000') WHEN attainment_error > 1 THEN concat('target attainment too poor: ', CASE WHEN error_num_traces / 0.3e0 >= error_variant_ratio / 0.25e0 THEN concat('num_traces off by ', printf('%.3f', error_num_traces)) ELSE concat('variant_ratio off by ', printf('%.3f', error_variant_ratio)) END) WHEN point_id % 29 < 3 THEN concat('near-duplicate of a real or accepted log (standardized distance ', printf('%.3f', (point_id % 29) / 20), ')') END AS rejection_reason FROM ach a JOIN att USING (point_id))"""
 register("D12_acceptance", lambda s, d: D.acceptance(records(s, d), 1_000_000.0).select("point_id", "rejection_reason"), "WITH " + REC + "\nSELECT * FROM rec")
 register("D13_near_duplicate_dedup", lambda s, d: D.near_duplicate_dedup(std(s, d).where("population <> 'real'"), std(s, d).where("population = 'real'")))
 _F = ["n_events", "n_cases", "spread"]
@@ -135,7 +135,7 @@ r AS (SELECT feature, min(v) FILTER (WHERE population = 'real') AS real_min, max
 SELECT *, made_min < real_min OR made_max > real_max AS beyond, CASE WHEN real_max > real_min THEN (made_max - made_min) / (real_max - real_min) END AS range_ratio FROM r""", "real_min real_max made_min made_max range_ratio")
 register("D16_acceptance_summary", lambda s, d: D.acceptance_summary(D.acceptance(records(s, d), 1_000_000.0).where("point_id >= 20"), points(s, d).where("point_id < 580").select("point_id")), "WITH " + REC + """,
 q AS (SELECT * FROM rec WHERE point_id >= 20), t AS (SELECT point_id FROM points WHERE point_id < 580),
-u AS (SELECT 'status' AS kind, CASE WHEN rejection_reason IS NULL THEN 'accepted' ELSE 'rejected' END AS value, count(*) AS n FROM q GROUP BY 2 UNION ALL SELECT 'reason', split_part(rejection_reason, ':', 1), count(*) FROM q WHERE rejection_reason IS NOT NULL GROUP BY 2
+u AS (SELECT 'status' AS kind, CASE WHEN rejection_reason IS NULL THEN 'accepted' ELSE 'rejected' END AS value, count(*) AS n FROM q GROUP BY 2 UNION ALL SELECT 'reason', split_part(split_part(rejection_reason, ':', 1), ' (', 1), count(*) FROM q WHERE rejection_reason IS NOT NULL GROUP BY 2
  UNION ALL SELECT 'targets', 'missing', count(*) FROM t WHERE point_id NOT IN (SELECT point_id FROM q) HAVING count(*) > 0 UNION ALL SELECT 'targets', 'unknown', count(*) FROM q WHERE point_id NOT IN (SELECT point_id FROM t) HAVING count(*) > 0)
 SELECT * FROM u""")
 register("D17_project_2d", lambda s, d: D.project_2d(std(s, d)))
