@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tracemill.operators.nearest import written
 from tracemill.operators.traces import prefixes
 
 ARC = ["log_id", "source", "target"]
@@ -113,8 +114,13 @@ def dfg_simplicity(kept: DataFrame) -> DataFrame:
 
 
 def sweep(kinds: DataFrame, dfg: DataFrame, noises: DataFrame) -> DataFrame:
-    """The four measures of every (log, configuration) in one job, with a status."""
-    kept = sweep_filter(dfg, noises).cache()
+    """The four measures of every (log, configuration), with a status.
+
+    Variants, arcs and kept arcs serve several measures: they are written once,
+    so that none is derived anew.
+    """
+    kinds, dfg = written(kinds.select("log_id", "variant_hash", "trace", "n")), written(dfg)
+    kept = written(sweep_filter(dfg, noises))
     key = ["config_hash", "log_id"]
     j = dfg_fitness(kinds, dfg, kept).join(dfg_precision(kinds, kept), key, "left").join(dfg_generalization(kept), key, "left").join(dfg_simplicity(kept), key, "left")
     status = F.when(F.col("precision").isNull() | F.col("simplicity").isNull(), "partial").otherwise("success")
