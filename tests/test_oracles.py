@@ -1,3 +1,5 @@
+import datetime
+
 import pytest
 
 from tests.helpers import same_as_duckdb
@@ -13,6 +15,17 @@ def test_same_as_duckdb(spark, name):
     same_as_duckdb(spark, QUERIES[name], ORACLES[name], SF)
 
 
+def test_child_seeds_of_large_and_long_logs(spark, tmp_path):
+    """A log of 10,000 cases is subsampled twice, one of 40 events a case is truncated: query and SQL alike."""
+    day = datetime.datetime(2026, 1, 1)
+    rows = [(i, day, 8 * i, "a") for i in range(10_000)] + [(20_000 + i, day + datetime.timedelta(minutes=i), 1, "b") for i in range(40)] + [(30_000, day, 2, "c")]
+    spark.createDataFrame(rows, "event_id long, ts timestamp_ntz, user_id long, event_type string").coalesce(1).write.parquet(str(tmp_path / "t"))
+    (tmp_path / "events.parquet").symlink_to(next((tmp_path / "t").glob("part-*.parquet")))
+    found = {(r["parent"], r["log_id"].split("__")[1]) for r in QUERIES["G7_child_seeds"](spark, str(tmp_path)).collect()}
+    assert found == {(p, t) for p in ("log0", "log1", "log2") for t in ("cov080", "sub050", "noise005")} | {("log0", "sub025"), ("log1", "trunc050")}
+    same_as_duckdb(spark, QUERIES["G7_child_seeds"], ORACLES["G7_child_seeds"], str(tmp_path))
+
+
 def test_entry_module():
     import __spark_entry__ as e
 

@@ -106,7 +106,8 @@ p AS (SELECT * FROM (VALUES ('variant_coverage', 0.8, false, 'a'), ('subsample',
 s AS (SELECT log_id, count(*) * 20 AS m FROM tr GROUP BY 1)
 SELECT log_id AS parent, operator, parameter, stress FROM s, p WHERE c = 'a' OR m >= 10000""", "parameter")
 register("G7_child_seeds", lambda s, d: A.augmentation_plan(T.log_stats(T.traces(event_log(s, d)), event_log(s, d))).select("log_id", "parent", "seed"), TRACES + """,
-p AS (SELECT * FROM (VALUES ('variant_coverage', '0.8000', 'cov080'), ('subsample', '0.5000', 'sub050'), ('noise', '0.0500', 'noise005')) t(operator, v, token)),
-x AS (SELECT log_id AS parent, token, CAST(concat('0x', substr(sha256(concat_ws('|', '1', log_id, operator, v)), 1, 8)) AS BIGINT) AS seed FROM (SELECT DISTINCT log_id FROM tr), p)
+p AS (SELECT * FROM (VALUES ('variant_coverage', '0.8000', 'cov080', 'always'), ('subsample', '0.5000', 'sub050', 'always'), ('noise', '0.0500', 'noise005', 'always'), ('subsample', '0.2500', 'sub025', 'large'), ('truncate', '50.0000', 'trunc050', 'long')) t(operator, v, token, condition)),
+s AS (SELECT log_id, count(*) AS n_traces, avg(n_events) AS mean_trace_length FROM tr GROUP BY 1),
+x AS (SELECT log_id AS parent, token, CAST(concat('0x', substr(sha256(concat_ws('|', '1', log_id, operator, v)), 1, 8)) AS BIGINT) AS seed FROM s, p WHERE condition = 'always' OR (condition = 'large' AND n_traces >= 10000) OR (condition = 'long' AND mean_trace_length >= 40))
 SELECT concat('aug_', parent, '__', token, '__s', seed) AS log_id, parent, seed FROM x""")
 register("G8_augment_logs", lambda s, d: A.augment_logs(event_log(s, d))[1])
