@@ -72,6 +72,16 @@ def test_metadata_has_no_shuffle(spark):
     assert "Exchange" not in out._jdf.queryExecution().executedPlan().toString()
 
 
+def test_metadata_of_grouped_results_is_parsed_after_the_grouping(spark):
+    """Texts made of grouping keys: a filter on them must not go below the grouping, and the source is read once."""
+    many = spark.range(2000).selectExpr("cast(id % 2 as string) k", "id").groupBy("k").agg({"id": "sum"})
+    rows = many.selectExpr("k as id", "concat('{\"timings\": {\"t\": ', `sum(id)`, '}}') as metadata", "concat('{\"q\": \"', k, '\"}') as source_metadata")
+    out = metadata.flatten_metadata(rows, ["id"])
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate" not in plan and plan.count("Relation") == 1
+    assert sorted((r["id"], r["path"], r["value"]) for r in out.collect()) == [("0", "source_q", "0"), ("0", "timing_t", "999000"), ("1", "source_q", "1"), ("1", "timing_t", "1000000")]
+
+
 def test_time_extraction(spark):
     log = make_log(spark, {"c1": "abc", "c2": "ab"}).unionByName(make_log(spark, {"d": "x"}, "m"))
     rows = {r["log_id"]: r for r in timing.time_extraction(log, six_axes, ["l", "m", "none"], repeats=2).collect()}
