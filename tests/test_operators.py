@@ -262,3 +262,20 @@ def test_families(spark):
     ids = spark.createDataFrame([("aug_p__x__s1",), ("syn_gedi_t1",), ("syn_a",), ("p",)], "log_id string")
     rows = ids.select(clean.log_family(F.col("log_id")), clean.log_population(F.col("log_id"))).collect()
     assert [tuple(r) for r in rows] == [("p", "augmented"), ("syn_gedi_t1", "gedi"), ("syn_a", "synth"), ("p", "real")]
+
+
+def test_augmentation_joins_nothing_by_log_alone(spark):
+    """Joins and windows by log, or by log and count, would bring a whole log to one task."""
+    log = make_log(spark, {f"c{i}": "abcd"[: 1 + i % 4] * 2 for i in range(40)})
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" not in plan(augment.inject_event_noise(log, 0.2, 1)) + plan(augment.filter_top_activities(log, 0.6))
+        for df in (augment.filter_variant_coverage(log, 0.8), augment.subsample_quotas(traces.distinct_variants(traces.traces(log)), 0.3)):
+            joins = [line for line in plan(df).splitlines() if "SortMergeJoin" in line]
+            assert joins and not any(line.split("[")[1].split("]")[0].count("#") == 2 and " n#" in line for line in joins)
+        assert plan(augment.inject_event_noise(log, 0.2, 1)).count("Sort [") == 1
+        assert augment.inject_event_noise(log, 0.0, 1).count() == log.count()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)

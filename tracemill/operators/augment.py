@@ -28,12 +28,13 @@ BUCKET = 24
 def _first_of_levels(kinds: DataFrame, levels: DataFrame, tie: str) -> DataFrame:
     """(log_id, variant_hash) of the first ``take`` variants, by ``tie``, of every level (log_id, n, m, take).
 
-    Levels that are taken whole or not at all need no order. A log has one
+    Levels, at most the root of twice a log's cases each, are broadcast: most
+    variants of a log are of one level. Those that are taken whole or not at all need no order. A log has one
     other level at most; its ties go into buckets by how they begin, buckets
     are counted, and only the variants of the bucket in which the level ends
     are ranked among each other.
     """
-    found = kinds.join(levels, ["log_id", "n"])
+    found = kinds.join(F.broadcast(levels), ["log_id", "n"])
     whole = found.where(F.col("take") >= F.col("m")).select("log_id", "variant_hash")
     cut = found.where((F.col("take") > 0) & (F.col("take") < F.col("m"))).select("log_id", "variant_hash", "take", F.col(tie).alias("_tie"), F.substring(tie, 1, BUCKET).alias("_bucket"))
     sizes = cut.groupBy("log_id", "_bucket").agg(F.count("*").alias("_m"), F.max("take").alias("_take"))
@@ -66,7 +67,7 @@ def filter_variant_coverage(log: DataFrame, coverage: float) -> DataFrame:
 def filter_top_activities(log: DataFrame, coverage: float) -> DataFrame:
     """Events of the most frequent activities that cover the share of events."""
     counts = log.where("activity is not null").groupBy("log_id", "activity").agg(F.count("*").alias("n"))
-    return log.join(_covering(counts, ["activity"], coverage).select("log_id", "activity"), ["log_id", "activity"], "left_semi")
+    return log.join(F.broadcast(_covering(counts, ["activity"], coverage).select("log_id", "activity")), ["log_id", "activity"], "left_semi")
 
 
 def subsample_quotas(kinds: DataFrame, fraction: float) -> DataFrame:
@@ -83,7 +84,7 @@ def subsample_quotas(kinds: DataFrame, fraction: float) -> DataFrame:
     before = F.sum("m").over(by.orderBy(F.desc("remainder"), F.desc("n")).rowsBetween(Window.unboundedPreceding, 0)) - F.col("m")
     levels = levels.withColumn("take", F.least(F.greatest(F.col("rest") - before, F.lit(0)), F.col("m")))
     more = _first_of_levels(kinds, levels.select("log_id", "n", "m", "take"), "variant_hash").withColumn("more", F.lit(1))
-    out = kinds.join(levels.select("log_id", "n", "base"), ["log_id", "n"]).join(more, ["log_id", "variant_hash"], "left")
+    out = kinds.join(F.broadcast(levels.select("log_id", "n", "base")), ["log_id", "n"]).join(more, ["log_id", "variant_hash"], "left")
     return out.select("log_id", "variant_hash", "n", (F.col("base") + F.coalesce("more", F.lit(0))).alias("quota"))
 
 
@@ -101,31 +102,37 @@ def inject_event_noise(log: DataFrame, probability: float, seed: int) -> DataFra
 
     An event that was swapped into is not drawn again: of a run of swap draws
     every second takes effect. Inserted events lie midway to the next event, or
-    a second later. A case never loses all events: its first stays then.
+    a second later. A case never loses all events: its first stays then. The
+    activities of the logs are broadcast: a join by log, and the windows after
+    it, would take all events of a log in one task.
     """
     by = Window.partitionBy(*CASE)
     w = by.orderBy("event_index")
     names = log.where("activity is not null").groupBy("log_id").agg(F.array_sort(F.collect_set("activity")).alias("names"))
-    x = log.join(names, "log_id", "left").withColumn("u", uniform(seed, "log_id", "case_id", "event_index")).withColumn("v", uniform(seed + 1, "log_id", "case_id", "event_index"))
+    x = log.withColumn("u", uniform(seed, "log_id", "case_id", "event_index")).withColumn("v", uniform(seed + 1, "log_id", "case_id", "event_index"))
     drawn = F.when(F.col("u") < probability, F.floor(F.col("v") * 4)).otherwise(-1)
     x = x.withColumn("draw", drawn).withColumn("next_ts", F.lead("ts").over(w)).withColumn("next_a", F.lead("activity").over(w)).withColumn("last", F.lead("event_index").over(w).isNull())
     x = x.withColumn("swap", (F.col("draw") == 3) & ~F.col("last"))
-    x = x.withColumn("run", F.sum(F.when(F.col("swap"), 0).otherwise(1)).over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    place = F.row_number().over(Window.partitionBy(*CASE, "run", "swap").orderBy("event_index"))
-    x = x.withColumn("swap", F.col("swap") & (place % 2 == 1))
+    # all windows share one sort: places in a run of swaps are distances from the event before it
+    upto = w.rowsBetween(Window.unboundedPreceding, 0)
+    x = x.withColumn("place", F.row_number().over(w))
+    start = F.coalesce(F.max(F.when(~F.col("swap"), F.col("place"))).over(upto), F.lit(0))
+    x = x.withColumn("swap", F.col("swap") & ((F.col("place") - start) % 2 == 1))
     into = F.coalesce(F.lag("swap").over(w), F.lit(False))
     label = F.when(F.col("swap"), F.col("next_a")).when(into, F.lag("activity").over(w)).otherwise(F.col("activity"))
     x = x.withColumn("into", into).withColumn("new_a", label)
     act = F.when(F.col("into") | F.col("swap"), -1).otherwise(F.col("draw"))
     x = x.withColumn("act", act).withColumn("n_left", F.sum(F.when(F.col("act") == 0, 0).otherwise(1)).over(by))
-    x = x.withColumn("act", F.when((F.col("n_left") == 0) & (F.row_number().over(w) == 1), -1).otherwise(F.col("act")))
+    x = x.withColumn("act", F.when((F.col("n_left") == 0) & (F.col("place") == 1), -1).otherwise(F.col("act")))
     mid = F.timestamp_micros(F.coalesce(((F.unix_micros("ts") + F.unix_micros("next_ts")) / 2).cast("long"), F.unix_micros("ts") + 1_000_000))
     other = F.element_at("names", (F.floor(uniform(seed + 2, "log_id", "case_id", "event_index") * F.size("names")) + 1).cast("int"))
-    same = F.struct(F.col("new_a").alias("activity"), "ts", F.lit(0).alias("part"))
-    more = lambda a: F.struct(a.alias("activity"), mid.alias("ts"), F.lit(1).alias("part"))
-    made = F.when(F.col("act") == 0, F.array().cast("array<struct<activity:string,ts:timestamp,part:int>>")).when(F.col("act") == 1, F.array(same, more(F.col("new_a")))).when(F.col("act") == 2, F.array(same, more(other))).otherwise(F.array(same))
-    out = x.select(*CASE, F.col("event_index").alias("old"), F.explode(made).alias("e"))
-    return out.select(*CASE, "e.activity", "e.ts", F.row_number().over(by.orderBy("old", "e.part")).alias("event_index"))
+    same = F.struct(F.col("new_a").alias("activity"), "ts")
+    more = lambda a: F.struct(a.alias("activity"), mid.alias("ts"))
+    made = F.when(F.col("act") == 0, F.array().cast("array<struct<activity:string,ts:timestamp>>")).when(F.col("act") == 1, F.array(same, more(F.col("new_a")))).when(F.col("act") == 2, F.array(same, more(other))).otherwise(F.array(same))
+    n_made = F.when(F.col("act") == 0, 0).when(F.col("act").isin(1, 2), 2).otherwise(1)
+    x = x.withColumn("before", F.sum(n_made).over(upto) - n_made)
+    out = x.join(F.broadcast(names), "log_id", "left").select(*CASE, "before", F.posexplode(made).alias("k", "e"))
+    return out.select(*CASE, "e.activity", "e.ts", (F.col("before") + F.col("k") + 1).cast("int").alias("event_index"))
 
 
 def truncate_traces(log: DataFrame, k: int) -> DataFrame:
