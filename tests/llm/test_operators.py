@@ -190,6 +190,31 @@ def test_near_copies_leave_a_forest(spark):
     assert out == sorted(neardup.brute_force(docs), key=repr)
 
 
+def test_near_duplicates_write_few_tables(spark, monkeypatch):
+    """Stars are recognised without another round, and texts out of their centre's reach meet in blocks after one round."""
+    written, starred = [], []
+    materialize, star_pairs = neardup.materialize, neardup.star_pairs
+    monkeypatch.setattr(neardup, "materialize", lambda df: written.append(df) or materialize(df))
+    monkeypatch.setattr(neardup, "star_pairs", lambda *a: starred.append(a) or star_pairs(*a))
+    edges = spark.createDataFrame([(5, 1), (1, 4), (7, 6), (6, 6)], "a long, b long")
+    assert rows(neardup.components(edges), "node", "label") == [(4, 1), (5, 1), (7, 6)] and len(written) == 1
+    chain = spark.createDataFrame([(i, i + 1) for i in range(40)], "a long, b long")
+    assert rows(neardup.components(chain), "node", "label") == sorted(((i, 0) for i in range(1, 41)), key=repr)
+
+    rng = random.Random(8)
+    base = sentence(rng, 120).split()
+    docs = []
+    for i in range(200):
+        w = list(base)
+        for at in rng.sample(range(0, 115, 5), 0 if i == 0 else 3 if i % 2 else 5):
+            w[at] = f"e{i}x{at}"
+        docs.append((i, " ".join(w)))
+    written.clear()
+    out = neardup.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string").repartition(4))
+    assert len(starred) == 1 and len(written) < 36
+    assert rows(out, "doc_id", "n_shingles", "component_id", "kept") == sorted(neardup.brute_force(docs), key=repr)
+
+
 def test_pruning_keeps_high_similarities():
     looks = neardup.least_matches()
     assert all(0 < least < 0.75 * n for n, least in looks) and looks[-1][1] > 0.6 * looks[-1][0]

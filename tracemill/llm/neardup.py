@@ -28,7 +28,7 @@ from math import comb
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Observation
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tracemill.llm.common import HashCache, materialize, portions, release
@@ -46,7 +46,8 @@ SMALL = 24
 #: Texts, and shingles, of a block on average.
 BLOCK, BLOCK_SHINGLES = 512, 1 << 20
 #: Star rounds at most. They end as soon as the pairs still open are at most OPEN_PAIRS times the bucket rows, or hardly shrink any more.
-STAR_ROUNDS, OPEN_PAIRS = 3, 2
+#: After the first round, pairs of large buckets may be as many as make a block a text on average: blocks compare them for less than a round costs.
+STAR_ROUNDS, OPEN_PAIRS, BLOCK_PAIRS = 3, 2, BLOCK // 2
 
 #: The pool of blocks for texts of small components.
 NO_LABEL = -(1 << 63) + 1
@@ -298,32 +299,29 @@ def exact_filter(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 def components(edges: DataFrame) -> DataFrame:
     """(node, label) for the nodes of ``edges`` (a, b): the smallest node reachable.
 
-    Alternates large and small stars until nothing changes; rounds grow with
-    the logarithm of a component's size. Every table of a round is written to
-    the shared folder, and minima are written before they are joined, so that
-    a join on a hot node has two exchanges and can be split.
+    Alternates large and small stars until every component is one star; rounds
+    grow with the logarithm of a component's size. Every table of a round is
+    written to the shared folder, and minima are written before they are joined,
+    so that a join on a hot node has two exchanges and can be split. The result
+    is a written table, too.
     """
-
-    def written(df: DataFrame) -> tuple[DataFrame, tuple]:
-        """The written table with its row count and checksum, taken while it is written."""
-        seen = Observation()
-        checksum = F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))
-        out = materialize(df.observe(seen, F.count(F.lit(1)).alias("n"), checksum.alias("s")))
-        return out, (seen.get["n"], seen.get["s"])
-
-    now, before = written(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
-    while before[0]:
+    now = materialize(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    while not are_stars(now):
         both = now.union(now.select("b", "a"))
         low = materialize(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("m", "a").alias("m")))
         down = materialize(both.where("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct())
         least = materialize(down.groupBy("a").agg(F.min("b").alias("m")))
-        new, after = written(down.join(least, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).union(least).distinct())
+        new = materialize(down.join(least, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).union(least).distinct())
         release(now, low, down, least)
         now = new
-        if after == before:
-            break
-        before = after
-    return now.groupBy("a").agg(F.min("b").alias("label")).select(F.col("a").alias("node"), "label")
+    return now.select(F.col("a").alias("node"), F.col("b").alias("label"))
+
+
+def are_stars(edges: DataFrame) -> bool:
+    """Whether distinct edges (a, b), a > b, give each ``a`` one ``b`` that is no ``a`` itself: then ``b`` is the smallest node of its component."""
+    ends = edges.select(F.explode(F.array(F.struct(F.col("a").alias("node"), F.lit(1).alias("up")), F.struct(F.col("b").alias("node"), F.lit(0).alias("up")))).alias("e")).select("e.*")
+    seen = ends.groupBy("node").agg(F.sum("up").alias("n"), F.min("up").alias("least"))
+    return seen.where("n > 1 or (n = 1 and least = 0)").limit(1).count() == 0
 
 
 def with_labels(members: DataFrame, labels: DataFrame) -> DataFrame:
@@ -331,26 +329,26 @@ def with_labels(members: DataFrame, labels: DataFrame) -> DataFrame:
     return members.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("key", "rep", F.coalesce("label", "rep").alias("label"))
 
 
-def open_buckets(labelled: DataFrame) -> DataFrame:
-    """Keys of the buckets that hold more than one component."""
-    return materialize(labelled.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("key"))
+def bucket_sizes(labelled: DataFrame) -> DataFrame:
+    """(key, n, open) of the buckets that hold more than one component: texts, and pairs across components, counted without forming them."""
+    n = labelled.groupBy("key", "label").agg(F.count("*").alias("n"))
+    both = n.groupBy("key").agg(F.sum("n").alias("n"), F.count("*").alias("labels"), F.sum(F.col("n").cast("decimal(19,0)") * F.col("n")).alias("q"))
+    pairs = (F.col("n").cast("decimal(19,0)") * F.col("n") - F.col("q")).cast("decimal(38,0)")
+    return materialize(both.where("labels > 1").select("key", "n", (pairs / 2).cast("decimal(38,0)").alias("open")))
 
 
-def count_open(labelled: DataFrame) -> tuple[int, int]:
-    """(bucket rows, pairs across components), the pairs counted without forming them."""
-    n = labelled.groupBy("key", "label").agg(F.count("*").cast("decimal(38,0)").alias("n"))
-    both = n.groupBy("key").agg(F.sum("n").alias("s"), F.sum(F.col("n") * F.col("n")).alias("q"))
-    r = both.agg(F.sum("s").alias("rows"), F.sum(F.col("s") * F.col("s") - F.col("q")).alias("twice")).first()
-    return int(r["rows"] or 0), int(r["twice"] or 0) // 2
+def count_open(buckets: DataFrame) -> tuple[int, int, int]:
+    """(texts, open pairs of small buckets, open pairs of large ones) of ``bucket_sizes``, a text counted once per bucket."""
+    r = buckets.agg(F.sum("n"), *(F.sum(F.when(c, F.col("open"))) for c in (F.col("n") <= SMALL, F.col("n") > SMALL))).first()
+    return int(r[0] or 0), int(r[1] or 0), int(r[2] or 0)
 
 
-def neighbours(members: DataFrame) -> DataFrame:
+def neighbours(members: DataFrame, buckets: DataFrame) -> DataFrame:
     """(rep, met): the bucket neighbours of every text, counted once per shared bucket."""
-    sizes = materialize(members.groupBy("key").agg(F.count("*").alias("n")))
-    return members.join(sizes, "key").groupBy("rep").agg(F.sum("n").alias("met"))
+    return members.join(buckets.select("key", "n"), "key").groupBy("rep").agg(F.sum("n").alias("met"))
 
 
-def star_pairs(labelled: DataFrame, round_: int) -> DataFrame:
+def star_pairs(labelled: DataFrame, buckets: DataFrame, round_: int) -> DataFrame:
     """At most one pair per text: the centre that it meets in most of its open buckets.
 
     A bucket's centre is its text with the most neighbours in the first round,
@@ -358,10 +356,10 @@ def star_pairs(labelled: DataFrame, round_: int) -> DataFrame:
     """
     order = F.xxhash64("key", "rep", F.lit(round_))
     if not round_:
-        labelled = labelled.join(materialize(neighbours(labelled)), "rep")
+        labelled = labelled.join(materialize(neighbours(labelled, buckets)), "rep")
         order = F.struct(-F.col("met"), F.col("rep"))
-    centre = labelled.groupBy("key").agg(F.min_by(F.struct("rep", "label"), order).alias("c"), F.min("label").alias("lo"), F.max("label").alias("hi"))
-    centre = materialize(centre.where("lo < hi").select("key", "c.*").toDF("key", "centre", "centre_label"))
+    centre = labelled.groupBy("key").agg(F.min_by(F.struct("rep", "label"), order).alias("c"))
+    centre = materialize(centre.select("key", "c.*").toDF("key", "centre", "centre_label"))
     met = labelled.join(centre, "key").where("label <> centre_label").groupBy("rep", "centre").agg(F.count("*").alias("n"))
     best = met.groupBy("rep").agg(F.max_by("centre", F.struct("n", F.xxhash64("rep", "centre"))).alias("centre"))
     return best.select(F.greatest("rep", "centre").alias("a"), F.least("rep", "centre").alias("b")).distinct()
@@ -407,36 +405,39 @@ def grouped(docs: DataFrame) -> tuple[DataFrame, tuple[DataFrame, ...]]:
     release(met)
     sigs = sets.select("rep", "sig")
 
-    labels = links = None
-    left = None
+    labels = left = None
+    labelled = members.withColumn("label", F.col("rep"))
     for round_ in range(STAR_ROUNDS + 1):
-        # a bucket of one component stays so: later rounds look at the open ones only
-        every = members.withColumn("label", F.col("rep")) if labels is None else materialize(with_labels(members, labels))
-        buckets = open_buckets(every)
-        labelled = materialize(every.join(buckets, "key", "left_semi"))
-        release(every, members)
-        members = labelled.select("key", "rep")
-        rows, n_open = count_open(labelled)
+        buckets = bucket_sizes(labelled)
+        if labels is not None:  # a bucket of one component stays so: later rounds look at the open ones only
+            every, labelled = labelled, materialize(labelled.join(buckets.select("key"), "key", "left_semi"))
+            release(every)
+        rows, few, many = count_open(buckets)
+        n_open = few + many
         last = round_ == STAR_ROUNDS or n_open <= OPEN_PAIRS * rows or (left is not None and n_open > 0.9 * left)
+        last = last or (round_ > 0 and few <= OPEN_PAIRS * rows and many <= BLOCK_PAIRS * rows)
         left = n_open
         if last:
-            sizes = materialize(labelled.groupBy("key").agg(F.count("*").alias("n")))
-            small = labelled.join(sizes.where(F.col("n") <= SMALL).select("key"), "key", "left_semi")
-            large = labelled.join(sizes.where(F.col("n") > SMALL).select("key"), "key", "left_semi")
+            small = labelled.join(buckets.where(F.col("n") <= SMALL).select("key"), "key", "left_semi")
             close = materialize(bayes_filter(open_pairs(small), sigs))
-            forest = block_links(large, sets)
-            found = materialize(exact_filter(close, sets).union(forest))
-            release(sizes, forest)
+            found = exact_filter(close, sets)
+            if many:
+                large = labelled.join(buckets.where(F.col("n") > SMALL).select("key"), "key", "left_semi")
+                found = found.union(block_links(large, sets))
         else:
-            close = materialize(bayes_filter(star_pairs(labelled, round_), sigs))
-            found = materialize(exact_filter(close, sets))
+            close = materialize(bayes_filter(star_pairs(labelled, buckets, round_), sigs))
+            found = exact_filter(close, sets)
+        # components so far are stars; only they and the new links count
+        links = found if labels is None else found.union(labels.select("node", "label"))
+        now = components(links)
         release(buckets, close)
-        links = found if links is None else links.union(found)
         if labels is not None:
             release(labels)
-        labels = materialize(components(links))
+        labels = now
         if last:
             break
+        every, labelled = labelled, materialize(with_labels(labelled.select("key", "rep"), labels))
+        release(every)
     release(labelled, sets)
 
     out = full.select("doc_id", *same).join(classes, same)
