@@ -388,6 +388,62 @@ def test_exchange_finds_classes():
     assert not set(classes[:6]) & set(classes[6:]) and table.sum() == big.sum()
 
 
+def class_part(n):
+    return brown.xlogx(n).sum() - brown.xlogx(n.sum(0)).sum() - brown.xlogx(n.sum(1)).sum()
+
+
+def test_merges_and_gains_equal_the_likelihood():
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    n = rng.integers(0, 9, (7, 7)).astype(float)
+    found = brown.merge_gains(n, 5)
+    for i in range(5):
+        for j in range(i + 1, 5):
+            one = np.eye(7)
+            one[j] = one[i]
+            assert found[i, j] == pytest.approx(class_part(one.T @ n @ one) - class_part(n))
+    assert np.isneginf(found[np.tril_indices(5)]).all()
+
+    # a word joins each class of a table of all classes
+    wide = brown.CLASSES + 2
+    big = rng.integers(0, 6, (wide + 1, wide + 1)).astype(float)
+    out_of, into, n = big[-1, :-1], big[:-1, -1], big[:-1, :-1]
+    found = brown.gains(n, out_of, into, big[-1, -1])
+    whole = []
+    for k in range(brown.CLASSES):
+        one = np.eye(wide + 1)[:, :-1]
+        one[-1, k] = 1
+        whole.append(class_part(one.T @ big @ one))
+    assert found - found[0] == pytest.approx(np.array(whole) - whole[0])
+
+    # forty words of two kinds that follow each other: no class has both; each word has its own class until they run out
+    big = np.zeros((42, 42))
+    for _ in range(6000):
+        a, b = rng.integers(0, 20) * 2, rng.integers(0, 20) * 2 + 1
+        big[a, b] += 1
+        big[b, rng.integers(0, 20) * 2] += 1
+    classes = brown.merged(big)
+    assert len(set(classes)) == brown.CLASSES and not set(classes[::2]) & set(classes[1::2])
+
+
+def test_all_words_of_the_head_have_classes_by_context(spark, monkeypatch):
+    monkeypatch.setattr(brown, "CLUSTERED", 40)
+    rng = random.Random(4)
+    often = {k: [f"{k}{i}" for i in range(20)] for k in "ab"}
+    texts = [" ".join(rng.choice(often["ab"[i % 2]]) for i in range(400)) for _ in range(60)]
+    rare = [("ab"[i % 2], f"r{i}") for i in range(8300)]
+    for k, w in rare:
+        others = often["b" if k == "a" else "a"]
+        texts += [f"{rng.choice(others)} {w} {rng.choice(others)}" for _ in range(2)]
+    train = spark.createDataFrame([(t,) for t in texts], "text string").repartition(3)
+    words = [*often["a"], *often["b"], *(w for _, w in rare)]
+    classes = dict(zip(words, brown.cluster(train, words)))
+    kinds = {k: {classes[w] for w in ws} for k, ws in often.items()}
+    assert not kinds["a"] & kinds["b"]
+    assert all(classes[w] in kinds[k] for k, w in rare)
+
+
 # --- op3
 
 
